@@ -19,11 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, a lost executor costs one task."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tributary/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,6 +8,8 @@ import importlib
 MODULES = {
     "op1_simhash": "simhash",
     "op3_packing": "packing",
+    "op5_huffman": "huffman",
+    "op7_sentencepiece": "pieces",
     "op10_secrets": "secrets",
 }
 

@@ -26,8 +26,8 @@ class ChunkEncoder:
     belongs to the next word, nothing where white space is dropped.
     """
 
-    def __init__(self, path: str, glue: str = " ", lead: str = "", cache: int = CACHE):
-        self.tokenizer, self.glue, self.lead, self.room = load(path), glue, lead, cache
+    def __init__(self, tokenizer, glue: str = " ", lead: str = "", cache: int = CACHE):
+        self.tokenizer, self.glue, self.lead, self.room = tokenizer, glue, lead, cache
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {}
 
@@ -46,7 +46,7 @@ class ChunkEncoder:
             cache.update(kept)
         if any(len(c) > LONG for c in new):
             cache.update((c, v) for c, v in found.items() if len(c) <= LONG)
-            return cache | {c: v for c, v in found.items() if len(c) > LONG} if len(cache) < 50_000 else _Over(cache, found)
+            return _Over(cache, {c: v for c, v in found.items() if len(c) > LONG})
         cache.update(found)
         return cache
 
@@ -97,7 +97,7 @@ def load(path: str):
 @lru_cache(maxsize=4)
 def chunk_encoder(path: str, glue: str, lead: str = "") -> ChunkEncoder:
     """One encoder, and so one cache, for each Python worker."""
-    return ChunkEncoder(path, glue, lead)
+    return ChunkEncoder(load(path), glue, lead)
 
 
 def batches_of(texts: list, size: int = 4_000_000):
