@@ -9,7 +9,9 @@ MODULES = {
     "op1_simhash": "simhash",
     "op3_packing": "packing",
     "op5_huffman": "huffman",
+    "op6_html": "html",
     "op7_sentencepiece": "pieces",
+    "op9_language": "language",
     "op10_secrets": "secrets",
 }
 
