@@ -7,6 +7,7 @@ import importlib
 #: query: module of this subpackage; the function has the query's name.
 MODULES = {
     "op1_simhash": "simhash",
+    "op2_quality": "quality",
     "op3_packing": "packing",
     "op5_huffman": "huffman",
     "op6_html": "html",
