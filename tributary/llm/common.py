@@ -35,17 +35,18 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def pair_units(rows: DataFrame, keys: list[str], salt: str, cap: int) -> DataFrame:
+def pair_units(rows: DataFrame, keys: list[str], salt: str, cap: int, shared_only: bool = False) -> DataFrame:
     """Deal rows into units so that any two rows of equal keys meet in exactly one unit.
 
     A key of up to ``cap`` rows is one unit. A larger one is split by a hash of
     ``salt`` into blocks, and each pair of blocks is a unit (unit_i < unit_j:
     only pairs across; unit_i = unit_j: all pairs inside), so no task ever gets
-    a whole hot key. Adds block, unit_i, unit_j.
+    a whole hot key. Adds block, unit_i, unit_j. shared_only: rows alone under
+    their key, which form no pair, are left out early.
     """
-    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap)
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (1 if shared_only else cap))
     large = large.withColumn("_blocks", F.ceil(F.col("_n") / cap).cast("int")).drop("_n")
-    dealt = rows.join(large, keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    dealt = rows.join(large, keys, "inner" if shared_only else "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(salt), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return dealt.withColumn("unit_i", F.least("block", "_other")).withColumn("unit_j", F.greatest("block", "_other")).drop("_blocks", "_other")

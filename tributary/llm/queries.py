@@ -12,6 +12,7 @@ MODULES = {
     "op5_huffman": "huffman",
     "op6_html": "html",
     "op7_sentencepiece": "pieces",
+    "op8_vectors": "vectors",
     "op9_language": "language",
     "op10_secrets": "secrets",
 }
