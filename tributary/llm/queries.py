@@ -9,6 +9,7 @@ MODULES = {
     "op1_simhash": "simhash",
     "op2_quality": "quality",
     "op3_packing": "packing",
+    "op4_audio": "audio",
     "op5_huffman": "huffman",
     "op6_html": "html",
     "op7_sentencepiece": "pieces",
@@ -23,8 +24,9 @@ def _call(name: str):
 
 
 def queries() -> dict:
-    found = {name: _call(name) for name in MODULES}
-    return found
+    from corpus_pipeline import run
+
+    return {name: _call(name) for name in MODULES} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
