@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import discard, materialize
-from tributary.llm.tokens import batches_of, chunk_encoder, default_path
+from tributary.llm.tokens import WORDS, Borders, batches_of, chunk_encoder, default_path
 
 LIMIT = 16
 LANE = 128
@@ -151,14 +151,14 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, end_id: int, glue: str) -> DataFrame:
+def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, end_id: int, borders: Borders) -> DataFrame:
     """(id, n, ids) of each row, and per task one row (symbols, counts) of what it saw."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     end = np.array([end_id], np.uint32)
     names = ["id", "n", "ids", "symbols", "counts"]
 
     def run(batches):
-        encoder = chunk_encoder(tokenizer or default_path("word_bpe_49k.json"), glue)
+        encoder = chunk_encoder(tokenizer or default_path("word_bpe_49k.json"), borders)
         counts = np.zeros(0, np.int64)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
@@ -177,14 +177,14 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None
     return source.mapInArrow(run, "id long, n long, ids binary, symbols array<long>, counts array<long>")
 
 
-def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, glue: str = "") -> tuple[DataFrame, DataFrame]:
+def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, borders: Borders = WORDS) -> tuple[DataFrame, DataFrame]:
     """Write shards in ascending id order; returns the written tables (blocks, code book).
 
     blocks: shard int, block int, n_ids long, payload binary. code book: symbol
     long, length long (at most one row an id of the vocabulary). Null text is
     empty (its end id alone); null ids come first; repeated ids stay as they are.
     """
-    table = materialize(tokenized(docs, id_col, text_col, tokenizer, end_id, glue), "ids")
+    table = materialize(tokenized(docs, id_col, text_col, tokenizer, end_id, borders), "ids")
     seen = table.where("symbols is not null").select(F.explode(F.arrays_zip("symbols", "counts")).alias("x"))
     totals = np.array([tuple(r) for r in seen.groupBy("x.symbols").agg(F.sum("x.counts").alias("c")).orderBy("symbols").collect()], np.int64).reshape(-1, 2)
     symbols, lengths = totals[:, 0], limited_lengths(totals[:, 1])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.tokens import ChunkEncoder, batches_of, default_path
+from tributary.llm.tokens import PIECES, ChunkEncoder, batches_of, default_path
 
 MARK = "▁"
 # Fixed values of the model format: piece kinds and model kinds.
@@ -145,8 +145,8 @@ def backend(m: Model, lead: bool = True):
 
 
 def separable(m: Model) -> bool:
-    """Does no piece hold a marker after another character?"""
-    return m.escape and not any(MARK in p.lstrip(MARK) for p, k in zip(m.pieces, m.kinds) if k in (NORMAL, USER))
+    """Does no piece hold a marker after another character, or a line end beside one?"""
+    return m.escape and not any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p, k in zip(m.pieces, m.kinds) if k in (NORMAL, USER))
 
 
 class Codec:
@@ -162,7 +162,7 @@ class Codec:
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         m = self.model
         self.whole = backend(m)
-        self.chunks = ChunkEncoder(backend(m, lead=False), MARK, MARK) if separable(m) and m.dummy_prefix and not m.charsmap and not m.squeeze else None
+        self.chunks = ChunkEncoder(backend(m, lead=False), PIECES) if separable(m) and m.dummy_prefix and not m.charsmap and not m.squeeze else None
         self.bytes = []
         for p, k in zip(m.pieces, m.kinds):
             self.bytes.append(bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode())

@@ -1,74 +1,188 @@
-"""Token ids of whole texts with the tokenizers library, words encoded once.
-
-Both vocabularies split a text before any merge, and a space between two
-non-blank characters is always such a border. So a text's ids are the ids of
-its space-separated chunks, joined, and a chunk seen before needs no second
-encoding: a bounded cache maps it to its ids as bytes. Chunks that are empty or
-begin or end with white space break that rule; texts with one are encoded whole.
+"""Token ids of whole texts with the tokenizers library, each distinct chunk encoded once.
+
+A vocabulary's splitter cuts a text before any merge. Where white space is sure
+to be such a border, the ids of a text are the ids of its chunks, joined, and a
+chunk seen before needs no second encoding: a bounded cache maps it to its ids
+as bytes. New chunks are cut once more at sure borders (a line end, signs after
+letters); plain words go straight to the library's model, the rest through its
+whole pipeline. Texts in which a border is not sure (chunks that are empty or
+begin or end with white space) are encoded whole.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 from array import array
+from dataclasses import dataclass
 from functools import lru_cache
 
 #: Chunks that the cache of one worker holds at most; it starts anew beyond that.
-CACHE = 500_000
+CACHE = 1_000_000
 #: Longer chunks are encoded but not kept.
 LONG = 64
+_SIGNS = ".,!?;:*%&$#|"
+_ODD = tuple("\x1c\x1d\x1e\x1f\x85")
+#: The last letter before combining marks and odd cases begin; up to here a word is its own normal form.
+_PLAIN = "\u012f"
 
 
-class ChunkEncoder:
-    """encode(texts) -> one bytes of little-endian unsigned 32-bit ids per text, as Tokenizer.encode gives them.
+def _byte_level() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_BYTES = _byte_level()
 
-    ``glue`` is what precedes each chunk but the first: a space where the space
-    belongs to the next word, nothing where white space is dropped.
+
+@dataclass(frozen=True)
+class Borders:
+    """Where a vocabulary's texts can be cut.
+
+    glue: what stands before each chunk but the first, as the text has it; mark:
+    the same as the model has it; head: does glue stand before the first too?
+    words: are chunks cut to words first (else the model takes any chunk whole)?
+    blank: is all white space dropped, and the text lower-cased?
     """
 
-    def __init__(self, tokenizer, glue: str = " ", lead: str = "", cache: int = CACHE):
-        self.tokenizer, self.glue, self.lead, self.room = tokenizer, glue, lead, cache
-        self.first: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {}
+    glue: str = " "
+    mark: str = "\u0120"
+    head: bool = False
+    words: bool = True
+    blank: bool = False
+
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+#: Byte-level pairs that keep white space; pairs of lower-cased words; metaspace pieces.
+SPACED, WORDS, PIECES = Borders(), Borders("", "", False, True, True), Borders("\u2581", "\u2581", True, False, False)
+
+
+def _word(c: str) -> bool:
+    """A run of letters that every splitter takes as one word and no normaliser changes."""
+    return c.isalpha() and (c.isascii() or max(c) <= _PLAIN)
+
+
+class ChunkEncoder:
+    """encode(texts) -> one bytes of little-endian unsigned 32-bit ids per text, as Tokenizer.encode gives them."""
+
+    def __init__(self, tokenizer, borders: Borders = SPACED, room: int = CACHE):
+        gc.disable()  # millions of small live objects and no cycles: collections would only walk them
+        self.tokenizer, self.model, self.borders, self.room = tokenizer, tokenizer.model, borders, room
+        self.first: dict[str, bytes | None] = {}  # chunks with nothing before them
+        self.rest: dict[str, bytes | None] = {}  # chunks with glue before them
+        self.line = self._whole(["\n"])[0]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _direct(self, chunks: list[str], mark: str) -> list[bytes]:
+        """Ids of chunks that the model takes as they are."""
+        merge = self.model.tokenize
+        if self.borders.words:
+            return [array("I", [t.id for t in merge(mark + (c if c.isascii() else c.encode().decode("latin-1").translate(_BYTES)))]).tobytes() for c in chunks]
+        return [array("I", [t.id for t in merge(mark + c)]).tobytes() for c in chunks]
+
+    def _cut(self, chunk: str) -> list[str] | None:
+        """Pieces of a chunk that is no word: '' stands for a line end; None where its borders are not sure."""
+        out = []
+        for k, piece in enumerate((chunk,) if self.borders.blank else chunk.split("\n")):
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                return None
+            if k:
+                out.append("")
+            stem = piece.rstrip(_SIGNS)
+            if stem and len(stem) < len(piece) and _word(stem):
+                out += [stem, piece[len(stem) :]]
+            else:
+                out.append(piece)
+        return out
 
-    def _learn(self, cache: dict, chunks: set[str], glue: str) -> dict:
-        """A view of cache with all of chunks; None marks a chunk whose text must be encoded whole."""
+    def _learn(self, chunks: set[str], glued: bool) -> dict:
+        """A view of the cache with all of chunks; None marks a chunk whose text must be encoded whole."""
+        b, cache, bare = self.borders, self.rest if glued else self.first, self.first
+        glue, mark = (b.glue, b.mark) if glued else ("", "")
         new = [c for c in chunks if c not in cache]
-        good = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        found = dict.fromkeys(new)
-        found.update(zip(good, self._ids([glue + c for c in good])))
-        if len(cache) + len(found) > self.room:
+        if not new:
+            return cache
+        if len(cache) + len(new) > self.room:
             kept = {c: cache[c] for c in chunks if c in cache}
             cache.clear()
             cache.update(kept)
-        if any(len(c) > LONG for c in new):
-            cache.update((c, v) for c, v in found.items() if len(c) <= LONG)
-            return _Over(cache, {c: v for c, v in found.items() if len(c) > LONG})
-        cache.update(found)
-        return cache
+        long: dict[str, bytes | None] = {}
+
+        def put(into: dict, found) -> None:
+            for c, ids in found:
+                if len(c) <= LONG:
+                    into[c] = ids
+                else:
+                    long[c] = ids
+
+        if not b.words:
+            good = [c for c in new if c]
+            put(cache, zip(good, self._direct(good, mark)))
+            put(cache, ((c, None) for c in new if not c))
+            return _Over(cache, long) if long else cache
+        good, cuts = [], []
+        for c in new:
+            if _word(c):
+                good.append(c)
+            else:
+                cuts.append((c, self._cut(c)))
+        stems, others, tails = set(), set(), set()
+        for _, cut in cuts:
+            if cut:
+                if cut[0] not in cache:
+                    (stems if _word(cut[0]) else others).add(cut[0])
+                tails.update(t for t in cut[1:] if t not in bare)
+        stems.difference_update(good)
+        own = dict(zip(stems, self._direct(list(stems), mark)))
+        own |= zip(others, self._whole([glue + c for c in others]))
+        ends = {"": self.line}
+        plain = [t for t in tails if t and _word(t)]
+        ends |= zip(plain, self._direct(plain, ""))
+        signs = [t for t in tails if t and t not in ends]
+        ends |= zip(signs, self._whole(signs))
+        put(cache, zip(good, self._direct(good, mark)))
+        joined = []
+        for c, cut in cuts:
+            if cut is None:
+                joined.append((c, None))
+            else:
+                head = own[cut[0]] if cut[0] in own else long[cut[0]] if cut[0] in long else cache[cut[0]]
+                joined.append((c, head + b"".join([ends[t] if t in ends else bare[t] for t in cut[1:]])))
+        put(cache, ((c, own[c]) for c in stems))
+        put(cache, joined)
+        if len(bare) < self.room // 4:
+            bare.update((t, x) for t, x in ends.items() if t and len(t) <= LONG)
+        return _Over(cache, long) if long else cache
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        heads = self._learn(self.first, {p[0] for p in parts}, self.lead)
+        b = self.borders
+        if b.blank:
+            parts = [["", *(t.lower().split() if t.isascii() or max(t) <= _PLAIN else [c.lower() if max(c) <= _PLAIN else c for c in t.split()])] if t else [""] for t in texts]
+            heads = {"": b""}
+        else:
+            parts = [t.split(" ") for t in texts]
+            heads = self._learn({p[0] for p in parts}, b.head)
         words: set[str] = set()
         for p in parts:
             words.update(p[1:])
-        rest = self._learn(self.rest, words, self.glue)
+        get = self._learn(words, True).__getitem__
+        if b.head:
+            heads = self._learn({p[0] for p in parts}, True)
         out: list[bytes | None] = []
-        get = rest.__getitem__
         whole = []
         for k, p in enumerate(parts):
             try:
+                if b.blank and any(c in texts[k] for c in _ODD):
+                    raise TypeError
                 out.append(heads[p[0]] + b"".join(map(get, p[1:])))
             except TypeError:  # a None: white space at a chunk's end
                 out.append(None)
                 whole.append(k)
-        if whole:
-            for k, ids in zip(whole, self._ids([self.lead + texts[k] for k in whole])):
-                out[k] = ids
+        for k, ids in zip(whole, self._whole([(b.glue if b.head else "") + texts[k] for k in whole])):
+            out[k] = ids
         return out
 
 
@@ -95,9 +209,9 @@ def load(path: str):
 
 
 @lru_cache(maxsize=4)
-def chunk_encoder(path: str, glue: str, lead: str = "") -> ChunkEncoder:
+def chunk_encoder(path: str, borders: Borders) -> ChunkEncoder:
     """One encoder, and so one cache, for each Python worker."""
-    return ChunkEncoder(load(path), glue, lead)
+    return ChunkEncoder(load(path), borders)
 
 
 def batches_of(texts: list, size: int = 4_000_000):
