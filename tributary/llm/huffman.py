@@ -74,7 +74,7 @@ class CodeBook:
         size = int(symbols.max()) + 1 if len(symbols) else 1
         spans = np.int64(1) << (LIMIT - lengths)
         begins = np.concatenate([[0], np.cumsum(spans)[:-1]]).astype(np.int64) if len(symbols) else spans
-        self.length = np.zeros(size, np.uint64)
+        self.length = np.zeros(size, np.int64)
         self.code = np.zeros(size, np.uint64)
         self.length[symbols] = lengths
         self.code[symbols] = begins >> (LIMIT - lengths)
@@ -89,14 +89,15 @@ class CodeBook:
         if not len(ids):
             return np.zeros(0, np.uint32), b""
         lengths = self.length[ids]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         at = ends - lengths
-        word, shift = (at >> np.uint64(5)).astype(np.int64), at & np.uint64(31)
-        value = self.code[ids] << (np.uint64(64) - lengths - shift)
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        word, value = at >> 5, self.code[ids]
+        value <<= (64 - lengths - (at & 31)).view(np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        joined = np.bitwise_or.reduceat(value, first)  # codes that begin in one word share no bit
         bits = np.zeros(int(ends[-1]) // 32 + 2, np.uint64)
-        bits[word[first]] |= np.bitwise_or.reduceat(value >> np.uint64(32), first)
-        bits[word[first] + 1] |= np.bitwise_or.reduceat(value & np.uint64(0xFFFFFFFF), first)
+        bits[word[first]] = joined >> np.uint64(32)
+        bits[word[first] + 1] |= joined & np.uint64(0xFFFFFFFF)
         return at[::lane].astype(np.uint32), bits.astype(">u4").tobytes()[: (int(ends[-1]) + 7) // 8]
 
     def decode(self, checkpoints: np.ndarray, bits: bytes, n: int, lane: int = LANE) -> np.ndarray:
@@ -138,38 +139,43 @@ def read_block(book: CodeBook, payload: bytes) -> tuple[int, list, np.ndarray, n
     return first, [None if x else int(k) for k, x in zip(keys, null)], sizes, ids
 
 
-def _pack(ids: np.ndarray) -> bytes:
-    """Ids for the temporary table: byte planes, which compress better."""
-    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T[:2] if not len(ids) or ids.max() < 65536 else ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _pack(ids: bytes, planes: int) -> bytes:
+    """Little-endian 32-bit ids for the temporary table, as planes of their lower bytes, which compress better."""
+    return b"".join(ids[k::4] for k in range(planes))
 
 
-def _unpack(raw: bytes, n: int) -> np.ndarray:
-    planes = np.zeros((4, n), np.uint8)
-    if n:
-        got = np.frombuffer(raw, np.uint8).reshape(-1, n)
-        planes[: len(got)] = got
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+def _unpack(raw: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    """Ids of each document of a batch."""
+    out = []
+    for x, n in zip(raw, sizes):
+        got = np.frombuffer(x, np.uint8).reshape(-1, n) if n else np.zeros((0, 0), np.uint8)
+        ids = np.zeros(n, np.uint32)
+        for k, plane in enumerate(got):
+            ids |= plane.astype(np.uint32) << np.uint32(8 * k) if k else plane
+        out.append(ids)
+    return out
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, end_id: int, borders: Borders) -> DataFrame:
     """(id, n, ids) of each row, and per task one row (symbols, counts) of what it saw."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    end = np.array([end_id], np.uint32)
+    end = int(end_id).to_bytes(4, "little")
     names = ["id", "n", "ids", "symbols", "counts"]
 
     def run(batches):
         encoder = chunk_encoder(tokenizer or default_path("word_bpe_49k.json"), borders)
+        planes = -(-max(encoder.tokenizer.get_vocab_size().bit_length(), int(end_id).bit_length()) // 8)
         counts = np.zeros(0, np.int64)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in batches_of(texts):
-                found = [np.concatenate([np.frombuffer(x, np.uint32), end]) for x in encoder.encode(texts[a:b])]
-                seen = np.bincount(np.concatenate(found))
+                found = [x + end for x in encoder.encode(texts[a:b])]
+                seen = np.bincount(np.frombuffer(b"".join(found), np.uint32))
                 if len(seen) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(seen) - len(counts), np.int64)])
                 counts[: len(seen)] += seen
                 none = pa.nulls(b - a, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array([len(x) for x in found], pa.int64()), pa.array([_pack(x) for x in found], pa.binary()), none, none], names)
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([_pack(x, planes) for x in found], pa.binary()), none, none], names)
         symbols = np.flatnonzero(counts)
         lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (symbols, counts[symbols])]
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *lists], names)
@@ -202,9 +208,10 @@ def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([write_block(codes, first, keys, parts)], pa.binary())], names)
 
         for batch in batches:
-            for key, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            sizes = batch.column(1).to_pylist()
+            for key, n, ids in zip(batch.column(0).to_pylist(), sizes, _unpack(batch.column(2).to_pylist(), sizes)):
                 keys.append(key)
-                parts.append(_unpack(raw, n))
+                parts.append(ids)
                 held += n
                 if held >= BLOCK:
                     yield out()

@@ -69,8 +69,8 @@ class ChunkEncoder:
     def __init__(self, tokenizer, borders: Borders = SPACED, room: int = CACHE):
         gc.disable()  # millions of small live objects and no cycles: collections would only walk them
         self.tokenizer, self.model, self.borders, self.room = tokenizer, tokenizer.model, borders, room
-        self.first: dict[str, bytes | None] = {}  # chunks with nothing before them
-        self.rest: dict[str, bytes | None] = {}  # chunks with glue before them
+        self.first: dict[str, bytes | bool] = {}  # chunks with nothing before them
+        self.rest: dict[str, bytes | bool] = {}  # chunks with glue before them
         self.line = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -99,7 +99,7 @@ class ChunkEncoder:
         return out
 
     def _learn(self, chunks: set[str], glued: bool) -> dict:
-        """A view of the cache with all of chunks; None marks a chunk whose text must be encoded whole."""
+        """A view of the cache with all of chunks; False marks a chunk whose text must be encoded whole."""
         b, cache, bare = self.borders, self.rest if glued else self.first, self.first
         glue, mark = (b.glue, b.mark) if glued else ("", "")
         new = [c for c in chunks if c not in cache]
@@ -109,7 +109,7 @@ class ChunkEncoder:
             kept = {c: cache[c] for c in chunks if c in cache}
             cache.clear()
             cache.update(kept)
-        long: dict[str, bytes | None] = {}
+        long: dict[str, bytes | bool] = {}
 
         def put(into: dict, found) -> None:
             for c, ids in found:
@@ -121,7 +121,7 @@ class ChunkEncoder:
         if not b.words:
             good = [c for c in new if c]
             put(cache, zip(good, self._direct(good, mark)))
-            put(cache, ((c, None) for c in new if not c))
+            put(cache, ((c, False) for c in new if not c))
             return _Over(cache, long) if long else cache
         good, cuts = [], []
         for c in new:
@@ -147,7 +147,7 @@ class ChunkEncoder:
         joined = []
         for c, cut in cuts:
             if cut is None:
-                joined.append((c, None))
+                joined.append((c, False))
             else:
                 head = own[cut[0]] if cut[0] in own else long[cut[0]] if cut[0] in long else cache[cut[0]]
                 joined.append((c, head + b"".join([ends[t] if t in ends else bare[t] for t in cut[1:]])))
@@ -159,26 +159,29 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         b = self.borders
+        heads: list[bytes | None | bool] = [b""] * len(texts)
         if b.blank:
-            parts = [["", *(t.lower().split() if t.isascii() or max(t) <= _PLAIN else [c.lower() if max(c) <= _PLAIN else c for c in t.split()])] if t else [""] for t in texts]
-            heads = {"": b""}
+            parts = [t.lower().split() if t.isascii() or max(t, default="") <= _PLAIN else [c.lower() if max(c) <= _PLAIN else c for c in t.split()] for t in texts]
         else:
             parts = [t.split(" ") for t in texts]
-            heads = self._learn({p[0] for p in parts}, b.head)
-        words: set[str] = set()
-        for p in parts:
-            words.update(p[1:])
-        get = self._learn(words, True).__getitem__
-        if b.head:
-            heads = self._learn({p[0] for p in parts}, True)
+            if not b.head:
+                known = self._learn({p[0] for p in parts}, False)
+                heads = [known[p[0]] for p in parts]
+                parts = [p[1:] for p in parts]
+        get = self.rest.get
+        found = [list(map(get, p)) for p in parts]
+        gaps = [k for k, v in enumerate(found) if None in v]
+        known = self._learn({c for k in gaps for c, x in zip(parts[k], found[k]) if x is None}, True)
+        for k in gaps:
+            found[k] = [known[c] if x is None else x for c, x in zip(parts[k], found[k])]
         out: list[bytes | None] = []
         whole = []
-        for k, p in enumerate(parts):
+        for k, ids in enumerate(found):
             try:
                 if b.blank and any(c in texts[k] for c in _ODD):
                     raise TypeError
-                out.append(heads[p[0]] + b"".join(map(get, p[1:])))
-            except TypeError:  # a None: white space at a chunk's end
+                out.append(heads[k] + b"".join(ids))
+            except TypeError:  # a False: white space at a chunk's end
                 out.append(None)
                 whole.append(k)
         for k, ids in zip(whole, self._whole([(b.glue if b.head else "") + texts[k] for k in whole])):
