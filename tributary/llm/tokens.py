@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 from array import array
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,8 +24,9 @@ CACHE = 1_000_000
 LONG = 64
 _SIGNS = ".,!?;:*%&$#|"
 _ODD = tuple("\x1c\x1d\x1e\x1f\x85")
-#: The last letter before combining marks and odd cases begin; up to here a word is its own normal form.
-_PLAIN = "\u012f"
+#: Letters up to where combining marks and odd cases begin: their words are their own normal form.
+_LATIN = re.compile("[A-Za-z\u00c0-\u012f]+").fullmatch
+_BEYOND = re.compile("[^\x00-\u012f]").search
 
 
 def _byte_level() -> dict[int, str]:
@@ -60,7 +62,7 @@ SPACED, WORDS, PIECES = Borders(), Borders("", "", False, True, True), Borders("
 
 def _word(c: str) -> bool:
     """A run of letters that every splitter takes as one word and no normaliser changes."""
-    return c.isalpha() and (c.isascii() or max(c) <= _PLAIN)
+    return c.isalpha() and (c.isascii() or _LATIN(c) is not None)
 
 
 class ChunkEncoder:
@@ -111,7 +113,12 @@ class ChunkEncoder:
             cache.update(kept)
         long: dict[str, bytes | bool] = {}
 
+        short = max(map(len, new)) <= LONG
+
         def put(into: dict, found) -> None:
+            if short:
+                into.update(found)
+                return
             for c, ids in found:
                 if len(c) <= LONG:
                     into[c] = ids
@@ -125,7 +132,7 @@ class ChunkEncoder:
             return _Over(cache, long) if long else cache
         good, cuts = [], []
         for c in new:
-            if _word(c):
+            if c.isalpha() and (c.isascii() or _LATIN(c)):
                 good.append(c)
             else:
                 cuts.append((c, self._cut(c)))
@@ -161,7 +168,7 @@ class ChunkEncoder:
         b = self.borders
         heads: list[bytes | None | bool] = [b""] * len(texts)
         if b.blank:
-            parts = [t.lower().split() if t.isascii() or max(t, default="") <= _PLAIN else [c.lower() if max(c) <= _PLAIN else c for c in t.split()] for t in texts]
+            parts = [t.lower().split() if t.isascii() or not _BEYOND(t) else [c if _BEYOND(c) else c.lower() for c in t.split()] for t in texts]
         else:
             parts = [t.split(" ") for t in texts]
             if not b.head:
