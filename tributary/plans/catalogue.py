@@ -1,11 +1,476 @@
-"""The registered queries and their DuckDB SQL."""
+"""The registered queries, one for each operator, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tributary.functions.scalars import draw_key, slot, typed_key
+from tributary.operators import export, findings, policy, recipe, records, review, views
+from tributary.plans.sqlpolicy import distinct_on, transform
+
+#: Bounded SQL: name -> (inputs, query); DuckDB runs the same text where no other is given below.
+SQL = {
+    "journey_features": ("events", "SELECT user_id AS id, COUNT(*) AS n, CAST(SUM(event_id) AS BIGINT) AS id_sum, SUM(CASE WHEN event_type = 'click' THEN 1.5 ELSE 0.5 END) AS weight, MAX(value) AS top, ROUND(AVG(value), 6) AS mean FROM events GROUP BY user_id ORDER BY id"),
+    "sql_projection": ("orders", "SELECT o_orderkey AS id, o_totalprice * 2 AS twice, o_custkey % 7 AS part FROM orders ORDER BY id"),
+    "sql_case": ("orders", "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS state, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS large FROM orders ORDER BY id"),
+    "sql_cast_decimal_round": ("part", "SELECT p_partkey AS id, CAST(p_size * 0.5 AS BIGINT) AS half FROM part ORDER BY id"),
+    "sql_cast_double_round": ("orders", "SELECT o_orderkey AS id, CAST(o_totalprice / 2 AS BIGINT) AS half, TRY_CAST(o_orderstatus AS DOUBLE) AS number FROM orders ORDER BY id"),
+    "sql_wildcard": ("nation", "SELECT nation.*, n_nationkey AS id FROM nation ORDER BY id"),
+    "sql_where_between": ("orders", "SELECT o_orderkey AS id FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND NOT (o_orderstatus = 'P') ORDER BY id"),
+    "sql_in_list": ("orders", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey NOT IN (1, 2, 3) ORDER BY id"),
+    "sql_in_subquery": ("orders customer", "SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) ORDER BY id"),
+    "sql_not_in": ("orders customer", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY id"),
+    "sql_exists": ("orders customer", "SELECT c_custkey AS id FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000) ORDER BY id"),
+    "sql_correlated_scalar": ("orders customer", "SELECT c_custkey AS id, (SELECT MAX(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c ORDER BY id"),
+    "sql_is_distinct": ("orders", "SELECT o_orderkey AS id, o_orderstatus IS NOT DISTINCT FROM 'F' AS f, o_orderstatus IS DISTINCT FROM NULL AS known FROM orders WHERE (o_totalprice > 1000) IS TRUE ORDER BY id"),
+    "join_inner": ("customer nation", "SELECT c_custkey AS id, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY id"),
+    "join_left": ("customer orders", "SELECT c_custkey AS cust, o_orderkey AS id FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000 ORDER BY cust, id"),
+    "join_right": ("customer orders", "SELECT c_custkey AS id, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_totalprice > 400000 ORDER BY o_orderkey, id"),
+    "join_full": ("customer supplier", "SELECT c_custkey, s_suppkey AS id FROM customer FULL OUTER JOIN supplier ON c_custkey = s_suppkey + 5 ORDER BY c_custkey, id"),
+    "join_cross": ("nation region", "SELECT n_name, r_name AS id FROM nation CROSS JOIN region ORDER BY n_name, id"),
+    "join_comma": ("nation region", "SELECT n_name AS id, r_name FROM nation, region WHERE n_regionkey = r_regionkey ORDER BY id"),
+    "join_using": ("customer", "SELECT a.c_name AS id, b.c_acctbal FROM customer a JOIN customer b USING (c_custkey) ORDER BY id"),
+    "join_theta": ("nation region", "SELECT n_nationkey, r_regionkey AS id FROM nation JOIN region ON n_nationkey < r_regionkey ORDER BY n_nationkey, id"),
+    "join_semi": ("customer orders", "SELECT c_custkey AS id FROM customer SEMI JOIN orders ON c_custkey = o_custkey ORDER BY id"),
+    "join_anti": ("customer orders", "SELECT c_custkey AS id FROM customer ANTI JOIN orders ON c_custkey = o_custkey ORDER BY id"),
+    "join_self": ("nation", "SELECT a.n_name AS left_name, b.n_name AS id FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey ORDER BY left_name, id"),
+    "join_multi": ("customer nation region orders", "SELECT r_name AS id, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name ORDER BY id"),
+    "join_derived": ("customer orders", "SELECT t.k AS id, c_name, t.n FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey) AS t JOIN customer ON c_custkey = t.k ORDER BY id"),
+    "agg_group": ("lineitem", "SELECT l_returnflag, l_linestatus AS id, COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS qty, ROUND(AVG(l_discount), 8) AS disc, MIN(l_shipdate) IS NULL AS dateless FROM lineitem GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, id"),
+    "agg_having": ("orders", "SELECT o_custkey AS id, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12 AND SUM(o_totalprice) > 1000 ORDER BY id"),
+    "agg_distinct": ("orders", "SELECT o_orderstatus AS id, COUNT(DISTINCT o_custkey) AS customers, ROUND(AVG(DISTINCT o_custkey), 6) AS mean FROM orders GROUP BY o_orderstatus ORDER BY id"),
+    "agg_global": ("lineitem", "SELECT COUNT(*) AS n, COUNT(l_tax) AS taxed, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, MAX(l_quantity) AS top FROM lineitem"),
+    "agg_minmax_str": ("part", "SELECT p_brand AS id, MIN(p_name) AS first_name, MAX(p_type) AS last_type FROM part GROUP BY p_brand ORDER BY id"),
+    "dsl_aggregate": ("events", "SELECT event_type AS id, COUNT(*) AS n, ROUND(SUM(value), 4) AS total, MIN(value) AS low, MAX(value) AS high FROM events GROUP BY event_type ORDER BY id"),
+    "union_distinct": ("customer supplier", "SELECT c_nationkey AS id FROM customer UNION SELECT s_nationkey AS id FROM supplier ORDER BY id"),
+    "union_all": ("customer supplier", "SELECT c_nationkey AS id FROM customer UNION ALL SELECT s_nationkey AS id FROM supplier ORDER BY id"),
+    "except_distinct": ("customer supplier", "SELECT c_nationkey AS id FROM customer EXCEPT SELECT s_nationkey AS id FROM supplier WHERE s_nationkey > 10 ORDER BY id"),
+    "except_all": ("customer supplier", "SELECT c_nationkey AS id FROM customer EXCEPT ALL SELECT s_nationkey AS id FROM supplier ORDER BY id"),
+    "intersect_distinct": ("customer supplier", "SELECT c_nationkey AS id FROM customer INTERSECT SELECT s_nationkey AS id FROM supplier ORDER BY id"),
+    "intersect_all": ("customer supplier", "SELECT c_nationkey AS id FROM customer INTERSECT ALL SELECT s_nationkey AS id FROM supplier ORDER BY id"),
+    "distinct": ("events", "SELECT DISTINCT event_type AS id FROM events ORDER BY id"),
+    "order_nulls": ("customer orders", "SELECT c_custkey AS id, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 490000 ORDER BY o_orderkey DESC, id LIMIT 40"),
+    "limit_offset": ("orders", "SELECT o_orderkey AS id, o_totalprice FROM orders ORDER BY o_totalprice DESC, id LIMIT 20 OFFSET 5"),
+    "scalar_math": ("orders", "SELECT o_orderkey AS id, ABS(o_totalprice - 100000) AS a, CEIL(o_totalprice) AS c, FLOOR(o_totalprice) AS f, ROUND(o_totalprice, 1) AS r, o_custkey // 7 AS d, o_custkey ** 2 AS sq FROM orders ORDER BY id"),
+    "scalar_case": ("customer", "SELECT c_custkey AS id, LOWER(c_name) AS low, UPPER(c_mktsegment) AS up, LENGTH(c_name) AS n, CHAR_LENGTH(c_mktsegment) AS m FROM customer ORDER BY id"),
+    "scalar_trim": ("customer", "SELECT c_custkey AS id, TRIM('  ' || c_name || ' ') AS t, LTRIM(c_name, 'Cus') AS l, RTRIM(c_name, '0123') AS r, TRIM(c_mktsegment, 'AEB') AS b FROM customer ORDER BY id"),
+    "scalar_match": ("part", "SELECT p_partkey AS id, CONTAINS(p_name, 'a') AS c, STARTS_WITH(p_type, 'S') AS s, ENDS_WITH(p_type, 'L') AS e FROM part ORDER BY id"),
+    "scalar_concat": ("customer", "SELECT c_custkey AS id, CONCAT('a', NULL, c_mktsegment) AS c, CONCAT_WS('-', c_name, NULL, c_mktsegment) AS w, c_name || '!' AS p FROM customer ORDER BY id"),
+    "scalar_nulls": ("orders", "SELECT o_orderkey AS id, COALESCE(NULLIF(o_orderstatus, 'F'), 'was F') AS s, IFNULL(NULLIF(o_custkey, 1), -1) AS k FROM orders ORDER BY id"),
+    "scalar_extremes": ("orders", "SELECT o_orderkey AS id, GREATEST(o_totalprice, 150000, NULL) AS g, LEAST(o_custkey, 40) AS l FROM orders ORDER BY id"),
+}
+
+
+def _sql(name: str):
+    tables, query = SQL[name]
+    return lambda spark, d: transform(spark, query, {t: _read(spark, d, t) for t in tables.split()}, None if name in ("agg_global",) else "id")
+
+
+def _read(spark: SparkSession, d: str, t: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{t}.parquet")
+
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+# ---- bounded SQL beyond one text ----
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000.5")
+def sql_params(spark, d):
+    return transform(spark, "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = ? AND o_totalprice > ? ORDER BY id", {"orders": _read(spark, d, "orders")}, "id", ["F", 200000.5])
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) k FROM orders) WHERE k = 1")
+def sql_distinct_on(spark, d):
+    return distinct_on(_read(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+# ---- recipes ----
+
+
+def _recipe(spark, d, table, steps, order):
+    return recipe.apply_recipe(_read(spark, d, table), steps, order)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000 AND o_orderstatus <> 'P'")
+def recipe_filter(spark, d):
+    return _recipe(spark, d, "orders", [{"op": "filter", "field": "o_totalprice", "predicate": "gte", "value": 100000}, {"op": "filter", "field": "o_orderstatus", "predicate": "ne", "value": "P"}, {"op": "select", "fields": ["o_orderkey", "o_totalprice"]}], ["o_orderkey"])
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def recipe_select(spark, d):
+    return _recipe(spark, d, "customer", [{"op": "select", "fields": ["c_custkey", "c_name"]}], ["c_custkey"])
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer")
+def recipe_rename(spark, d):
+    return _recipe(spark, d, "customer", [{"op": "rename", "from": "c_custkey", "to": "id"}, {"op": "rename", "from": "c_name", "to": "name"}, {"op": "select", "fields": ["id", "name"]}], ["c_custkey"])
+
+
+@query("SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events")
+def recipe_cast(spark, d):
+    events = _read(spark, d, "events").select("event_id", F.regexp_extract("props", "[0-9]+", 0).alias("k"))
+    return recipe.apply_recipe(events, [{"op": "cast", "field": "k", "to": "integer"}], ["event_id"])
+
+
+@query("SELECT c_custkey, trim('  ' || c_name || chr(9), ' ' || chr(9)) AS c_name, lower(c_mktsegment) AS c_mktsegment FROM customer")
+def recipe_trim_case(spark, d):
+    rows = _read(spark, d, "customer").select("c_custkey", F.concat(F.lit("  "), "c_name", F.lit("\t")).alias("c_name"), "c_mktsegment")
+    return recipe.apply_recipe(rows, [{"op": "trim", "field": "c_name"}, {"op": "case", "field": "c_mktsegment", "mode": "lower"}], ["c_custkey"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'final' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def recipe_replace(spark, d):
+    return _recipe(spark, d, "orders", [{"op": "replace", "field": "o_orderstatus", "from": "F", "to": "final"}, {"op": "select", "fields": ["o_orderkey", "o_orderstatus"]}], ["o_orderkey"])
+
+
+_HOLES = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS p FROM orders"
+
+
+def _holes(spark, d):
+    k = F.col("o_orderkey")
+    return _read(spark, d, "orders").select("o_orderkey", F.when(k % 5 == 0, "").when(k % 7 == 0, None).otherwise(F.col("o_orderstatus")).alias("s"), F.when(k % 3 != 0, F.col("o_totalprice")).alias("p"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN s IS NULL OR s = '' THEN 'none' ELSE s END AS s, coalesce(p, 0.0) AS p FROM ({_HOLES})")
+def recipe_fill(spark, d):
+    return recipe.apply_recipe(_holes(spark, d), [{"op": "fill", "field": "s", "value": "none"}, {"op": "fill", "field": "p", "value": 0.0}], ["o_orderkey"])
+
+
+@query(f"SELECT * FROM ({_HOLES}) WHERE NOT (s IS NULL OR s = '' OR p IS NULL)")
+def recipe_drop_any(spark, d):
+    return recipe.apply_recipe(_holes(spark, d), [{"op": "drop_missing", "fields": ["s", "p"], "mode": "any"}], ["o_orderkey"])
+
+
+@query(f"SELECT * FROM ({_HOLES}) WHERE NOT ((s IS NULL OR s = '') AND p IS NULL)")
+def recipe_drop_all(spark, d):
+    return recipe.apply_recipe(_holes(spark, d), [{"op": "drop_missing", "fields": ["s", "p"], "mode": "all"}], ["o_orderkey"])
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) k FROM events) WHERE k = 1")
+def recipe_dedupe_first(spark, d):
+    return _recipe(spark, d, "events", [{"op": "dedupe", "by": ["user_id", "event_type"], "keep": "first"}, {"op": "select", "fields": ["event_id", "user_id", "event_type"]}], ["event_id"])
+
+
+_PIPE = [{"op": "filter", "field": "value", "predicate": "gt", "value": 1}, {"op": "dedupe", "by": ["user_id"]}, {"op": "case", "field": "event_type", "mode": "upper"}, {"op": "select", "fields": ["event_id", "user_id", "event_type"]}]
+
+
+@query("SELECT event_id, user_id, upper(event_type) AS event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) k FROM events WHERE value > 1) WHERE k = 1")
+def recipe_pipeline(spark, d):
+    return _recipe(spark, d, "events", _PIPE, ["event_id"])
+
+
+@query("SELECT count(*) AS source_rows, (SELECT count(DISTINCT user_id) FROM events WHERE value > 1) AS output_rows, count(*) FILTER (NOT value > 1) AS filtered_rows, count(*) FILTER (value > 1) - (SELECT count(DISTINCT user_id) FROM events WHERE value > 1) AS duplicate_rows FROM events")
+def recipe_counters(spark, d):
+    return recipe.counters(_read(spark, d, "events"), _PIPE, ["event_id"])
+
+
+@query("SELECT count(*) AS n, count(*) AS ids FROM lineitem")
+def recipe_generated_id(spark, d):
+    from tributary.sources.readers import with_row_id
+
+    rows = with_row_id(_read(spark, d, "lineitem"), "row_id")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids"))
+
+
+# ---- records ----
+
+_AFTER = "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 97 <> 0 UNION ALL SELECT -o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 101 = 0 AND o_orderkey > 0"
+_DIFF = f"SELECT CAST(coalesce(a.o_orderkey, b.o_orderkey) AS VARCHAR) AS rid, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.o_totalprice <> b.o_totalprice THEN 'modified' ELSE 'unchanged' END AS change FROM orders a FULL JOIN ({_AFTER}) b ON a.o_orderkey = b.o_orderkey"
+
+
+def _versions(spark, d):
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    k = F.col("o_orderkey")
+    a = _read(spark, d, "orders").select(*names)
+    b = a.where(k % 97 != 0).withColumn("o_totalprice", F.when(k % 13 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return a, b.unionByName(a.where((k % 101 == 0) & (k > 0)).withColumn("o_orderkey", -k))
+
+
+@query("SELECT * FROM (SELECT 's' AS field, 'string' AS kind, count(s) AS present, count(*) - count(s) AS nulls, count(*) FILTER (s = '') AS empty_strings FROM (%s) UNION ALL SELECT 'p', 'number', count(p), count(*) - count(p), 0 FROM (%s) UNION ALL SELECT 'o_orderkey', 'number', count(o_orderkey), 0, 0 FROM (%s))" % (_HOLES, _HOLES, _HOLES))
+def profile_fields(spark, d):
+    return records.profile_fields(_holes(spark, d))
+
+
+@query("SELECT count(*) AS records, 0 AS null_ids, 0 AS blank_ids, count(*) - count(DISTINCT l_orderkey) AS duplicate_ids FROM lineitem")
+def id_health(spark, d):
+    return records.id_health(_read(spark, d, "lineitem"), "l_orderkey")
+
+
+@query(_DIFF)
+def record_diff_rows(spark, d):
+    return records.diff(*_versions(spark, d), "o_orderkey")
+
+
+@query(f"SELECT change, count(*) AS n FROM ({_DIFF}) GROUP BY change")
+def record_diff_summary(spark, d):
+    return records.diff(*_versions(spark, d), "o_orderkey").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT rid FROM ({_DIFF}) WHERE change IN ('added', 'modified')")
+def changed_records(spark, d):
+    return records.changed(*_versions(spark, d), "o_orderkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def field_patch(spark, d):
+    rows = _read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    seen = rows.where("o_orderkey = 7").first()
+    return records.patch(rows, "o_orderkey", "7", "o_orderstatus", seen["o_orderstatus"] if seen else None, "X")
+
+
+@query("SELECT o_orderkey, 's' || o_orderstatus AS status_key FROM orders")
+def scalar_keys(spark, d):
+    return _read(spark, d, "orders").select("o_orderkey", typed_key(F.col("o_orderstatus"), "string").alias("status_key"))
+
+
+# ---- field rules ----
+
+_RULES = {"event_type": {"type": "string", "enum": ["click", "view"]}, "value": {"type": "number", "min": 0.5, "max": 100, "nullable": False}, "props": {"type": "string", "pattern": "[0-4]}"}, "user_id": {"unique": True}, "absent": {"required": True}, "ts": {"type": "string"}}
+_BROKEN = """SELECT * FROM (
+  SELECT CAST(event_id AS VARCHAR) AS rid, 'event_type' AS field, 'ENUM' AS code FROM events WHERE event_type NOT IN ('click', 'view')
+  UNION ALL SELECT CAST(event_id AS VARCHAR), 'value', 'NULL' FROM events WHERE value IS NULL
+  UNION ALL SELECT CAST(event_id AS VARCHAR), 'value', 'RANGE' FROM events WHERE value < 0.5 OR value > 100
+  UNION ALL SELECT CAST(event_id AS VARCHAR), 'props', 'PATTERN' FROM events WHERE NOT regexp_matches(props, '[0-4]}')
+  UNION ALL SELECT CAST(event_id AS VARCHAR), 'user_id', 'UNIQUE' FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 1)
+  UNION ALL SELECT CAST(event_id AS VARCHAR), 'absent', 'REQUIRED' FROM events
+  UNION ALL SELECT CAST(event_id AS VARCHAR), 'ts', 'TYPE' FROM events WHERE ts IS NOT NULL)"""
+_ROLLED = "SELECT field, code, count(*) AS total, count(*) FILTER ({gate}) AS gated, array_to_string(list_slice(list_sort(list(DISTINCT rid)), 1, 20), ',') AS samples, count(*) > 20 AS truncated FROM ({rows}) GROUP BY field, code HAVING count(*) FILTER ({gate}) > 0"
+
+
+@query(_BROKEN)
+def policy_violations(spark, d):
+    return policy.violations(_read(spark, d, "events"), "event_id", _RULES)
+
+
+@query(_ROLLED.format(gate="true", rows=_BROKEN))
+def policy_rollup_full(spark, d):
+    return policy.roll_up(policy_violations(spark, d)).select("field", "code", "total", "gated", F.array_join("sample_ids", ",").alias("samples"), "truncated")
+
+
+@query(_ROLLED.format(gate="CAST(rid AS BIGINT) % 50 = 3", rows=_BROKEN))
+def policy_changed_only(spark, d):
+    changed = _read(spark, d, "events").where("event_id % 50 = 3").select(F.col("event_id").cast("string").alias("rid"))
+    return policy.roll_up(policy_violations(spark, d), changed).select("field", "code", "total", "gated", F.array_join("sample_ids", ",").alias("samples"), "truncated")
+
+
+# ---- views and exports ----
+
+
+def _slot_sql(domain: str, seed: str, rid: str) -> str:
+    return f"(CAST('0x' || substr(sha256('{domain}:{len(seed)}:{seed}:' || CAST({rid} AS VARCHAR)), 1, 12) AS BIGINT) * 10000) >> 48"
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice >= 50000 AND o_totalprice < 200000")
+def view_predicates(spark, d):
+    rows = views.subset(_read(spark, d, "orders"), [("o_orderstatus", "in", ["F", "O", 3]), ("o_totalprice", "gte", 50000), ("o_totalprice", "lt", 200000), ("o_custkey", "exists"), ("nothing", "missing")])
+    return rows.select("o_orderkey")
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE {_slot_sql('sample', 'pick', 'o_orderkey')} < 1500")
+def view_sample(spark, d):
+    return views.sample(_read(spark, d, "orders"), "o_orderkey", "pick", 1500).select("o_orderkey")
+
+
+_WEIGHTS = {"train": 80, "val": 10, "test": 10}
+_SPLIT = f"SELECT o_orderkey, sha256('split:4:seed:' || CAST(o_orderkey AS VARCHAR)) AS split_key, {_slot_sql('split', 'seed', 'o_orderkey')} AS slot FROM orders"
+_SPLITS = f"SELECT *, CASE WHEN slot < 1000 THEN 'test' WHEN slot < 9000 THEN 'train' ELSE 'val' END AS split FROM ({_SPLIT})"
+_RANKED = f"SELECT *, row_number() OVER (PARTITION BY split ORDER BY split_key, o_orderkey) - 1 AS position FROM ({_SPLITS})"
+
+
+def _assigned(spark, d):
+    return export.assign(_read(spark, d, "orders").select("o_orderkey"), "o_orderkey", "seed", _WEIGHTS)
+
+
+@query(f"SELECT o_orderkey, CAST(slot AS INTEGER) AS slot, split FROM ({_SPLITS})")
+def split_assign(spark, d):
+    return _assigned(spark, d).select("o_orderkey", "slot", "split")
+
+
+@query(f"SELECT split, count(*) AS n FROM ({_SPLITS}) GROUP BY split")
+def split_counts(spark, d):
+    return _assigned(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT o_orderkey, split, position, position // 500 AS shard FROM ({_RANKED})")
+def shard_assign_records(spark, d):
+    return export.shard(_assigned(spark, d), "o_orderkey", 500).select("o_orderkey", "split", F.col("position").cast("long").alias("position"), "shard")
+
+
+@query(f"SELECT split, count(*) AS records, count(DISTINCT position // 500) AS shards FROM ({_RANKED}) GROUP BY split")
+def shard_summary(spark, d):
+    return export.summary(export.shard(_assigned(spark, d), "o_orderkey", 500))
+
+
+@query(None)
+def shard_assign_bytes(spark, d):
+    rows = _assigned(spark, d).withColumn("bytes", 20 + F.col("o_orderkey") % 30)
+    return export.shard_by_bytes(rows, "o_orderkey", 400, 8000)
+
+
+@query("SELECT 0 AS wrong_split, 0 AS wrong_order, 0 AS repeated")
+def export_verify(spark, d):
+    return export.verify(export.shard(_assigned(spark, d), "o_orderkey", 500), "o_orderkey", "seed", _WEIGHTS, 500)
+
+
+# ---- reviews: documents as samples, their language as label and their source as split ----
+
+_SAMPLES = "SELECT 'd/' || CAST(doc_id AS VARCHAR) AS path, sha256(text) AS content_hash, lang AS label, source AS split, length(text) AS size FROM documents"
+_LATER = "SELECT CASE WHEN doc_id % 17 = 0 THEN 'm/' || CAST(doc_id AS VARCHAR) ELSE 'd/' || CAST(doc_id AS VARCHAR) END AS path, CASE WHEN doc_id % 19 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS content_hash, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS label, source AS split, length(text) AS size FROM documents WHERE doc_id % 23 <> 0"
+
+
+def _samples(spark, d):
+    docs, k = _read(spark, d, "documents"), F.col("doc_id")
+    name = k.cast("string")
+    a = docs.select(F.concat(F.lit("d/"), name).alias("path"), F.sha2("text", 256).alias("content_hash"), F.col("lang").alias("label"), F.col("source").alias("split"), F.length("text").cast("long").alias("size"))
+    b = docs.where(k % 23 != 0).select(
+        F.concat(F.when(k % 17 == 0, "m/").otherwise("d/"), name).alias("path"), F.sha2(F.concat("text", F.when(k % 19 == 0, "!").otherwise("")), 256).alias("content_hash"),
+        F.when(k % 5 == 0, "xx").otherwise(F.col("lang")).alias("label"), F.col("source").alias("split"), F.length("text").cast("long").alias("size"),
+    )
+    return a, b
+
+
+@query(f"SELECT a.path AS before_path, b.path AS after_path, CASE WHEN a.content_hash = b.content_hash THEN 'exact' ELSE 'probable' END AS confidence FROM ({_SAMPLES}) a JOIN ({_LATER}) b ON a.path = b.path")
+def match_path(spark, d):
+    return review.match_paths(*_samples(spark, d))
+
+
+_GONE = f"SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY path) AS k FROM ({_SAMPLES}) WHERE path NOT IN (SELECT path FROM ({_LATER}))"
+_COME = f"SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY path) AS k FROM ({_LATER}) WHERE path NOT IN (SELECT path FROM ({_SAMPLES}))"
+
+
+@query(f"SELECT a.path AS before_path, b.path AS after_path FROM ({_GONE}) a JOIN ({_COME}) b ON a.content_hash = b.content_hash AND a.k = b.k")
+def match_content(spark, d):
+    return review.match_contents(*_samples(spark, d))
+
+
+@query(f"""SELECT coalesce(a.path, b.path) AS path, unnest(list_filter([CASE WHEN a.path IS NULL THEN 'SAMPLE_ADDED' END, CASE WHEN b.path IS NULL THEN 'SAMPLE_REMOVED' END,
+  CASE WHEN a.path = b.path AND a.label <> b.label THEN 'LABEL_CHANGED' END, CASE WHEN a.path = b.path AND a.content_hash <> b.content_hash THEN 'CONTENT_CHANGED' END], lambda x: x IS NOT NULL)) AS code
+  FROM ({_SAMPLES}) a FULL JOIN ({_LATER}) b ON a.path = b.path""")
+def sample_changes(spark, d):
+    return review.changes(*_samples(spark, d))
+
+
+_GROUPS = f"SELECT content_hash, count(*) AS members, count(DISTINCT split) AS splits FROM ({_SAMPLES}) GROUP BY content_hash HAVING count(*) > 1"
+
+
+@query(f"SELECT *, 'EXACT_DUPLICATE_GROUP' AS code FROM ({_GROUPS}) UNION ALL SELECT *, 'CROSS_SPLIT_EXACT_LEAKAGE' FROM ({_GROUPS}) WHERE splits > 1")
+def exact_duplicates(spark, d):
+    return review.exact_groups(_samples(spark, d)[0])
+
+
+_BITS = "SELECT vec_id AS id, label, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(i - 1 AS BIGINT) ELSE 0 END)) AS bits FROM embeddings"
+
+
+def _signs(spark, d):
+    bit = lambda i: F.when(F.col("embedding")[i] > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    total = bit(0)
+    for i in range(1, 63):
+        total = total + bit(i)
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("split"), total.alias("bits"), F.sha2(F.col("vec_id").cast("string"), 256).alias("content_hash"))
+
+
+_PAIRS = f"SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT))) AS BIGINT) AS distance FROM ({_BITS}) a JOIN ({_BITS}) b ON a.id < b.id AND bit_count(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT))) <= 17"
+
+
+@query(_PAIRS)
+def near_duplicate_pairs(spark, d):
+    signs = _signs(spark, d)
+    return review.near_pairs(signs, signs, 17).where("a < b")
+
+
+@query(f"WITH RECURSIVE e AS (SELECT a, b FROM ({_PAIRS}) UNION SELECT b, a FROM ({_PAIRS})), r AS (SELECT DISTINCT a AS n, a AS m FROM e UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.m) SELECT n AS id, min(m) AS component FROM r GROUP BY n")
+def near_duplicate_components(spark, d):
+    return review.near_components(_signs(spark, d), 17)
+
+
+@query(None)
+def match_greedy(spark, d):
+    signs = _signs(spark, d)
+    return review.greedy_match(review.near_pairs(signs.where("id % 2 = 0"), signs.where("id % 2 = 1"), 19))
+
+
+@query(None)
+def match_optimal(spark, d):
+    signs = _signs(spark, d)
+    return review.optimal_match(review.near_pairs(signs.where("id % 2 = 0"), signs.where("id % 2 = 1"), 17))
+
+
+_CELLS = "SELECT dimension, key, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY dimension) AS share FROM (SELECT unnest(['label', 'split']) AS dimension, unnest([label, split]) AS key FROM ({rows})) GROUP BY dimension, key"
+
+
+@query("SELECT dimension, key, n, round(share, 9) AS share FROM (%s)" % _CELLS.format(rows=_SAMPLES))
+def distribution(spark, d):
+    return review.distribution(_samples(spark, d)[0], ("label", "split")).select("dimension", "key", "n", F.round("share", 9).alias("share"))
+
+
+_DRIFT = f"SELECT coalesce(a.dimension, b.dimension) AS dimension, coalesce(a.key, b.key) AS key, coalesce(a.n, 0) AS before_n, coalesce(b.n, 0) AS after_n, coalesce(b.share, 0) - coalesce(a.share, 0) AS moved FROM ({_CELLS.format(rows=_SAMPLES)}) a FULL JOIN ({_CELLS.format(rows=_LATER)}) b ON a.dimension = b.dimension AND a.key = b.key"
+
+
+@query(f"SELECT dimension, key, before_n, after_n, round(moved, 9) AS share_change FROM ({_DRIFT})")
+def distribution_delta(spark, d):
+    return review.drift(*_samples(spark, d), ("label", "split")).select("dimension", "key", "before_n", "after_n", F.round("share_change", 9).alias("share_change"))
+
+
+@query(f"SELECT CASE WHEN dimension = 'label' THEN 'LABEL_DISTRIBUTION_CHANGED' ELSE 'MEDIA_DISTRIBUTION_CHANGED' END AS code, dimension, key FROM ({_DRIFT}) WHERE abs(moved) >= 0.1")
+def distribution_findings(spark, d):
+    return review.drift_findings(review.drift(*_samples(spark, d), ("label", "split"))).select("code", "dimension", "key")
+
+
+@query(f"SELECT CASE WHEN count(*) FILTER (splits > 1) > 0 THEN 'fail' WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END AS status FROM ({_GROUPS})")
+def severity_status(spark, d):
+    return review.status(exact_duplicates(spark, d))
+
+
+_G2, _C2 = (x.replace("PARTITION BY content_hash ORDER", "PARTITION BY content_hash, size ORDER") for x in (_GONE, _COME))
+
+
+@query(f"SELECT b.path, NULL::VARCHAR AS old_path, CASE WHEN a.content_hash = b.content_hash THEN 'unchanged' ELSE 'modified' END AS change FROM ({_SAMPLES}) a JOIN ({_LATER}) b ON a.path = b.path UNION ALL SELECT coalesce(b.path, a.path), CASE WHEN b.path IS NOT NULL THEN a.path END, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'renamed' END FROM ({_G2}) a FULL JOIN ({_C2}) b ON a.content_hash = b.content_hash AND a.size = b.size AND a.k = b.k")
+def manifest_changes(spark, d):
+    keep = ("path", "size", "content_hash")
+    a, b = _samples(spark, d)
+    return review.manifest_diff(a.select(*keep), b.select(*keep))
+
+
+def _found(spark, d):
+    groups = exact_duplicates(spark, d)
+    return groups.select(F.when(F.col("code") == "CROSS_SPLIT_EXACT_LEAKAGE", "error").otherwise("warning").alias("severity"), "code", F.col("content_hash").alias("message"), F.array("content_hash").alias("sample_ids"))
+
+
+_FOUND = f"SELECT 'warning' AS severity, 'EXACT_DUPLICATE_GROUP' AS code, content_hash AS message FROM ({_GROUPS}) UNION ALL SELECT 'error', 'CROSS_SPLIT_EXACT_LEAKAGE', content_hash FROM ({_GROUPS}) WHERE splits > 1"
+
+
+@query(f"SELECT severity, code, message FROM ({_FOUND}) ORDER BY CASE severity WHEN 'error' THEN 0 ELSE 1 END, code, message LIMIT 20 OFFSET 5")
+def findings_page(spark, d):
+    return findings.page(_found(spark, d), 5, 20).select("severity", "code", "message")
+
+
+@query(f"SELECT severity, code, count(*) AS n FROM ({_FOUND}) GROUP BY severity, code")
+def findings_summary(spark, d):
+    return findings.summary(_found(spark, d))
+
+
+@query(f"SELECT code, CASE code WHEN 'EXACT_DUPLICATE_GROUP' THEN 'dedupe' ELSE 'move' END AS action, 'high' AS risk, count(*) AS n FROM ({_FOUND}) GROUP BY code")
+def remediation_plan(spark, d):
+    return findings.remediation(_found(spark, d))
+
 
 def queries() -> dict:
-    return {}
+    return {name: _sql(name) for name in SQL} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for name, (_, text) in SQL.items()} | ORACLE
