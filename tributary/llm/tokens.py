@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 #: Chunks that the cache of one worker holds at most; it starts anew beyond that.
-CACHE = 1_000_000
+CACHE = 2_000_000
 #: Longer chunks are encoded but not kept.
 LONG = 64
 _SIGNS = ".,!?;:*%&$#|"
@@ -224,7 +224,7 @@ def chunk_encoder(path: str, borders: Borders) -> ChunkEncoder:
     return ChunkEncoder(load(path), borders)
 
 
-def batches_of(texts: list, size: int = 4_000_000):
+def batches_of(texts: list, size: int = 1_000_000):
     """Slices (begin, end) of about size characters each, one text at least."""
     begin = total = 0
     for k, t in enumerate(texts):
