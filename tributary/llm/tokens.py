@@ -65,6 +65,17 @@ def _word(c: str) -> bool:
     return c.isalpha() and (c.isascii() or _LATIN(c) is not None)
 
 
+def _gaps(found: list) -> list[int]:
+    """Places of None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 class ChunkEncoder:
     """encode(texts) -> one bytes of little-endian unsigned 32-bit ids per text, as Tokenizer.encode gives them."""
 
@@ -177,10 +188,11 @@ class ChunkEncoder:
                 parts = [p[1:] for p in parts]
         get = self.rest.get
         found = [list(map(get, p)) for p in parts]
-        gaps = [k for k, v in enumerate(found) if None in v]
-        known = self._learn({c for k in gaps for c, x in zip(parts[k], found[k]) if x is None}, True)
-        for k in gaps:
-            found[k] = [known[c] if x is None else x for c, x in zip(parts[k], found[k])]
+        gaps = [_gaps(v) for v in found]
+        known = self._learn({p[i] for p, g in zip(parts, gaps) for i in g}, True)
+        for v, p, g in zip(found, parts, gaps):
+            for i in g:
+                v[i] = known[p[i]]
         out: list[bytes | None] = []
         whole = []
         for k, ids in enumerate(found):
