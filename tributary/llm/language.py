@@ -30,7 +30,7 @@ from tributary.llm.common import materialize
 SAMPLE, BUCKETS = 4000, 1 << 15
 #: Sum of trigram weight that a text can reach, strength of a parent prior, least posterior of a kept row.
 TEMPER, STRENGTH, KEEP = 60.0, 20.0, 0.5
-#: Hosts up to this number are broadcast; beyond it the priors are joined by shuffle.
+#: Hosts or claims up to this number are broadcast; beyond it their tables are joined by shuffle.
 BROADCAST = 50_000
 _HTML_LANG = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
 
@@ -123,13 +123,18 @@ def text_evidence(docs: DataFrame, model: TextModel, text_col: str = "text") ->
     return scored.withColumn("_text", F.col("_evidence._text")).withColumn("_letters", F.col("_evidence._letters")).drop("_evidence")
 
 
-def _table(counts: DataFrame, languages: list[str], key: str) -> dict[str, list[float]]:
-    """log P(key | language) from (key, lang, n); at most as many keys as there are claims kept."""
-    rows = counts.groupBy(key, "_best").agg(F.sum("n").alias("n")).where(F.col(key).isNotNull()).orderBy(F.desc("n"), key).limit(1000).collect()
-    per = {k: sum(r["n"] for r in rows if r["_best"] == k) for k in range(len(languages))}
-    keys = sorted({r[key] for r in rows})
-    seen = {(r[key], r["_best"]): r["n"] for r in rows}
-    return {k: [math.log((seen.get((k, i), 0) + 0.5) / (per[i] + 0.5 * (len(keys) + 1))) for i in range(len(languages))] for k in keys}
+def _claims(counts: DataFrame, k: int, key: str, name: str) -> DataFrame:
+    """(key, name): log P(key | language) for every claim that occurs, from counts of (key, best language)."""
+    by = counts.where(F.col(key).isNotNull()).groupBy(key).pivot("_best", list(range(k))).agg(F.sum("n")).na.fill(0)
+    by = materialize(by.select(key, *(F.col(str(i)).cast("double").alias(f"n{i}") for i in range(k))), "claims")
+    whole = by.agg(F.count(F.lit(1)).alias("keys"), *(F.coalesce(F.sum(f"n{i}"), F.lit(0.0)).alias(f"n{i}") for i in range(k))).first()
+    logs = (F.log((F.col(f"n{i}") + 0.5) / F.lit(whole[f"n{i}"] + 0.5 * (whole["keys"] + 1))) for i in range(k))
+    return materialize(by.select(key, F.array(*logs).alias(name)), "claims")
+
+
+def _beside(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join a table of one row a key: broadcast where its counted rows are few, else by shuffle."""
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST else table, key, "left")
 
 
 def identify(docs: DataFrame, model: TextModel, text_col: str = "text", host_col: str | None = None, declared_col: str | None = None, address_col: str | None = None, strength: float = STRENGTH) -> DataFrame:
@@ -151,7 +156,6 @@ def identify(docs: DataFrame, model: TextModel, text_col: str = "text", host_col
     alone = rows.withColumn("_best", F.array_position("_text", F.array_max("_text")).cast("int") - 1)
     # the one grouped aggregation: text-only decisions by host, claim and address
     counts = materialize(alone.where("_letters > 0").groupBy("_host", "_declared", "_address", "_best").agg(F.count(F.lit(1)).alias("n")), "claims")
-    declared, address = (_table(counts, model.languages, c) for c in ("_declared", "_address"))
     world = {r["_best"]: r["n"] for r in counts.groupBy("_best").agg(F.sum("n").alias("n")).collect()}
     whole = sum(world.values())
     root = [(world.get(i, 0) + 1.0) / (whole + k) for i in range(k)]
@@ -162,15 +166,13 @@ def identify(docs: DataFrame, model: TextModel, text_col: str = "text", host_col
     parent = F.zip_with("d", F.array(*map(F.lit, root)), lambda n, p: (n + strength * p) / (total(F.col("d")) + strength))
     prior = F.zip_with("c", F.col("p"), lambda n, p: F.log((n + strength * p) / (total(F.col("c")) + strength)))
     priors = materialize(by.join(up.withColumn("p", parent), "_domain").select("_host", prior.alias("_prior")), "priors")
-    joined = rows.join(F.broadcast(priors) if priors.count() <= BROADCAST else priors, "_host", "left")
-
-    def claim(table: dict, column: str) -> Column:
-        if not table:
-            return flat
-        lookup = F.create_map(*(x for key, v in table.items() for x in (F.lit(key), F.array(*map(F.lit, v)))))
-        return F.when(F.col(column).isNull(), flat).otherwise(F.coalesce(F.try_element_at(lookup, F.col(column)), flat))
-
-    fused = _fused(model.languages, F.col("_text"), claim(declared, "_declared"), claim(address, "_address"), F.coalesce("_prior", F.array(*(F.lit(math.log(p)) for p in root))))
+    joined = _beside(rows, priors, "_host")
+    for column, given_by in (("_declared", declared_col), ("_address", address_col)):
+        if given_by:
+            joined = _beside(joined, _claims(counts, k, column, f"{column}_log"), column)
+        else:
+            joined = joined.withColumn(f"{column}_log", flat)
+    fused = _fused(model.languages, F.col("_text"), F.coalesce("_declared_log", flat), F.coalesce("_address_log", flat), F.coalesce("_prior", F.array(*(F.lit(math.log(p)) for p in root))))
     out = joined.withColumn("_posterior", fused).withColumn("probability", F.array_max("_posterior"))
     out = out.withColumn("language", F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("_posterior", F.col("probability")).cast("int")))
     return out.withColumn("kept", (F.col("_letters") > 0) & (F.col("probability") >= KEEP)).select(*names, "language", "probability", "kept")
