@@ -50,6 +50,16 @@ _FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 32
 _LETTER = np.array([c >= 128 or chr(c).isalpha() for c in range(256)])
 
 
+def weighed(rows) -> dict[str, np.ndarray]:
+    """Trigram counts of each language; a text counts by its shares of trigrams, times at most 1,000."""
+    counts: dict[str, np.ndarray] = {}
+    for lang, raw in rows:
+        seen = np.bincount(_trigrams(raw), minlength=BUCKETS)
+        counts.setdefault(lang, np.zeros(BUCKETS))
+        counts[lang] += seen / seen.sum() * min(1000, seen.sum())
+    return counts
+
+
 class TextModel:
     """log P(trigram | language) for each language; scores are per language, tempered."""
 
@@ -61,12 +71,13 @@ class TextModel:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, bytes]]) -> TextModel:
-        languages = sorted({r[0] for r in rows})
-        counts = np.zeros((len(languages), BUCKETS))
-        for lang, raw in rows:
-            seen = np.bincount(_trigrams(raw), minlength=BUCKETS)
-            counts[languages.index(lang)] += seen / max(1, seen.sum()) * min(1000, seen.sum())
-        return cls(languages, counts)
+        """Fit on (language, whole text) pairs."""
+        return cls.of_counts(weighed(rows))
+
+    @classmethod
+    def of_counts(cls, counts: dict[str, np.ndarray]) -> TextModel:
+        languages = sorted(counts)
+        return cls(languages, np.array([counts[lang] for lang in languages]))
 
     def scores(self, raw: bytes, part: int = 1 << 20) -> tuple[np.ndarray, int]:
         """(log likelihoods up to a constant, letters seen)."""
@@ -81,13 +92,29 @@ class TextModel:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """Fit the text model on at most sample labelled rows, chosen by hash."""
-    labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text")).where("lang is not null and text is not null")
-    total = labelled.select("lang").count()
-    part = min(1.0, 1.2 * sample / max(1, total))
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(part * 1_000_000) + 1).limit(sample)
-    rows = sorted((r["lang"], bytes(r["text"])[:20_000]) for r in chosen.collect())
-    return TextModel.fit(rows or [("und", b"")])
+    """Fit the text model on at most sample distinct labelled texts, those of the smallest hashes, each read whole.
+
+    The cut-off is found on hashes alone; then one task counts the trigrams of
+    the chosen texts as they stream by, and only its counts reach the driver.
+    """
+    labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text")).where("lang is not null and text is not null")
+    labelled = labelled.withColumn("h", F.xxhash64("text", "lang"))
+    last = labelled.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return TextModel.fit([("und", b"")])
+    # copies of one text fall together before the shuffle, so a hot text costs one row a map task
+    chosen = labelled.where(F.col("h") <= last).dropDuplicates(["h"]).select("lang", "text").coalesce(1)
+
+    def count(batches):
+        whole: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, seen in weighed(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())).items():
+                whole[lang] = whole.get(lang, 0) + seen
+        if whole:
+            yield pa.RecordBatch.from_arrays([pa.array(list(whole)), pa.array([c.tobytes() for c in whole.values()], pa.binary())], ["lang", "counts"])
+
+    found = chosen.mapInArrow(count, "lang string, counts binary").collect()
+    return TextModel.of_counts({r["lang"]: np.frombuffer(r["counts"]) for r in found})
 
 
 def domain(host: Column) -> Column:
