@@ -159,7 +159,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for key, found in zip(ids[a:b], encoder.encode(texts[a:b])):
                     packer.add(key, found + end)
                     held += 1
-                    if held >= window:
+                    if held >= window or len(packer.full) >= window:  # few long documents fill memory as well
                         packer.pack()
                         yield out()
                         held = 0
