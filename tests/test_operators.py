@@ -90,6 +90,67 @@ def test_task_language(spark):
     assert sorted((r["event_type"], r["n"], r["top"]) for r in out.collect()) == [("a", 4, 8.0), ("b", 4, 9.0)]
 
 
+def test_task_grammar(spark):
+    task = dsl.compile_task("from 'd a.csv' format csv source-id-field auto prepare select a,b, filter a gte 1.5, rename a to c, cast c as integer, case b,c lower, replace b x to 'it\\'s', fill b with null, drop-missing all b,c, dedupe by b keep error transform `SELECT * FROM source ORDER BY id` export train 80 val 10 test 10 id-field id")
+    assert [s["op"] for s in task.steps] == ["select", "filter", "rename", "cast", "case", "replace", "fill", "drop_missing", "dedupe"]
+    assert task.source == "d a.csv" and task.steps[0]["fields"] == ["a", "b", dsl.RESERVED] and task.steps[1]["value"] == 1.5
+    assert task.steps[5]["to"] == "it's" and task.steps[6]["value"] is None and task.steps[7]["mode"] == "all" and task.steps[8]["keep"] == "error"
+    with pytest.raises(dsl.TaskError):
+        dsl.compile_task("from a source-id-field x prepare rename x to y export id-field x")
+
+
+def test_phrases(spark, tmp_path):
+    from tributary.plans.phrases import PHRASES
+
+    for phrase, _ in PHRASES:
+        filled = phrase.replace("<path>", "data.csv").replace("<fields>", "id,name，score")
+        for part in ("field", "name", "metric", "value"):
+            filled = filled.replace(f"<{part}>", part)
+        assert dsl.compile_task(filled).source == "data.csv"
+    assert dsl.compile_task("把 data.csv 填充 publisher 空值为 O'Reilly").steps[0]["value"] == "O'Reilly"
+    task = dsl.compile_task("把 data.csv 过滤 score 大于 10")
+    assert task.steps[0]["predicate"] == "gt" and task.steps[0]["value"] == 10 and task.id_field == dsl.RESERVED
+    assert dsl.compile_task("统计 data.csv 每个 user_id 的 amount 总和").aggregates == [("amount_sum", "sum", "amount")]
+    for bad in ("合并 a.csv 和 b.csv", "整理 https://example.test/data.csv", "对 data.csv 循环处理", "把 data.csv 填充 status 空值"):
+        with pytest.raises(dsl.TaskError) as e:
+            dsl.compile_task(bad)
+        assert e.value.code == "UNSUPPORTED_TASK"
+    for day in ("1", "2"):
+        (tmp_path / f"d={day}").mkdir()
+        (tmp_path / f"d={day}" / "a.csv").write_text("k,v\nx,%s\ny,b\nx,z\n" % day)
+    out = dsl.run_task(spark, f"把 {tmp_path} 按 k 去重").collect()
+    assert sorted((r["k"], r["v"]) for r in out) == [("x", "1"), ("y", "b")]
+    whole = dsl.run_task(spark, f"整理 {tmp_path}")
+    assert whole.count() == 6 and whole.select(dsl.RESERVED).distinct().count() == 6
+
+
+def test_row_numbers_of_split_text(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "repeat('x', 100) as t").coalesce(1).write.json(str(tmp_path / "j"))
+    path = next(p for p in (tmp_path / "j").iterdir() if p.suffix == ".json")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    try:
+        out = readers.with_ordinals(spark.read.json(str(path)), str(path))
+        assert out.rdd.getNumPartitions() > 4 and out.where("_row <> id").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_shards_by_bytes(spark):
+    t = spark.createDataFrame([(k, (k * 37) % 50) for k in range(300)], "id long, bytes long").union(spark.createDataFrame([(900, 500), (901, None)], "id long, bytes long"))
+    t = export.assign(t, "id", "s", {"x": 1, "y": 1})
+    got = sorted(tuple(r) for r in export.shard_by_bytes(t, "id", 7, 120).collect())
+    size = {r["id"]: r["bytes"] or 0 for r in t.collect()}
+    want, state = [], {}
+    for split, rid, position, _ in sorted(got, key=lambda r: (r[0], r[2])):
+        shard, n, held = state.get(split, (0, 0, 0))
+        if n and (n == 7 or held + size[rid] > 120):
+            shard, n, held = shard + 1, 0, 0
+        state[split] = (shard, n + 1, held + size[rid])
+        want.append((split, rid, position, shard))
+    assert got == sorted(want) and len(got) == 302
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,v\n1,"x\ny"\n2,\n')
     assert rows(readers.read_files(spark, str(tmp_path))) == [("1", "x\ny"), ("2", "")]

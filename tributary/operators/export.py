@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,22 +60,30 @@ def shard(df: DataFrame, id_col: str, max_records: int) -> DataFrame:
 def shard_by_bytes(df: DataFrame, id_col: str, max_records: int, max_bytes: int) -> DataFrame:
     """(split, id, position, shard): a shard closes at max_records or before it would pass max_bytes; a longer record stands alone.
 
-    The rule is sequential within a split, so only ids and sizes are gathered
-    for it, in hash order, one task a split.
+    The rule is sequential within a split. Only ids and sizes travel for it:
+    a task sorts its splits by position, spilling where they are large, and
+    reads them as a stream that remembers nothing but the open shard. Records
+    of null bytes have none.
     """
-    rows = _ranks(df, id_col).select("split", F.col(id_col).alias("id"), "position", F.col("bytes").cast("bigint").alias("bytes"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        shards, n, size, at = [], 0, 0, 0
-        for b in pdf["bytes"]:
-            if n and (n == max_records or size + b > max_bytes):
-                at, n, size = at + 1, 0, 0
-            n, size = n + 1, size + b
-            shards.append(at)
-        return pdf.assign(shard=shards)[["split", "id", "position", "shard"]]
-
-    return rows.groupBy("split").applyInPandas(run, f"split string, id {rows.schema['id'].dataType.simpleString()}, position long, shard long")
+    rows = _ranks(df, id_col).select("split", F.col(id_col).alias("id"), "position", F.coalesce(F.col("bytes").cast("bigint"), F.lit(0)).alias("bytes"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        split, shard, n, size = None, 0, 0, 0
+        for batch in batches:
+            shards = np.empty(batch.num_rows, np.int64)
+            names = batch.column(0).to_pylist()
+            sizes = batch.column(3).to_numpy()
+            for k, name in enumerate(names):
+                if name != split:
+                    split, shard, n, size = name, 0, 0, 0
+                if n and (n == max_records or size + sizes[k] > max_bytes):
+                    shard, n, size = shard + 1, 0, 0
+                n, size = n + 1, size + int(sizes[k])
+                shards[k] = shard
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shards)], ["split", "id", "position", "shard"])
+
+    return rows.repartition("split").sortWithinPartitions("split", "position").mapInArrow(run, f"split string, id {kind}, position long, shard long")
 
 
 def summary(sharded: DataFrame) -> DataFrame:

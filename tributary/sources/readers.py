@@ -6,9 +6,11 @@ import fnmatch
 import os
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 EXTENSIONS = {".csv": "csv", ".parquet": "parquet", ".jsonl": "jsonl", ".ndjson": "jsonl"}
 MAX_PATTERNS = 64
@@ -122,9 +124,31 @@ def file_manifest(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.replace("path", F.lit(base), F.lit("")).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"))
 
 
-def with_row_id(df: DataFrame, name: str, file_id: str = "") -> DataFrame:
-    """Add a deterministic id from file, path and ordinal of a Parquet row; the name must be free."""
+#: Blocks of files up to this number have their row counts broadcast; beyond it they are joined by shuffle.
+BLOCKS = 50_000
+
+
+def with_ordinals(df: DataFrame, root: str | None = None) -> DataFrame:
+    """df with _path (below root, or the bare name) and _row, the number of a row in its file. Text files carry none: rows are counted once by block, then numbered."""
+    base = Path(root).resolve() if root else None
+    below = F.replace("_metadata.file_path", F.lit((base if base.is_dir() else base.parent).as_uri().rstrip("/") + "/"), F.lit("")) if root else F.col("_metadata.file_name")
+    try:
+        return df.select("*", below.alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # only Parquet knows it
+        pass
+    rows = df.select("*", below.alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_k"))
+    blocks = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_first"))
+    earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    few = blocks.count() <= BLOCKS
+    joined = rows.join(F.broadcast(blocks) if few else blocks, ["_path", "_block"])
+    return joined.withColumn("_row", F.col("_k") - F.col("_first") + F.col("_before")).select(*df.columns, "_path", "_row")
+
+
+def with_row_id(df: DataFrame, name: str, file_id: str = "", root: str | None = None) -> DataFrame:
+    """Add a deterministic id from file, path and ordinal of a row; the name must be free."""
     if name in df.columns:
         raise SourceError("GENERATED_ID_EXISTS", name)
-    path, at = F.col("_metadata.file_name"), F.col("_metadata.row_index")
-    return df.select("*", F.concat(F.lit("row_"), F.sha2(F.concat_ws("\u0000", F.lit(file_id), path, at.cast("string")), 256)).alias(name))
+    key = F.sha2(F.concat_ws("\u0000", F.lit(file_id), F.col("_path"), F.col("_row").cast("string")), 256)
+    rows = df if {"_path", "_row"} <= set(df.columns) else with_ordinals(df, root)
+    return rows.withColumn(name, F.concat(F.lit("row_"), key)).drop(*({"_path", "_row"} - set(df.columns)))
