@@ -307,6 +307,8 @@ def test_language(spark, docs):
     weak = table.select("doc_id", "text", "lang", "host", F.lit(None).cast("string").alias("claim")).union(spark.createDataFrame([(99, "", "de", "h0.example.org", None), (98, None, None, None, None), (97, "42", None, "h1.example.org", None)], "doc_id long, text string, lang string, host string, claim string"))
     got = {r["doc_id"]: r for r in language.identify(weak, model, host_col="host", declared_col="claim").collect()}
     assert got[99]["language"] == "de" and not got[99]["kept"] and not got[98]["kept"] and got[97]["language"] == "en"
+    again = language.identify(language.text_evidence(table, model).drop("text"), model, host_col="host", scored=True)
+    assert sorted((r["doc_id"], r["language"], round(r["probability"], 9)) for r in again.collect()) == sorted((r["doc_id"], r["language"], round(r["probability"], 9)) for r in out.collect())
     odd = language.identify(docs.withColumn("kept", F.lit("clash")), model, host_col="source")
     assert odd.count() == docs.count() and odd.columns[-3:] == ["language", "probability", "kept"]
     assert language.identify(docs.limit(0), model).count() == 0

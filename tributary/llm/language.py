@@ -164,7 +164,7 @@ def _beside(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(table) if table.count() <= BROADCAST else table, key, "left")
 
 
-def identify(docs: DataFrame, model: TextModel, text_col: str = "text", host_col: str | None = None, declared_col: str | None = None, address_col: str | None = None, strength: float = STRENGTH) -> DataFrame:
+def identify(docs: DataFrame, model: TextModel, text_col: str = "text", host_col: str | None = None, declared_col: str | None = None, address_col: str | None = None, strength: float = STRENGTH, scored: bool = False) -> DataFrame:
     """Every row and column of docs, plus language, probability, kept.
 
     host_col, declared_col and address_col name columns with the host, the
@@ -172,14 +172,16 @@ def identify(docs: DataFrame, model: TextModel, text_col: str = "text", host_col
     missing evidence counts as none. A row is kept where it has a letter and its
     best language reaches KEEP. Null and empty texts rest on the other evidence
     and are not kept. Input columns named language, probability or kept are
-    replaced; repeated rows repeat.
+    replaced; repeated rows repeat. scored: docs come from text_evidence, with
+    or without their texts, so no text is read again.
     """
     spark, k = docs.sparkSession, len(model.languages)
     given = docs.drop("language", "probability", "kept")
-    names = given.columns
+    names = [c for c in given.columns if not (scored and c in ("_text", "_letters"))]
     flat = F.array(*(F.lit(0.0) for _ in range(k)))
     pick = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
-    rows = text_evidence(given.withColumn("_host", pick(host_col)).withColumn("_declared", F.lower(pick(declared_col))).withColumn("_address", F.lower(pick(address_col))), model, text_col)
+    rows = given.withColumn("_host", pick(host_col)).withColumn("_declared", F.lower(pick(declared_col))).withColumn("_address", F.lower(pick(address_col)))
+    rows = rows if scored else text_evidence(rows, model, text_col)
     alone = rows.withColumn("_best", F.array_position("_text", F.array_max("_text")).cast("int") - 1)
     # the one grouped aggregation: text-only decisions by host, claim and address
     counts = materialize(alone.where("_letters > 0").groupBy("_host", "_declared", "_address", "_best").agg(F.count(F.lit(1)).alias("n")), "claims")
@@ -229,5 +231,8 @@ def with_evidence(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 def op9_language(spark, sf_dir: str) -> DataFrame:
     docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
-    found = identify(with_evidence(docs.select("doc_id", "text", "source"), pages), train(docs), "text", "_h", "_d", "_a")
+    model = train(docs)
+    # texts are scored once, before the join, and only their scores travel
+    scores = materialize(text_evidence(docs.select("doc_id", "text", "source"), model).drop("text"), "scores")
+    found = identify(with_evidence(scores, pages), model, "text", "_h", "_d", "_a", scored=True)
     return found.select("doc_id", "language", "probability", "kept")
