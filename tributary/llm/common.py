@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,19 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of keys of up to this many counted rows is broadcast to those it is held against; a larger one is joined by shuffle.
+FEW = 100_000
+
+
+def without(df: DataFrame, gone: DataFrame, keys: list[Column], tag: str) -> DataFrame:
+    """Rows of df whose keys are not a row of gone (its columns in the order of keys; nulls are equal)."""
+    gone = materialize(gone.toDF(*(f"_gone{k}" for k in range(len(keys)))).distinct(), tag)
+    match = F.lit(True)
+    for k, key in enumerate(keys):
+        match = match & key.eqNullSafe(F.col(f"_gone{k}"))
+    return df.join(F.broadcast(gone) if gone.count() <= FEW else gone, match, "left_anti")
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a materialized table that no later plan reads."""
     spark = df.sparkSession
