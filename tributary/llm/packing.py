@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.tokens import SPACED, Borders, batches_of, chunk_encoder, default_path
+from tributary.llm.tokens import CACHE, SPACED, Borders, batches_of, chunk_encoder, default_path
 
 TIERS = (1024, 512, 256, 128)
 WINDOW = 4096
@@ -128,12 +128,12 @@ class TierPacker:
             self.groups += n
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, tiers: tuple[int, ...] = TIERS, group: int = GROUP, window: int = WINDOW, borders: Borders = SPACED) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, tiers: tuple[int, ...] = TIERS, group: int = GROUP, window: int = WINDOW, borders: Borders = SPACED, room: int = CACHE) -> DataFrame:
     """One row per piece: id_col and the columns of SCHEMA.
 
     Null text is empty and gives one piece, the end id. Rows with a null or a
     repeated id are packed like any other. sequence_length is a power of two, so
-    no sequence needs padding; sequence_id is unique, step_group names
+    no sequence needs padding; room bounds the chunks a worker remembers; sequence_id is unique, step_group names
     sequences of one length that a step takes together. Other columns are not
     read. An empty table gives an empty result.
     """
@@ -144,7 +144,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         path = tokenizer or default_path("byte_bpe_50k.json")
-        encoder = chunk_encoder(path, borders)
+        encoder = chunk_encoder(path, borders, room)
         packer, held, schema = TierPacker(TaskContext.get().partitionId() << 40, tiers, group), 0, None
 
         def out():

@@ -231,9 +231,9 @@ def load(path: str):
 
 
 @lru_cache(maxsize=4)
-def chunk_encoder(path: str, borders: Borders) -> ChunkEncoder:
+def chunk_encoder(path: str, borders: Borders, room: int = CACHE) -> ChunkEncoder:
     """One encoder, and so one cache, for each Python worker."""
-    return ChunkEncoder(load(path), borders)
+    return ChunkEncoder(load(path), borders, room)
 
 
 def batches_of(texts: list, size: int = 1_000_000):
