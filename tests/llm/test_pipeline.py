@@ -29,3 +29,26 @@ def test_one_of_each(spark):
 def test_registered():
     names = queries()
     assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Every pair of five-word Jaccard similarity 0.8 or more links, and no other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in docs.collect()]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for _, w in rows]
+    label = list(range(len(rows)))
+
+    def top(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * min(len(a), len(sets[j])) >= 4 * max(len(a), len(sets[j])) and 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j])):
+                label[max(top(i), top(j))] = min(top(i), top(j))
+    least = {}
+    for k, (n, _) in enumerate(rows):
+        least[top(k)] = min(n, least.get(top(k), n))
+    out = corpus_pipeline.keep_one_of_each(spark, docs, DIR)
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(least.values())
