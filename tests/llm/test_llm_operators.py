@@ -223,6 +223,15 @@ def test_html():
     assert html.main_text("<p>" + "word " * 50_000 + "</p>").count("word") == 50_000
 
 
+def test_html_links_inside_articles():
+    """Nothing of an article goes for the links before it or in it; link blocks without an article do."""
+    nav = "<nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav>"
+    assert html.main_text(f"<body>{nav}<article><p>A first paragraph without a heading.</p><p>More of it.</p></article>") == "A first paragraph without a heading.\n\nMore of it."
+    linked = "<article><h1>Title</h1><p><a href=x>nearly all of it is one</a> link</p><p>Short.</p><ul><li><a href=y>an item</a> too</li><li>plain</li></ul><p>" + "word " * 30 + "</p></article>"
+    assert html.main_text(nav + linked) == "Title\n\nnearly all of it is one link\n\nShort.\n\nan item too\n\nplain\n\n" + ("word " * 30).strip()
+    assert html.main_text("<div><p>" + "text of the page " * 9 + "</p><p><a href=x>eight linked words that are no main text</a></p></div>") == ("text of the page " * 9).strip()
+
+
 def test_html_table(spark):
     t = spark.createDataFrame([(1, "u", None, 5, "x"), (2, None, "<article><p>Hi你</p></article>", 6, "y"), (2, None, "<article><p>Hi你</p></article>", 6, "y")], "page_id long, url string, html string, n_chars int, text string")
     assert sorted(map(tuple, html.extract_text(t).collect()), key=str) == [(1, "u", "", 0), (2, None, "Hi你", 3), (2, None, "Hi你", 3)]

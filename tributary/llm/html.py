@@ -46,7 +46,7 @@ LABELLED = (
     # reader comments and footers
     (0, 1, 0, 0, 35, 0.0, 3, 0.5, 20, 0.0, 0), (1, 1, 0, 0, 18, 0.0, 35, 0.0, 22, 0.0, 0), (0, 1, 0, 0, 12, 0.0, 50, 0.0, 0, 0.0, 0),
     (0, 1, 0, 0, 9, 0.3, 30, 0.0, 0, 0.0, 0), (0, 1, 0, 0, 110, 0.0, 20, 0.0, 4, 0.0, 0), (0, 0, 0, 0, 5, 0.8, 3, 1.0, 0, 0.0, 0),
-    (1, 0, 0, 1, 6, 1.0, 4, 1.0, 5, 1.0, 0), (1, 0, 0, 1, 5, 1.0, 40, 0.0, 6, 1.0, 0), (1, 0, 0, 0, 9, 1.0, 8, 1.0, 7, 1.0, 0),
+    (1, 0, 0, 1, 6, 1.0, 4, 1.0, 5, 1.0, 1), (1, 0, 0, 1, 5, 1.0, 40, 0.0, 6, 1.0, 1), (1, 0, 0, 0, 9, 1.0, 8, 1.0, 7, 1.0, 1),
     # titles and paragraphs of articles, long and short
     (1, 0, 1, 0, 8, 0.0, 7, 0.0, 45, 0.0, 1), (1, 0, 1, 0, 1, 0.0, 2, 1.0, 3, 0.0, 1), (1, 0, 1, 0, 12, 0.0, 0, 0.0, 12, 0.0, 1),
     (1, 0, 0, 0, 45, 0.0, 8, 0.0, 60, 0.0, 1), (1, 0, 0, 0, 60, 0.05, 45, 0.0, 2, 0.0, 1), (1, 0, 0, 0, 2, 0.0, 60, 0.0, 30, 0.0, 1),
@@ -54,10 +54,22 @@ LABELLED = (
     (1, 0, 0, 0, 9, 0.0, 12, 0.0, 15, 0.3, 1), (1, 0, 0, 0, 14, 0.4, 40, 0.0, 33, 0.0, 1), (1, 0, 0, 0, 3, 0.0, 0, 0.0, 0, 0.0, 1),
     (1, 0, 0, 1, 7, 0.0, 40, 0.0, 9, 0.0, 1), (1, 0, 0, 1, 4, 0.0, 7, 0.0, 30, 0.0, 1), (1, 0, 0, 1, 16, 0.3, 9, 0.0, 12, 0.0, 1),
     (1, 0, 0, 0, 20, 0.0, 30, 0.0, 4, 1.0, 1), (1, 0, 1, 0, 6, 0.0, 0, 0.0, 3, 1.0, 1), (1, 0, 0, 0, 5, 0.1, 9, 0.0, 2, 0.9, 1),
+    # inside articles after blocks of links: short and medium paragraphs, list items, paragraphs and items that are mostly or only links
+    (1, 0, 0, 0, 4, 0.0, 2, 1.0, 3, 1.0, 1), (1, 0, 0, 0, 12, 0.0, 1, 1.0, 30, 0.0, 1), (1, 0, 0, 0, 25, 0.0, 6, 1.0, 40, 0.0, 1), (1, 0, 0, 0, 47, 0.1, 3, 1.0, 9, 0.0, 1),
+    (1, 0, 0, 0, 8, 0.0, 9, 0.7, 5, 0.0, 1), (1, 0, 0, 1, 3, 0.0, 5, 0.8, 4, 0.0, 1), (1, 0, 0, 1, 10, 0.2, 4, 1.0, 6, 1.0, 1), (1, 0, 0, 1, 30, 0.0, 8, 0.9, 0, 0.0, 1),
+    (1, 0, 0, 0, 10, 0.7, 30, 0.0, 20, 0.0, 1), (1, 0, 0, 0, 20, 0.9, 9, 0.0, 12, 0.0, 1), (1, 0, 0, 0, 6, 1.0, 40, 0.0, 30, 0.0, 1), (1, 0, 0, 1, 6, 0.8, 5, 0.9, 7, 0.8, 1),
     # pages without an article element
     (0, 0, 1, 0, 7, 0.0, 2, 1.0, 40, 0.0, 1), (0, 0, 0, 0, 40, 0.0, 7, 0.0, 55, 0.0, 1), (0, 0, 0, 0, 55, 0.1, 40, 0.0, 6, 0.0, 1),
     (0, 0, 0, 0, 6, 0.0, 55, 0.1, 48, 0.0, 1), (0, 0, 0, 0, 26, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 0, 0, 90, 0.0, 3, 1.0, 9, 1.0, 1),
     (0, 0, 0, 1, 12, 0.0, 40, 0.0, 14, 0.0, 1), (0, 0, 1, 0, 3, 0.0, 48, 0.0, 50, 0.0, 1), (0, 0, 0, 0, 12, 0.0, 40, 0.0, 50, 0.0, 1),
+    # the same without an article: long link blocks go, short text among text stays, short text between link blocks goes
+    (0, 0, 0, 0, 7, 1.0, 40, 0.0, 6, 0.0, 0), (0, 0, 0, 0, 12, 1.0, 9, 0.0, 55, 0.0, 0), (0, 0, 0, 1, 9, 0.9, 30, 0.0, 8, 1.0, 0), (0, 0, 0, 0, 30, 0.8, 20, 0.0, 25, 0.0, 0),
+    (0, 0, 0, 0, 60, 1.0, 40, 0.0, 12, 0.0, 0), (0, 0, 0, 0, 2, 0.0, 40, 0.0, 30, 0.0, 1), (0, 0, 0, 0, 1, 0.0, 12, 0.0, 9, 0.0, 1), (0, 0, 0, 1, 3, 0.0, 8, 0.0, 4, 0.0, 1),
+    (0, 0, 0, 0, 5, 0.0, 0, 0.0, 8, 0.0, 1), (0, 0, 0, 0, 7, 0.0, 2, 1.0, 3, 1.0, 0), (0, 0, 0, 0, 3, 0.0, 4, 0.9, 1, 1.0, 0),
+    (0, 0, 0, 0, 5, 0.0, 40, 0.0, 0, 0.0, 1), (0, 0, 0, 0, 4, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 0, 0, 12, 0.0, 20, 0.0, 2, 1.0, 1), (0, 0, 0, 1, 6, 0.0, 5, 0.0, 1, 1.0, 1),
+    (0, 0, 0, 0, 15, 0.0, 8, 0.1, 3, 1.0, 1), (0, 0, 0, 0, 6, 0.0, 3, 1.0, 20, 0.0, 0), (0, 0, 0, 0, 10, 0.0, 2, 1.0, 8, 0.0, 0), (0, 0, 0, 0, 2, 0.3, 9, 0.0, 2, 0.0, 1),
+    (0, 0, 1, 0, 3, 0.0, 2, 1.0, 40, 0.0, 1), (0, 0, 1, 0, 5, 0.0, 3, 1.0, 8, 0.0, 1), (0, 0, 1, 0, 2, 0.0, 4, 0.9, 3, 0.0, 1), (0, 0, 1, 0, 10, 0.0, 2, 1.0, 12, 0.0, 1),
+    (0, 0, 0, 0, 30, 0.0, 2, 1.0, 20, 0.0, 0), (0, 0, 0, 0, 20, 0.0, 3, 1.0, 9, 0.0, 0), (0, 0, 0, 0, 40, 0.0, 3, 1.0, 30, 0.0, 0),
 )
 
 
