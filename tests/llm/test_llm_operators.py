@@ -232,6 +232,20 @@ def test_html_links_inside_articles():
     assert html.main_text("<div><p>" + "text of the page " * 9 + "</p><p><a href=x>eight linked words that are no main text</a></p></div>") == ("text of the page " * 9).strip()
 
 
+def test_html_articles_that_are_not_the_page():
+    """Teasers and comments marked as articles do not hide the text; cues on what holds an article do not drop it."""
+    text = "The whole text of this page stands in a plain block without any mark."
+    teasers = "<aside><article><h3>Other</h3><p>Read this other article too.</p></article></aside>"
+    comments = '<section id="comments"><article id="div-comment-5" class="comment-body"><p>Nice, thanks.</p></article></section>'
+    bare = '<article class="comment"><p>Also a comment of a reader.</p></article>'
+    assert html.main_text(f"<body><div><p>{text}</p></div>{teasers}{comments}{bare}</body>") == text
+    for name in ("content with-sidebar", "no-sidebar", "has-header", "social", "page sidebar-layout"):
+        assert html.main_text(f'<body><div class="{name}"><article><p>{text}</p></article>{teasers}{comments}</div></body>') == text
+    assert html.main_text(f'<form><nav><a href=x>Home</a></nav><main><p>{text}</p></main></form>') == text
+    assert html.main_text(f'<div class="no-sidebar has-header"><p>{text}</p></div>') == text
+    assert html.main_text(f'<article class="post comments-open"><p>{text}</p><div class="share">Share this</div></article>') == text
+
+
 def test_html_table(spark):
     t = spark.createDataFrame([(1, "u", None, 5, "x"), (2, None, "<article><p>Hi你</p></article>", 6, "y"), (2, None, "<article><p>Hi你</p></article>", 6, "y")], "page_id long, url string, html string, n_chars int, text string")
     assert sorted(map(tuple, html.extract_text(t).collect()), key=str) == [(1, "u", "", 0), (2, None, "Hi你", 3), (2, None, "Hi你", 3)]

@@ -26,11 +26,18 @@ RAW = "script|style|template|noscript|textarea|iframe|object|svg|math|select|but
 SHELL = frozenset("nav header footer aside form menu dialog fieldset".split())
 CUES = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget related recommended comment comments reply replies disqus respond cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup share sharing social form search login copyright complementary contentinfo".split())
 ARTICLE = frozenset("article main".split())
+#: Boilerplate that can hold articles of its own (teasers, comments), as against wrappers of a page that only bear a cue.
+HARD_TAGS = frozenset("nav header footer aside menu dialog".split())
+HARD = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu footer sidebar aside widget related recommended teaser teasers comment comments reply replies disqus respond complementary contentinfo".split())
+#: First parts of names that tell about something else on the page, and last parts that tell about its layout.
+MODIFIERS = frozenset("no not has with without hide show is".split())
+LAYOUT = frozenset("open closed enabled disabled layout page left right wrap wrapper".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
 _CUE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_TEASER = re.compile(r"(?:div-|li-)?(?:comment|reply|teaser|related|recommended|promo|sponsored|ad|advert)(?:-(?:body|item|content|\d+))*")
 
 FEATURES = ("in_article", "shell", "heading", "item", "words", "links", "words_before", "links_before", "words_after", "links_after")
 #: Labelled blocks of hand-made pages: the features above, then 1 for main text.
@@ -105,12 +112,30 @@ def classify(tree, row) -> float:
     return tree
 
 
+def boilerplate(tag: str, rest: str) -> int:
+    """What an element says of what it holds: 0 nothing, 1 boilerplate unless an article in it says otherwise, 2 boilerplate with all articles in it."""
+    names = [t for groups in _CUE.findall(rest) for t in "".join(groups).lower().split()]
+    if tag in ARTICLE:
+        return 2 if tag == "article" and any(_TEASER.fullmatch(t) for t in names) else 0
+    if tag in ("body", "html"):
+        return 0
+    level = 2 if tag in HARD_TAGS else int(tag in SHELL)
+    for name in names:
+        words = _WORD.findall(name)
+        if words and words[0] not in MODIFIERS:
+            if words[0] in HARD and words[-1] not in LAYOUT:
+                level = 2
+            elif CUES.intersection(words):
+                level = max(level, 1)
+    return level
+
+
 def blocks(page: str) -> list[tuple[str, tuple]]:
     """(text, features) of each non-empty block in page order."""
     found: list[list] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, under boilerplate, in an article
+    stack: list[tuple[str, int, bool]] = []  # tag, level of boilerplate, in an article
     anchors = 0
 
     def close() -> None:
@@ -119,8 +144,8 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
             n = words.count(" ") + 1
             links = len(unescape("".join(linked)).split())
             tags = [s[0] for s in stack]
-            shell, article = stack[-1][1:] if stack else (False, False)
-            found.append([words, int(article), int(shell), int(any(t in HEADING for t in tags)), int("li" in tags), n, min(1.0, links / n)])
+            shell, article = stack[-1][1:] if stack else (0, False)
+            found.append([words, int(article), int(shell > 0), int(any(t in HEADING for t in tags)), int("li" in tags), n, min(1.0, links / n)])
         text.clear()
         linked.clear()
 
@@ -165,11 +190,12 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
                 if stack[k][0] == "li":
                     del stack[k:]
                     break
-        shell, article = stack[-1][1:] if stack else (False, False)
-        names = {w for groups in _CUE.findall(m["rest"] or "") for w in _WORD.findall("".join(groups).lower())}
-        if tag not in ("body", "html") and tag not in ARTICLE:
-            shell = shell or tag in SHELL or bool(names & CUES)
-        stack.append((tag, shell, article or tag in ARTICLE))
+        shell, article = stack[-1][1:] if stack else (0, False)
+        level = boilerplate(tag, m["rest"] or "")
+        if tag in ARTICLE and not article and not level and (shell < 2 or tag == "main"):
+            shell, article = 0, True  # an article under a wrapper that only bears a cue
+        shell = max(shell, level)
+        stack.append((tag, shell, article))
     close()
     out = []
     for k, (words, article, shell, heading, item, n, links) in enumerate(found):
@@ -183,7 +209,7 @@ def main_text(page: str | None, tree=None) -> str:
     """Blocks that the tree keeps, joined by two line ends. None and pages without text give ''."""
     tree = tree or default_tree()
     found = blocks(page or "")
-    if any(f[0] for _, f in found):  # where the page marks an article, only what it holds can be main text
+    if any(f[0] and not f[1] for _, f in found):  # where the page marks an article that is no boilerplate, only what it holds can be main text
         found = [(t, f) for t, f in found if f[0]]
     return "\n\n".join(t for t, f in found if classify(tree, f) > 0.5)
 
