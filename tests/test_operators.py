@@ -186,3 +186,18 @@ def test_streaming_gate(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == ["NULL"]
+
+
+def test_sample_findings(spark):
+    """Moves, re-encodings and ambiguous pairs are told by path, content and perceptual matches."""
+    schema = "path string, content_hash string, label string, split string, bits long"
+    before = spark.createDataFrame([("a", "1", "x", "s", 0), ("b", "2", "x", "s", 255 << 20), ("c", "3", "x", "s", 1), ("p", "4", "x", "s", 127 << 40), ("q", "5", "x", "s", 127 << 40), ("z", "9", "x", "s", None)], schema)
+    after = spark.createDataFrame([("m/a", "1", "y", "s", 0), ("m/b", "2b", "x", "t", 255 << 20 | 1), ("c", "3c", "x", "s", 3), ("r", "6", "x", "s", 127 << 40), ("t", "7", "x", "s", 127 << 40), ("n", "8", "x", "s", None)], schema)
+    got = sorted((r["code"], tuple(r["sample_ids"]), r["distance"]) for r in review.sample_findings(before, after).collect())
+    assert got == [
+        ("AMBIGUOUS_MATCH", ("p", "q", "r", "t"), 0), ("LABEL_CHANGED", ("a", "m/a"), None), ("PROBABLE_REENCODE", ("b", "m/b"), 1), ("PROBABLE_REENCODE", ("c", "c"), 1), ("SAMPLE_ADDED", ("n",), None),
+        ("SAMPLE_MOVED", ("a", "m/a"), None), ("SAMPLE_MOVED", ("b", "m/b"), None), ("SAMPLE_REMOVED", ("z",), None), ("SPLIT_CHANGED", ("b", "m/b"), None),
+    ]
+    near = before.withColumnRenamed("path", "id")
+    assert sorted((r["members"], r["code"]) for r in review.near_groups(near).collect()) == [(2, "NEAR_DUPLICATE_GROUP"), (2, "NEAR_DUPLICATE_GROUP")]
+    assert review.near_groups(near.withColumn("split", near["id"])).where("code = 'CROSS_SPLIT_NEAR_LEAKAGE'").count() == 2

@@ -175,6 +175,77 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select(F.coalesce("a.path", "b.path").alias("path"), F.explode(code).alias("code"))
 
 
+def match_samples(before: DataFrame, after: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(before_path, after_path, method, distance, confidence, members) by path, then content, then perceptual hash.
+
+    Samples are (path, content_hash, label, split) with an optional 64-bit hash,
+    bits. What is left of both sides is matched within radius, each connected
+    component at least total distance; where another assignment costs the same,
+    all its pairs are ambiguous and members are the paths of the component.
+    """
+    a, b = (x if "bits" in x.columns else x.withColumn("bits", F.lit(None).cast("long")) for x in (before, after))
+    none = F.lit(None).cast("array<string>")
+    distance = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))).cast("long")
+    bits = a.select(F.col("path").alias("before_path"), F.col("bits").alias("a_bits")).join(b.select(F.col("path").alias("before_path"), F.col("bits").alias("b_bits")), "before_path")
+    paths = match_paths(a, b).join(bits, "before_path").select("before_path", "after_path", F.lit("path").alias("method"), distance.alias("distance"), "confidence", none.alias("members"))
+    same = match_contents(a, b).select("before_path", "after_path", F.lit("content").alias("method"), F.lit(0).cast("long").alias("distance"), F.lit("exact").alias("confidence"), none.alias("members"))
+    found = _cut(paths.union(same))
+    left = a.join(found.select(F.col("before_path").alias("path")), "path", "left_anti").select(F.col("path").alias("id"), "bits")
+    right = b.join(found.select(F.col("after_path").alias("path")), "path", "left_anti").select(F.col("path").alias("id"), "bits")
+    pairs = _cut(near_pairs(left, right, radius))
+    if pairs.isEmpty():
+        return found
+    ends = pairs.select(F.concat(F.lit("a:"), "a").alias("a"), F.concat(F.lit("b:"), "b").alias("b"))
+    grouped = pairs.withColumn("node", F.concat(F.lit("a:"), "a")).join(components(ends, ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()), "node")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        costs = {(x, y): int(d) for x, y, d in zip(pdf["a"], pdf["b"], pdf["distance"])}
+        lefts, rights = sorted({x for x, _ in costs}), sorted({y for _, y in costs})
+        if len(costs) == len(lefts) * len(rights) and len(set(costs.values())) == 1:
+            chosen = list(zip(lefts, rights))
+            ambiguous = len(chosen) > 1
+        else:
+            # ties go to the first places, without ever outweighing a distance
+            weight = (len(lefts) * len(rights) + 1) * (min(len(lefts), len(rights)) + 1)
+            row, column = ({x: k for k, x in enumerate(side)} for side in (lefts, rights))
+            chosen = assign_component({(x, y): d * weight + row[x] * len(rights) + column[y] for (x, y), d in costs.items()})
+            total, ambiguous = sum(costs[p] for p in chosen), False
+            for p in chosen:
+                other = assign_component({k: v for k, v in costs.items() if k != p})
+                if len(other) == len(chosen) and sum(costs[x] for x in other) == total:
+                    ambiguous = True
+                    break
+        members = sorted([*lefts, *rights]) if ambiguous else None
+        return pd.DataFrame([(*p, "perceptual", costs[p], "ambiguous" if ambiguous else "probable", members) for p in chosen], columns=["before_path", "after_path", "method", "distance", "confidence", "members"])
+
+    return found.union(grouped.groupBy("component").applyInPandas(solve, "before_path string, after_path string, method string, distance long, confidence string, members array<string>"))
+
+
+def sample_findings(before: DataFrame, after: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(code, sample_ids, distance): what changed between two snapshots, by all matches of match_samples; ambiguous pairs tell no change."""
+    matches = _cut(match_samples(before, after, radius))
+    sure = matches.where("confidence <> 'ambiguous'").alias("m").join(before.alias("a"), F.col("m.before_path") == F.col("a.path")).join(after.alias("b"), F.col("m.after_path") == F.col("b.path"))
+    near = F.coalesce(F.col("m.distance") <= radius, F.lit(False))
+    other = F.col("a.content_hash") != F.col("b.content_hash")
+    codes = F.array_compact(F.array(
+        F.when(~F.col("a.split").eqNullSafe(F.col("b.split")), "SPLIT_CHANGED"), F.when(~F.col("a.label").eqNullSafe(F.col("b.label")), "LABEL_CHANGED"),
+        F.when(F.col("a.path") != F.col("b.path"), "SAMPLE_MOVED"), F.when(other & near, "PROBABLE_REENCODE"), F.when(other & ~near, "CONTENT_CHANGED"),
+    ))
+    found = sure.select(F.explode(codes).alias("code"), F.array("m.before_path", "m.after_path").alias("sample_ids"), F.col("m.distance").alias("distance"))
+    found = found.withColumn("distance", F.when(F.col("code").isin("PROBABLE_REENCODE", "CONTENT_CHANGED"), F.col("distance")))
+    unsure = matches.where("confidence = 'ambiguous'").groupBy("members").agg(F.sum("distance").alias("distance")).select(F.lit("AMBIGUOUS_MATCH").alias("code"), F.col("members").alias("sample_ids"), "distance")
+    one = lambda x, side, code: x.join(matches.select(F.col(side).alias("path")), "path", "left_anti").select(F.lit(code).alias("code"), F.array("path").alias("sample_ids"), F.lit(None).cast("long").alias("distance"))
+    return found.union(unsure).union(one(after, "after_path", "SAMPLE_ADDED")).union(one(before, "before_path", "SAMPLE_REMOVED"))
+
+
+def near_groups(samples: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(component, members, splits, code): groups of near_components, leakage where they span splits."""
+    groups = near_components(samples, radius).join(samples.select("id", "split"), "id").groupBy("component")
+    groups = groups.agg(F.count(F.lit(1)).alias("members"), (F.count_distinct("split") + F.max(F.col("split").isNull().cast("int"))).alias("splits"))
+    codes = F.array_compact(F.array(F.lit("NEAR_DUPLICATE_GROUP"), F.when(F.col("splits") > 1, "CROSS_SPLIT_NEAR_LEAKAGE")))
+    return groups.select("component", "members", "splits", F.explode(codes).alias("code"))
+
+
 def distribution(samples: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
     """(dimension, key, n, share): all histograms in one aggregation."""
     cells = F.array(*(F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias("key")) for d in dimensions))

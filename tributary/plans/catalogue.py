@@ -364,6 +364,16 @@ def sample_changes(spark, d):
     return review.changes(*_samples(spark, d))
 
 
+@query(None)
+def sample_findings(spark, d):
+    return review.sample_findings(*_samples(spark, d))
+
+
+@query(None)
+def near_duplicate_groups(spark, d):
+    return review.near_groups(_signs(spark, d), 17)
+
+
 _GROUPS = f"SELECT content_hash, count(*) AS members, count(DISTINCT split) AS splits FROM ({_SAMPLES}) GROUP BY content_hash HAVING count(*) > 1"
 
 
