@@ -365,3 +365,11 @@ def test_secrets_against_brute_force(spark, docs):
     nulls = secrets.redact(secrets.scan_secrets(docs))
     assert nulls.columns == docs.columns and nulls.where("doc_id = 0 and text is null").count() == 1
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_secrets_after_long_weak_parts(spark):
+    """A complement right after a weak part that is longer than the scope links too."""
+    long = ["x " * 199 + " " + "https://a.example.org/" + "p" * 778 + " AKIA" + "Q7" * 8 + " " + "0123456789abcdef" * 2, "x " * 199 + " client_id=" + "z" * 790 + " " + "0123456789abcdef" * 2]
+    t = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["linked_spans"]] for r in secrets.scan_secrets(t).collect()}
+    assert got == {0: [("endpoint", 399, 1199)], 1: [("identifier", 399, 1199)]}

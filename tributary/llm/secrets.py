@@ -3,10 +3,8 @@
 Base detectors report what is strong by itself. Weak parts (a 40-character
 secret-like string, a service endpoint, a short key identifier) mean nothing
 alone: they are reported only where complementary parts meet within a scope.
-The link is an interval join inside the row: every part opens an interval of
-``scope`` code points around itself, intervals are cut into buckets of that
-length, and a weak part is looked up in the buckets of its complements before
-distances are compared. A text is scanned whole, and rows never leave their
+The link is an interval join inside the row: the gap between a weak part and
+each of its complements is compared with ``scope``. A text is scanned whole, and rows never leave their
 partition, so a hot source or a long text adds no shuffle.
 """
 
@@ -52,9 +50,8 @@ def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0
 
 
 def _near(part: Column, others: Column, scope: int) -> Column:
-    """Is part within scope code points of one of others? Buckets of the scope's length are compared first."""
-    bucket = lambda at: F.floor(at / scope)
-    return F.exists(others, lambda o: (F.abs(bucket(o["start"]) - bucket(part["start"])) <= 1 + F.ceil((o["end"] - o["start"]) / scope)) & (F.greatest(o["start"], part["start"]) - F.least(o["end"], part["end"]) <= scope))
+    """Is part within scope code points of one of others?"""
+    return F.exists(others, lambda o: F.greatest(o["start"], part["start"]) - F.least(o["end"], part["end"]) <= scope)
 
 
 def _joined(spans: Column) -> Column:
