@@ -52,3 +52,11 @@ def test_near_duplicates_against_brute_force(spark):
         least[top(k)] = min(n, least.get(top(k), n))
     out = corpus_pipeline.keep_one_of_each(spark, docs, DIR)
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(least.values())
+
+
+def test_one_id_on_two_texts(spark):
+    """A text goes only where it is a copy itself, not for another text of its id."""
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "some text that is no copy of any"), (4, "one of two other texts here"), (4, "and the second of these texts"), (5, "x y z"), (5, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.keep_one_of_each(spark, docs, DIR)
+    assert sorted(map(tuple, out.collect())) == sorted({rows[0], *rows[2:]})
