@@ -15,6 +15,20 @@ SETTINGS = {
 }
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for tables between jobs: that of ``spark.checkpoint.dir``.
+
+    Where the key is unset, a local session uses a folder of its warehouse; on
+    a cluster that is an error, since a folder of one machine would lose rows.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_tributary"
+
+
 def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("tributary").config("spark.driver.memory", os.environ.get("TRIBUTARY_MEMORY", memory)).config("spark.sql.shuffle.partitions", str(partitions))
