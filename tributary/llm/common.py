@@ -1,31 +1,20 @@
-"""Shared pieces: the shared folder, tables that cut lineage, pair units, connected components."""
+"""Shared pieces of the operations: tables of keys to leave out, unions of labels, memory given back."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.operators.graph import components, discard, materialize, pair_units
+from tributary.session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tributary-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, a lost executor costs one task."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tributary/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+__all__ = ["FEW", "components", "discard", "materialize", "merge_labels", "pair_units", "quiet", "shared_dir", "without"]
 
 #: A table of keys of up to this many counted rows is broadcast to those it is held against; a larger one is joined by shuffle.
 FEW = 100_000
@@ -40,31 +29,6 @@ def without(df: DataFrame, gone: DataFrame, keys: list[Column], tag: str) -> Dat
     return df.join(F.broadcast(gone) if gone.count() <= FEW else gone, match, "left_anti")
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def pair_units(rows: DataFrame, keys: list[str], salt: str, cap: int, shared_only: bool = False) -> DataFrame:
-    """Deal rows into units so that any two rows of equal keys meet in exactly one unit.
-
-    A key of up to ``cap`` rows is one unit. A larger one is split by a hash of
-    ``salt`` into blocks, and each pair of blocks is a unit (unit_i < unit_j:
-    only pairs across; unit_i = unit_j: all pairs inside), so no task ever gets
-    a whole hot key. Adds block, unit_i, unit_j. shared_only: rows alone under
-    their key, which form no pair, are left out early.
-    """
-    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (1 if shared_only else cap))
-    large = large.withColumn("_blocks", F.ceil(F.col("_n") / cap).cast("int")).drop("_n")
-    dealt = rows.join(large, keys, "inner" if shared_only else "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(salt), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return dealt.withColumn("unit_i", F.least("block", "_other")).withColumn("unit_j", F.greatest("block", "_other")).drop("_blocks", "_other")
-
-
 def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Union the pairs (a, b) into labels, in place; labels[i] is the smallest index reachable so far."""
     while len(a):
@@ -79,25 +43,23 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = jumped
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an edge list: (node, component), component the smallest node reachable.
+@contextmanager
+def quiet(collect: bool = True):
+    """The body of a task in a reused worker: free memory goes back to the system at its end.
 
-    Alternates large-star and small-star contraction: each round is two grouped
-    minima and two equi-joins, every node ends up hanging off the least node of
-    its component, and no adjacency list is ever gathered. Rounds grow with the
-    logarithm of the longest path. Null ends are left out.
+    collect=False: the garbage collector rests meanwhile (millions of small live
+    objects without cycles would only be walked) and works again afterwards.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e, before = materialize(e, "edges"), None
-    while True:
-        sign = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("v", "u").cast("long"))).first())
-        if sign == before or not sign[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        old, before = e, sign
-        e = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(old)
+    was = gc.isenabled()
+    if not collect:
+        gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not every C library can
+            pass

@@ -11,8 +11,9 @@ independent of all others:
 
 The code book is one length for each id; codes follow canonically (by length,
 then id). Lengths come from the counts of the whole corpus by package-merge,
-16 bits at most, so one table of 65,536 entries decodes any id, and the
-checkpoints let all lanes of a block decode side by side.
+16 bits at most (more only where more ids than 65,536 occur), so one table of
+65,536 entries decodes any id, and the checkpoints let all lanes of a block
+decode side by side.
 Shards are rows of a Parquet table (shard, block, n_ids, payload) in the shared
 folder: executors write and read them there through Spark.
 """
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tributary.llm.common import discard, materialize
+from tributary.llm.common import FEW, discard, materialize, quiet
 from tributary.llm.tokens import WORDS, Borders, batches_of, chunk_encoder, default_path
 
-LIMIT = 16
+#: Longest code in bits; vocabularies that need more take as many as they need, up to what a 32-bit window can hold.
+LIMIT, WIDEST = 16, 25
 LANE = 128
 #: Ids of a block, and of a shard, aimed at.
 BLOCK, SHARD = 1 << 17, 8_000_000
@@ -39,12 +42,13 @@ MAGIC = b"THB1"
 
 
 def limited_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Optimal code lengths of at most limit bits for positive counts (package-merge)."""
+    """Optimal code lengths of at most limit bits for positive counts (package-merge); of as many as n symbols need where that is more."""
     n = len(counts)
     if n <= 1:
         return np.ones(n, np.int64)
-    if n > 1 << limit:
-        raise ValueError(f"{n} symbols do not fit codes of {limit} bits")
+    limit = max(limit, (n - 1).bit_length())
+    if limit > WIDEST:
+        raise ValueError(f"{n} symbols do not fit codes of {WIDEST} bits")
     order = np.argsort(counts, kind="stable")
     weights = counts[order].astype(np.float64)
     leaf_flags, packages = [], np.zeros(0)
@@ -72,14 +76,15 @@ class CodeBook:
         order = np.lexsort((symbols, lengths))
         symbols, lengths = symbols[order].astype(np.int64), lengths[order].astype(np.int64)
         size = int(symbols.max()) + 1 if len(symbols) else 1
-        spans = np.int64(1) << (LIMIT - lengths)
+        self.limit = limit = max(LIMIT, int(lengths.max()) if len(lengths) else 0)
+        spans = np.int64(1) << (limit - lengths)
         begins = np.concatenate([[0], np.cumsum(spans)[:-1]]).astype(np.int64) if len(symbols) else spans
         self.length = np.zeros(size, np.int64)
         self.code = np.zeros(size, np.uint64)
         self.length[symbols] = lengths
-        self.code[symbols] = begins >> (LIMIT - lengths)
-        self.table_symbol = np.zeros(1 << LIMIT, np.uint32)
-        self.table_length = np.ones(1 << LIMIT, np.int64)
+        self.code[symbols] = begins >> (limit - lengths)
+        self.table_symbol = np.zeros(1 << limit, np.uint32)
+        self.table_length = np.ones(1 << limit, np.int64)
         filled = int(spans.sum()) if len(symbols) else 0
         self.table_symbol[:filled] = np.repeat(symbols, spans)
         self.table_length[:filled] = np.repeat(lengths, spans)
@@ -102,12 +107,13 @@ class CodeBook:
 
     def decode(self, checkpoints: np.ndarray, bits: bytes, n: int, lane: int = LANE) -> np.ndarray:
         """The n ids of a block; all lanes advance together, one table look-up an id."""
-        raw = np.frombuffer(bits + bytes(2 * lane + 8), np.uint8).astype(np.uint32)
-        window = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
+        raw = np.frombuffer(bits + bytes(self.limit * lane // 8 + 8), np.uint8).astype(np.uint32)
+        window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
+        rest, mask = 32 - self.limit, np.uint32((1 << self.limit) - 1)
         at = checkpoints.astype(np.int64)
         out = np.empty((lane, len(at)), np.uint32)
         for k in range(lane):
-            key = (window[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
+            key = (window[at >> 3] >> (rest - (at & 7)).astype(np.uint32)) & mask
             out[k] = self.table_symbol[key]
             at = at + self.table_length[key]
         return np.ascontiguousarray(out.T).reshape(-1)[:n]
@@ -163,6 +169,10 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None
     names = ["id", "n", "ids", "symbols", "counts"]
 
     def run(batches):
+        with quiet(collect=False):
+            yield from encoded(batches)
+
+    def encoded(batches):
         encoder = chunk_encoder(tokenizer or default_path("word_bpe_49k.json"), borders)
         planes = -(-max(encoder.tokenizer.get_vocab_size().bit_length(), int(end_id).bit_length()) // 8)
         counts = np.zeros(0, np.int64)
@@ -187,7 +197,8 @@ def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """Write shards in ascending id order; returns the written tables (blocks, code book).
 
     blocks: shard int, block int, n_ids long, payload binary. code book: symbol
-    long, length long (at most one row an id of the vocabulary). Null text is
+    long, length long (at most one row an id of the vocabulary). The string of a
+    special token in a text is that token. Null text is
     empty (its end id alone); null ids come first; repeated ids stay as they are.
     """
     table = materialize(tokenized(docs, id_col, text_col, tokenizer, end_id, borders), "ids")
@@ -229,10 +240,11 @@ def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 def read_ids(blocks: DataFrame, book_table: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32[, ids]) of every document, decoded from the written blocks."""
     spark = blocks.sparkSession
-    totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()  # one row a shard
-    base, at = {}, 0
-    for r in totals:
-        base[r["shard"]], at = at, at + r["n"]
+    # ids before each shard: a running sum over one row a shard, of which a shard holds SHARD ids
+    totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = totals.select("shard", before.alias("base"))
+    bases = F.broadcast(bases) if totals.count() <= FEW else bases
     rows = book_table.orderBy("symbol").collect()  # one row an id of the vocabulary
     book = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)))
     names = ["id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
@@ -240,18 +252,18 @@ def read_ids(blocks: DataFrame, book_table: DataFrame, id_col: str = "doc_id", w
     def run(batches):
         codes = CodeBook(*book.value)
         for batch in batches:
-            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for base, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 first, keys, sizes, ids = read_block(codes, payload)
                 ends = np.cumsum(sizes, dtype=np.int64)
                 starts = ends - sizes
                 found = [ids[a:b].tobytes() for a, b in zip(starts, ends)]
-                columns = [pa.array(keys, pa.int64()), pa.array(starts + first + base[shard]), pa.array(sizes.astype(np.int64)), pa.array([zlib.crc32(x) for x in found], pa.int64())]
+                columns = [pa.array(keys, pa.int64()), pa.array(starts + first + base), pa.array(sizes.astype(np.int64)), pa.array([zlib.crc32(x) for x in found], pa.int64())]
                 if with_ids:
                     columns.append(pa.array(found, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return blocks.select("shard", "payload").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return blocks.join(bases, "shard").select("base", "payload").mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op5_huffman(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.common import quiet
 from tributary.llm.tokens import CACHE, SPACED, Borders, batches_of, chunk_encoder, default_path
 
 TIERS = (1024, 512, 256, 128)
@@ -133,9 +134,11 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null text is empty and gives one piece, the end id. Rows with a null or a
     repeated id are packed like any other. sequence_length is a power of two, so
-    no sequence needs padding; room bounds the chunks a worker remembers; sequence_id is unique, step_group names
-    sequences of one length that a step takes together. Other columns are not
-    read. An empty table gives an empty result.
+    no sequence needs padding; room bounds the bytes of the chunks a worker
+    remembers; sequence_id is unique, step_group names sequences of one length
+    that a step takes together. Which documents share a sequence follows from
+    the partitions of docs. The string of a special token in a text is that
+    token. Other columns are not read. An empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType
@@ -143,6 +146,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = ["id", *(c.split()[0] for c in SCHEMA.split(", "))]
 
     def run(batches):
+        with quiet(collect=False):
+            yield from pack(batches)
+
+    def pack(batches):
         path = tokenizer or default_path("byte_bpe_50k.json")
         encoder = chunk_encoder(path, borders, room)
         packer, held, schema = TierPacker(TaskContext.get().partitionId() << 40, tiers, group), 0, None

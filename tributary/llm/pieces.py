@@ -3,13 +3,14 @@
 The model file is a protobuf; its few fields are read here directly. From them
 the normaliser, the metaspace marker, the piece scores (merges for a BPE model,
 log probabilities for a unigram one) and byte fallback are rebuilt as a
-tokenizers pipeline, which encodes batches on several threads. The
-sentencepiece library is the measure: parity is checked text by text, and a
-text that differs takes the library's ids.
+tokenizers pipeline, which encodes batches on several threads and gives the
+ids. The sentencepiece library is the measure: parity is checked text by text,
+and only a text that differs falls back to the library's ids, which a column
+tells.
 
 Where no piece has a marker after another character, no merge can cross the
 border before a marker, so texts are encoded by their space-separated chunks
-and each distinct chunk once.
+and each distinct chunk once, new chunks in one multithreaded batch.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.common import quiet
 from tributary.llm.tokens import PIECES, ChunkEncoder, batches_of, default_path
 
 MARK = "▁"
@@ -188,23 +190,32 @@ def codec(path: str) -> Codec:
 def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per input row: id_col, n_tokens, ids_crc32, parity, round_trip[, ids].
 
-    parity: the rebuilt pipeline gave the library's ids (where not, the
-    library's are used); round_trip: decoding gives the text back. Null text is
-    empty and has no ids. Other columns are not read; an empty table gives none.
+    parity: the rebuilt pipeline gave the library's ids, which are checked for
+    every text; the row's ids are the pipeline's where it did, else the
+    library's. round_trip: decoding gives the text back. Null text is empty and
+    has no ids. Other columns are not read; an empty table gives none.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = ["id", "n_tokens", "ids_crc32", "parity", "round_trip", *(["ids"] if with_ids else [])]
 
     def run(batches):
+        with quiet(collect=False):
+            yield from encoded(batches)
+
+    def encoded(batches):
         c = codec(model or default_path("piece_bpe_32k.model"))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in batches_of(texts):
                 part = texts[a:b]
-                own, theirs = c.encode(part), c.library(part)
-                columns = [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in theirs], pa.int64()), pa.array([zlib.crc32(x) for x in theirs], pa.int64()), pa.array([x == y for x, y in zip(own, theirs)]), pa.array([c.decode(x) == t for x, t in zip(theirs, part)])]
+                own, parity = c.encode(part), []
+                for k, theirs in enumerate(c.library(part)):
+                    parity.append(own[k] == theirs)
+                    if not parity[k]:
+                        own[k] = theirs
+                columns = [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in own], pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(parity, pa.bool_()), pa.array([c.decode(x) == t for x, t in zip(own, part)], pa.bool_())]
                 if with_ids:
-                    columns.append(pa.array(theirs, pa.binary()))
+                    columns.append(pa.array(own, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"id {source.schema['id'].dataType.simpleString()}, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean" + (", ids binary" if with_ids else "")

@@ -6,20 +6,21 @@ chunk seen before needs no second encoding: a bounded cache maps it to its ids
 as bytes. New chunks are cut once more at sure borders (a line end, signs after
 letters); plain words go straight to the library's model, the rest through its
 whole pipeline. Texts in which a border is not sure (chunks that are empty or
-begin or end with white space) are encoded whole.
+begin or end with white space, the string of a special token) are encoded whole.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
-#: Chunks that the cache of one worker holds at most; it starts anew beyond that.
-CACHE = 2_000_000
+#: Bytes, roughly, of the chunks that a worker remembers with and without glue; it starts anew beyond that.
+CACHE = 512 << 20
+#: What an entry costs besides its text and ids.
+ENTRY = 220
 #: Longer chunks are encoded but not kept.
 LONG = 64
 _SIGNS = ".,!?;:*%&$#|"
@@ -80,8 +81,11 @@ class ChunkEncoder:
     """encode(texts) -> one bytes of little-endian unsigned 32-bit ids per text, as Tokenizer.encode gives them."""
 
     def __init__(self, tokenizer, borders: Borders = SPACED, room: int = CACHE):
-        gc.disable()  # millions of small live objects and no cycles: collections would only walk them
         self.tokenizer, self.model, self.borders, self.room = tokenizer, tokenizer.model, borders, room
+        added = tokenizer.get_added_tokens_decoder().values()
+        self.specials = [a.content for a in added]
+        self.unsure = any(a.normalized for a in added)  # such a token may stand for strings that look otherwise
+        self.held = [0, 0]  # bytes in first, rest
         self.first: dict[str, bytes | bool] = {}  # chunks with nothing before them
         self.rest: dict[str, bytes | bool] = {}  # chunks with glue before them
         self.line = self._whole(["\n"])[0]
@@ -90,11 +94,11 @@ class ChunkEncoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _direct(self, chunks: list[str], mark: str) -> list[bytes]:
-        """Ids of chunks that the model takes as they are."""
-        merge = self.model.tokenize
+        """Ids of chunks that the model takes as they are; pieces go through the library's threads."""
         if self.borders.words:
+            merge = self.model.tokenize
             return [array("I", [t.id for t in merge(mark + (c if c.isascii() else c.encode().decode("latin-1").translate(_BYTES)))]).tobytes() for c in chunks]
-        return [array("I", [t.id for t in merge(mark + c)]).tobytes() for c in chunks]
+        return self._whole([mark + c for c in chunks])
 
     def _cut(self, chunk: str) -> list[str] | None:
         """Pieces of a chunk that is no word: '' stands for a line end; None where its borders are not sure."""
@@ -118,10 +122,13 @@ class ChunkEncoder:
         new = [c for c in chunks if c not in cache]
         if not new:
             return cache
-        if len(cache) + len(new) > self.room:
+        cost = ENTRY * len(new) + 5 * sum(map(len, new))
+        self.held[glued] += cost
+        if self.held[glued] > self.room:
             kept = {c: cache[c] for c in chunks if c in cache}
             cache.clear()
             cache.update(kept)
+            self.held[glued] = cost + ENTRY * len(kept) + 5 * sum(map(len, kept))
         long: dict[str, bytes | bool] = {}
 
         short = max(map(len, new)) <= LONG
@@ -171,11 +178,25 @@ class ChunkEncoder:
                 joined.append((c, head + b"".join([ends[t] if t in ends else bare[t] for t in cut[1:]])))
         put(cache, ((c, own[c]) for c in stems))
         put(cache, joined)
-        if len(bare) < self.room // 4:
-            bare.update((t, x) for t, x in ends.items() if t and len(t) <= LONG)
+        if self.held[0] < self.room // 4:
+            kept = [(t, x) for t, x in ends.items() if t and len(t) <= LONG]
+            self.held[0] += ENTRY * len(kept) + 5 * sum(len(t) for t, _ in kept)
+            bare.update(kept)
         return _Over(cache, long) if long else cache
 
+    def _marked(self, text: str) -> bool:
+        return self.unsure or any(s in text for s in self.specials)
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        marked = [k for k, t in enumerate(texts) if self._marked(t)]
+        if not marked:
+            return self._chunked(texts)
+        out = dict(zip(marked, self._whole([texts[k] for k in marked])))
+        plain = [k for k in range(len(texts)) if k not in out]
+        out |= zip(plain, self._chunked([texts[k] for k in plain]))
+        return [out[k] for k in range(len(texts))]
+
+    def _chunked(self, texts: list[str]) -> list[bytes]:
         b = self.borders
         heads: list[bytes | None | bool] = [b""] * len(texts)
         if b.blank:
@@ -221,18 +242,16 @@ class _Over(dict):
 
 @lru_cache(maxsize=4)
 def load(path: str):
-    """The tokenizer of a file; special strings in a text count as ordinary text."""
+    """The tokenizer of a file as the library gives it: the string of a special token in a text is that token."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def chunk_encoder(path: str, borders: Borders, room: int = CACHE) -> ChunkEncoder:
-    """One encoder, and so one cache, for each Python worker."""
+    """One encoder, and so one cache, for each Python worker; another vocabulary takes its place."""
     return ChunkEncoder(load(path), borders, room)
 
 
