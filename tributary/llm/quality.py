@@ -19,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 PASSAGE = 512
-#: Labelled documents that the model is fitted on at most; passages of one of them that are used in fitting.
-SAMPLE, BAG = 4000, 64
+#: Labelled documents that the model is fitted on at most, and passages of all of them together: whole documents are taken up to there.
+SAMPLE, PASSAGES = 4000, 1_000_000
 THRESHOLD = 0.7
 _LAGS = tuple(range(2, 14))
 
@@ -98,6 +99,28 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def gradients(params: list[np.ndarray], x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """(mean cross entropy, its gradient by each parameter) of bags of standardised passages."""
+    w_in, b, v, u, w, c, d = params
+    sizes = np.diff(np.append(starts, len(x)))
+    h = np.tanh(x @ w_in + b)
+    t, s = np.tanh(h @ v), _sigmoid(h @ u)
+    e = (t * s) @ w
+    e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), sizes))
+    a = e / np.repeat(np.add.reduceat(e, starts), sizes)
+    z = np.add.reduceat(h * a[:, None], starts, axis=0)
+    p = _sigmoid(z @ c + d[0])
+    g = (p - y) / len(y)
+    dz = np.repeat(g[:, None] * c, sizes, axis=0)
+    da = (dz * h).sum(axis=1)
+    de = a * (da - np.repeat(np.add.reduceat(a * da, starts), sizes))
+    dt, ds = de[:, None] * w * s * (1 - t * t), de[:, None] * w * t * s * (1 - s)
+    dh = dz * a[:, None] + dt @ v.T + ds @ u.T
+    dp = dh * (1 - h * h)
+    loss = float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+    return loss, [x.T @ dp, dp.sum(axis=0), h.T @ dt, h.T @ ds, (t * s).T @ de, z.T @ g, g.sum(keepdims=True)]
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, steps: int = 400, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
     """Learn all weights by Adam on the cross entropy of document labels."""
     rng = np.random.default_rng(seed)
@@ -112,21 +135,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
         x, y = np.concatenate([bags[k] for k in chosen]), labels[chosen]
         sizes = np.array([len(bags[k]) for k in chosen])
         starts = np.cumsum(sizes) - sizes
-        w_in, b, v, u, w, c, d = params
-        h = np.tanh(x @ w_in + b)
-        t, s = np.tanh(h @ v), _sigmoid(h @ u)
-        e = (t * s) @ w
-        e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), sizes))
-        a = e / np.repeat(np.add.reduceat(e, starts), sizes)
-        z = np.add.reduceat(h * a[:, None], starts, axis=0)
-        g = (_sigmoid(z @ c + d[0]) - y) / len(y)
-        dz = np.repeat(g[:, None] * c, sizes, axis=0)
-        da = (dz * h).sum(axis=1)
-        de = a * (da - np.repeat(np.add.reduceat(a * da, starts), sizes))
-        dt, ds = de[:, None] * w * s * (1 - t * t), de[:, None] * w * t * s * (1 - s)
-        dh = dz * a[:, None] + dt @ v.T + ds @ u.T
-        dp = dh * (1 - h * h)
-        grads = [x.T @ dp, dp.sum(axis=0), h.T @ dt, h.T @ ds, (t * s).T @ de, z.T @ g, g.sum(keepdims=True)]
+        _, grads = gradients(params, x, starts, y)
         lr = rate * (0.5 + 0.5 * np.cos(np.pi * step / steps))
         for k, grad in enumerate(grads):
             grad = grad + decay * params[k]
@@ -140,9 +149,11 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, passages_at_most: int = PASSAGES) -> Model:
     """Fit on at most sample labelled rows that are not held out, chosen by hash of the id.
 
+    Every passage of a chosen document is used; where the documents would pass
+    PASSAGES together, fewer are taken, in the order of that hash, each whole.
     Of several labels of one document the smallest counts; null labels and null
     ids are left out. Without both labels the model says 0.5 for every text.
     """
@@ -150,13 +161,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy(id_col).agg(F.min(label_col).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)  # bounded by sample: small enough to broadcast
     rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_raw")).join(F.broadcast(known), id_col)
+    sizes = rows.select(F.xxhash64(id_col).alias("h"), F.greatest(F.lit(1), F.ceil(F.coalesce(F.length("_raw"), F.lit(0)) / PASSAGE)).alias("n"))
+    sizes = sizes.groupBy("h").agg(F.sum("n").alias("n"))  # at most sample rows, whatever ids repeat
+    order = Window.orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
+    last = sizes.withColumn("t", F.sum("n").over(order)).where(F.col("t") <= passages_at_most).agg(F.max("h")).first()[0]
+    rows = rows.where(F.xxhash64(id_col) <= F.lit(last)) if last is not None else rows.limit(0)
 
     def run(batches):
         for batch in batches:
-            found = []
-            for raw in batch.column(1).to_pylist():
-                x = passages(raw or b"")
-                found.append(x[np.linspace(0, len(x) - 1, min(len(x), BAG)).astype(int)].astype(np.float32).tobytes())
+            found = [passages(raw or b"").astype(np.float32).tobytes() for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["id", "label", "x"])
 
     bags = rows.mapInArrow(run, f"id {rows.schema[id_col].dataType.simpleString()}, label int, x binary").collect()
@@ -179,16 +192,28 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", thresho
 
     @arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        m, out = Model(*shared.value), []
+        m, out, bags, held = Model(*shared.value), [], [], 0
+
+        def flush():
+            sizes = [len(x) for x in bags]
+            out.append(m.score(np.concatenate(bags), np.cumsum([0, *sizes[:-1]]))[0])
+
         for raw in texts.to_pylist():
-            out.append(float(m.score(passages(raw or b""), np.zeros(1, np.int64))[0][0]))
-        return pa.array(out, pa.float64())
+            bags.append(passages(raw or b""))
+            held += len(bags[-1])
+            if held >= 4096:  # all passages of these texts in one go
+                flush()
+                bags, held = [], 0
+        if bags:
+            flush()
+        return pa.array(np.concatenate(out) if out else [], pa.float64())
 
     scored = docs.drop("score", "predicted").withColumn("score", score(F.col(text_col).cast("binary")))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
+    """The quality contract over documents: learned from labels, scored on whole texts."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score_quality(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
