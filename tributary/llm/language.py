@@ -7,8 +7,8 @@ log P(lang | row) = log P(text | lang) + log P(declared | lang)
 * declared: what the page's markup claims, through a confusion table learned
   from the corpus, so a claim counts as much as it has proved right;
 * address: the suffix of the host and the language segment of the path, alike;
-* host: counts of text-only decisions by grouped aggregation, smoothed down the
-  hierarchy all -> domain -> host.
+* host: counts of the text-only decisions of all other rows by grouped
+  aggregation, smoothed down the hierarchy all -> domain -> host.
 
 Only the text model is fitted on a bounded sample of labelled rows; tables of
 claims and priors cover every row.
@@ -51,12 +51,12 @@ _LETTER = np.array([c >= 128 or chr(c).isalpha() for c in range(256)])
 
 
 def weighed(rows) -> dict[str, np.ndarray]:
-    """Trigram counts of each language; a text counts by its shares of trigrams, times at most 1,000."""
+    """Trigram counts of each language; a text counts by its shares of trigrams, times the root of their number."""
     counts: dict[str, np.ndarray] = {}
     for lang, raw in rows:
         seen = np.bincount(_trigrams(raw), minlength=BUCKETS)
         counts.setdefault(lang, np.zeros(BUCKETS))
-        counts[lang] += seen / seen.sum() * min(1000, seen.sum())
+        counts[lang] += seen / np.sqrt(seen.sum())
     return counts
 
 
@@ -86,7 +86,7 @@ class TextModel:
             piece = raw[at : at + part + 2]
             letters += int(_LETTER[np.frombuffer(raw[at : at + part], np.uint8)].sum())
             grams = _trigrams(piece)
-            total += np.bincount(grams, minlength=BUCKETS).astype(np.float32) @ self.table if len(grams) > 20_000 else self.table[grams].sum(axis=0, dtype=np.float64)
+            total += self.table[grams].sum(axis=0, dtype=np.float64)
             n += len(grams)
         return total * min(1.0, self.temper / max(1, n)), letters
 
@@ -133,6 +133,11 @@ def _fused(languages: list[str], *weights: Column) -> Column:
     return F.transform(raw, lambda x: x / whole)
 
 
+def _votes(k: int) -> Column:
+    """A row's own text vote as counts: 1 at its best language where its text has letters."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when((F.col("_letters") > 0) & (i == F.col("_best")), 1.0).otherwise(0.0))
+
+
 def text_evidence(docs: DataFrame, model: TextModel, text_col: str = "text") -> DataFrame:
     """docs with _text (log likelihoods) and _letters."""
     from pyspark.sql.functions import arrow_udf
@@ -189,19 +194,22 @@ def identify(docs: DataFrame, model: TextModel, text_col: str = "text", host_col
     whole = sum(world.values())
     root = [(world.get(i, 0) + 1.0) / (whole + k) for i in range(k)]
     by = counts.where("_host is not null").groupBy("_host").pivot("_best", list(range(k))).agg(F.sum("n")).na.fill(0)
-    by = by.select("_host", domain(F.col("_host")).alias("_domain"), F.array(*(F.col(str(i)).cast("double") for i in range(k))).alias("c"))
-    up = by.groupBy("_domain").agg(F.array(*(F.sum(F.col("c")[i]) for i in range(k))).alias("d"))
+    by = by.select("_host", domain(F.col("_host")).alias("_domain"), F.array(*(F.col(str(i)).cast("double") for i in range(k))).alias("_c"))
+    up = by.groupBy("_domain").agg(F.array(*(F.sum(F.col("_c")[i]) for i in range(k))).alias("_d"))
+    priors = materialize(by.join(up, "_domain").select("_host", "_c", "_d"), "priors")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    parent = F.zip_with("d", F.array(*map(F.lit, root)), lambda n, p: (n + strength * p) / (total(F.col("d")) + strength))
-    prior = F.zip_with("c", F.col("p"), lambda n, p: F.log((n + strength * p) / (total(F.col("c")) + strength)))
-    priors = materialize(by.join(up.withColumn("p", parent), "_domain").select("_host", prior.alias("_prior")), "priors")
+    below = lambda n, over: F.zip_with(n, over, lambda c, p: (c + strength * p) / (total(n) + strength))
+    others = lambda a: F.zip_with(a, F.col("_own"), lambda n, o: n - o)
+    ground = F.array(*map(F.lit, root))
+    prior = F.transform(below(others(F.col("_c")), below(others(F.col("_d")), ground)), lambda x: F.log(x))
+    rows = alone.withColumn("_own", _votes(k))  # its own vote is no evidence beside its text
     joined = _beside(rows, priors, "_host")
     for column, given_by in (("_declared", declared_col), ("_address", address_col)):
         if given_by:
             joined = _beside(joined, _claims(counts, k, column, f"{column}_log"), column)
         else:
             joined = joined.withColumn(f"{column}_log", flat)
-    fused = _fused(model.languages, F.col("_text"), F.coalesce("_declared_log", flat), F.coalesce("_address_log", flat), F.coalesce("_prior", F.array(*(F.lit(math.log(p)) for p in root))))
+    fused = _fused(model.languages, F.col("_text"), F.coalesce("_declared_log", flat), F.coalesce("_address_log", flat), F.coalesce(prior, F.array(*(F.lit(math.log(p)) for p in root))))
     out = joined.withColumn("_posterior", fused).withColumn("probability", F.array_max("_posterior"))
     out = out.withColumn("language", F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("_posterior", F.col("probability")).cast("int")))
     return out.withColumn("kept", (F.col("_letters") > 0) & (F.col("probability") >= KEEP)).select(*names, "language", "probability", "kept")
@@ -230,6 +238,7 @@ def with_evidence(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:
+    """Language, probability and kept of every document, its page's claims and host fused with its text."""
     docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
     model = train(docs)
     # texts are scored once, before the join, and only their scores travel
