@@ -1,8 +1,9 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 Every tree splits its vectors again and again at a random quantile of a random
-projection. A vector that lies close to a split spills over: it also goes to
-the leaf on the other side of the closest split it passed. Vectors are compared
+projection, placed where few vectors lie close by; what lies as close together
+as linked vectors is not split. A vector that lies close to a split spills over:
+it also goes to the leaf on the other side of the closest split it passed. Vectors are compared
 only within leaves, in double precision, and links are united.
 
 A pair may meet in several leaves. It counts in the first leaf that both share,
@@ -26,6 +27,8 @@ from tributary.llm.common import components, materialize, merge_labels, pair_uni
 COSINE, TREES, POOL, LEAF = 0.95, 8, 64, 1024
 #: Spill within this share of a projection's spread; vectors that split points are read from.
 SPILL, SAMPLE = 0.35, 32768
+#: Spread of projections, as a share of a projection's spread, below which a node is left whole.
+TIGHT = 1.0
 #: Rows of a leaf above which it is split into blocks, and levels with own split points.
 CAP, OWN = 4096, 11
 
@@ -58,7 +61,7 @@ class Forest:
                 for k in range(1 << level):
                     rows = order[ends[k] : ends[k + 1]]
                     if len(rows) >= 16:
-                        cut[k] = np.quantile(p[rows, pick[k]], share[k])
+                        cut[k] = _sparse_cut(np.sort(p[rows, pick[k]]), share[k], self.scale[t][pick[k]])
                 cuts.append(cut)
                 node = node * 2 + (p[np.arange(len(x)), pick[node]] > cut[node])
             self.cut.append(cuts)
@@ -95,6 +98,19 @@ class Forest:
         return out
 
 
+def _sparse_cut(p: np.ndarray, share: float, scale: float) -> float:
+    """Where to split sorted projections: among quantiles around share, the one with the fewest rows close by.
+
+    Rows as close together as linked pairs are not split at all: their leaf is
+    split into blocks later, which loses no pair.
+    """
+    if p[len(p) * 19 // 20] - p[len(p) // 20] < TIGHT * scale:
+        return np.inf
+    cuts = np.quantile(p, np.clip(share + np.linspace(-0.2, 0.2, 9), 0.2, 0.8))
+    close = np.searchsorted(p, cuts + 0.25 * scale) - np.searchsorted(p, cuts - 0.25 * scale)
+    return float(cuts[close.argmin()])
+
+
 def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest code that both rows of a and b hold; -1 is none."""
     best = np.full(len(a), np.iinfo(np.int64).max)
@@ -110,36 +126,45 @@ def usable(v) -> F.Column:
     return v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
 
 
+def plant(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> dict[int, Forest]:
+    """A forest for each length of vectors that more than leaf of them have; others are one leaf a length.
+
+    Split points come from at most sample vectors a length, chosen by hash.
+    """
+    many = classes.groupBy(F.size("v").alias("d")).count().where(F.col("count") > leaf).collect()  # at most one row for leaf vectors
+    forests = {}
+    for d, total in sorted((r["d"], r["count"]) for r in many):
+        part = min(1.0, 1.2 * sample / total)
+        chosen = classes.where((F.size("v") == d) & (F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(part * 1_000_000) + 1)).select("v").limit(sample).collect()
+        x = np.array([r["v"] for r in sorted(chosen)], float)
+        forests[d] = Forest(d, math.ceil(math.log2(total / leaf)), trees).fit(x / np.linalg.norm(x, axis=1, keepdims=True))
+    return forests
+
+
 def vector_links(classes: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """classes (node, n, v), one row per distinct vector of n copies: rows (a, b, links).
 
     b not null: an edge; the edges of a leaf span its links. b null: a has
-    links more linked vectors, counted with their copies. Split points come from
-    at most sample vectors, chosen by hash; every vector is placed and compared.
+    links more linked vectors, counted with their copies. Every vector is placed
+    and compared, with those of its own length.
     """
-    total = classes.count()
-    depth = max(0, math.ceil(math.log2(max(1, total) / leaf)))
-    part = min(1.0, 1.2 * sample / max(1, total))
-    chosen = classes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select("node", "v").limit(sample).collect()
-    if not chosen:
-        return classes.sparkSession.createDataFrame([], "a long, b long, links long")
-    x = np.array([r["v"] for r in sorted(chosen)], float)
-    forest = Forest(x.shape[1], depth, trees).fit(x / np.linalg.norm(x, axis=1, keepdims=True))
-    shared = classes.sparkSession.sparkContext.broadcast(forest)
+    shared = classes.sparkSession.sparkContext.broadcast(plant(classes, trees, leaf, sample))
+    names = ["node", "n", "v", "d", "leaves", "at"]
 
     def place(batches):
         for batch in batches:
-            if batch.num_rows:
-                flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-                x = flat.reshape(batch.num_rows, -1)
-                unit = x.astype(float)
-                leaves = shared.value.leaves(unit / np.linalg.norm(unit, axis=1, keepdims=True))
-                raw = [r.tobytes() for r in x]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array([r.tobytes() for r in leaves], pa.binary()), pa.array([r[r >= 0].tolist() for r in leaves], pa.list_(pa.int64()))], ["node", "n", "v", "leaves", "at"])
+            vectors = batch.column(2)
+            sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(sizes):
+                rows = batch.take(pa.array(np.flatnonzero(sizes == d)))
+                x = rows.column(2).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, d)
+                forest, unit = shared.value.get(int(d)), x.astype(float)
+                leaves = forest.leaves(unit / np.linalg.norm(unit, axis=1, keepdims=True)) if forest else np.zeros((len(x), 1), np.int64)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(np.full(len(x), d, np.int32)), pa.array([r.tobytes() for r in leaves], pa.binary()), pa.array([r[r >= 0].tolist() for r in leaves], pa.list_(pa.int64()))], names)
 
     kind = np.float32 if "float" in classes.schema["v"].dataType.simpleString() else np.float64
-    placed = classes.select("node", "n", "v").mapInArrow(place, "node long, n long, v binary, leaves binary, at array<long>")
-    units = pair_units(placed.select("node", "n", "v", "leaves", F.explode(F.array_distinct("at")).alias("leaf")), ["leaf"], "node", CAP)
+    placed = classes.select("node", "n", "v").mapInArrow(place, "node long, n long, v binary, d int, leaves binary, at array<long>")
+    units = pair_units(placed.select("node", "n", "v", "d", "leaves", F.explode(F.array_distinct("at")).alias("leaf")), ["d", "leaf"], "node", CAP)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
@@ -168,25 +193,22 @@ def vector_links(classes: DataFrame, cosine: float = COSINE, trees: int = TREES,
             "links": np.concatenate([np.zeros(len(edge), np.int64), links[count]]),
         })
 
-    return units.groupBy("leaf", "unit_i", "unit_j").applyInPandas(compare, "a long, b long, links long")
+    return units.groupBy("d", "leaf", "unit_i", "unit_j").applyInPandas(compare, "a long, b long, links long")
 
 
-def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, trees: int = TREES) -> DataFrame:
+def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """One row per input row: id_col, n_links, component_id, kept.
 
     n_links counts the other rows linked directly, copies included.
-    component_id is the smallest id reachable. Vectors that are null, zero, of
-    another length than most, or hold null or non-finite components link with
+    component_id is the smallest id reachable. Vectors link within their length.
+    Vectors that are null, zero, or hold null or non-finite components link with
     nothing and are their own component; so do rows of a null id, whose
     component is null. Other columns are not read; an empty table gives none.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    good = rows.where(usable(F.col("v")) & F.col("id").isNotNull())
-    sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    fits = usable(F.col("v")) & F.col("id").isNotNull() & (F.size("v") == (sizes["d"] if sizes else 0))
-    fits = F.coalesce(fits, F.lit(False))
+    fits = F.coalesce(usable(F.col("v")) & F.col("id").isNotNull(), F.lit(False))
     classes = materialize(rows.where(fits).groupBy("v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "vectors")
-    found = materialize(vector_links(classes, cosine, trees), "links")
+    found = materialize(vector_links(classes, cosine, trees, leaf, sample), "links")
     labels = components(found.where("b is not null"))
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     known = classes.join(counts, "node", "left").join(labels, "node", "left")
@@ -197,4 +219,5 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
 
 
 def op8_vectors(spark, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all embeddings at cosine 0.95."""
     return vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
