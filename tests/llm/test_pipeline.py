@@ -1,5 +1,8 @@
 """The pipeline and the registered queries on the smallest tables."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tributary.llm.queries import queries
 
@@ -60,3 +63,35 @@ def test_one_id_on_two_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = corpus_pipeline.keep_one_of_each(spark, docs, DIR)
     assert sorted(map(tuple, out.collect())) == sorted({rows[0], *rows[2:]})
+
+
+ODD = [
+    (1, "the quiet river runs below the hills and over there, it is said. " * 6, "en", "s", 5, "x", 1.0), (1, "the quiet river runs below the hills and over there, it is said. " * 6, "en", "s", 5, "x", 1.0),
+    (1, "quite another text stands under the same number here, and it stays. " * 6, "en", "s", 5, None, 1.0), (2, None, None, None, None, "x", None), (None, "a text without a number, password=hunter2hunter2 stands in it. " * 6, "en", "s", 7, "x", 2.0),
+    (3, "", "en", "s", 0, "x", 1.0), (4, " \n\t", "en", None, 3, "x", 1.0), (5, "word and Word, again. " * 60_000, "en", "s", 9, "x", 1.0), (6, "the very same words stand in two documents of the table, all of them. " * 6, None, "t", 5, "x", 1.0),
+    (7, "the very same words stand in two documents of the table, all of them. " * 6, "en", None, 5, "x", 1.0),
+]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, name, stage):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, and no rows at all."""
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, predicted string, score double").withColumn("base_spans", F.lit(1)).repartition(3)
+    out = stage(spark, docs, DIR)
+    rows = out.collect()
+    empty = stage(spark, docs.limit(0), DIR)
+    assert empty.count() == 0 and empty.columns == out.columns
+    if name == "packing":
+        assert {r["doc_id"] for r in rows} == {1, 2, None, 3, 4, 5, 6, 7}
+        return
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+    given = [tuple(r) for r in docs.collect()]
+    if name == "secrets":
+        assert len(rows) == len(ODD) and [r["text"] for r in rows if r["doc_id"] is None] == ["a text without a number, [assign] stands in it. " * 6]
+        assert sorted(tuple(r) for r in rows if r["doc_id"] in (5, 7)) == sorted(g[:4] + (len(g[1]),) + g[5:] for g in given if g[0] in (5, 7))
+    else:
+        assert all(tuple(r) in given for r in rows)
+    if name == "language":
+        assert {r["doc_id"] for r in rows} >= {1, None, 5, 6, 7} and not {r["doc_id"] for r in rows} & {2, 3, 4}
+    if name == "near_duplicates":
+        assert sorted((r["doc_id"] or 0) for r in rows) == [0, 1, 1, 2, 5, 6]

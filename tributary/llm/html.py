@@ -365,4 +365,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -267,4 +267,5 @@ def read_ids(blocks: DataFrame, book_table: DataFrame, id_col: str = "doc_id", w
 
 
 def op5_huffman(spark, sf_dir: str) -> DataFrame:
+    """All documents written as Huffman blocks and read back."""
     return read_ids(*write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -17,14 +17,14 @@ claims and priors cover every row.
 from __future__ import annotations
 
 import math
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import materialize
+from tributary.llm.common import materialize, quiet
 
 #: Labelled rows that the text model is fitted on at most, and buckets of its trigram table.
 SAMPLE, BUCKETS = 4000, 1 << 15
@@ -145,10 +145,14 @@ def text_evidence(docs: DataFrame, model: TextModel, text_col: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.temper))
 
     @arrow_udf("struct<_text: array<double>, _letters: bigint>")
-    def score(texts: pa.Array) -> pa.Array:
-        m = TextModel.__new__(TextModel)
-        m.languages, m.table, m.temper = shared.value
-        found = [m.scores(t or b"") for t in texts.to_pylist()]
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with quiet():
+            m = TextModel.__new__(TextModel)
+            m.languages, m.table, m.temper = shared.value
+            for texts in batches:
+                yield scored_batch([m.scores(t.as_py() or b"") for t in texts])
+
+    def scored_batch(found: list) -> pa.Array:
         return pa.StructArray.from_arrays([pa.array([x[0].tolist() for x in found], pa.list_(pa.float64())), pa.array([x[1] for x in found], pa.int64())], ["_text", "_letters"])
 
     scored = docs.withColumn("_evidence", score(F.col(text_col).cast("binary")))
@@ -194,14 +198,14 @@ def identify(docs: DataFrame, model: TextModel, text_col: str = "text", host_col
     whole = sum(world.values())
     root = [(world.get(i, 0) + 1.0) / (whole + k) for i in range(k)]
     by = counts.where("_host is not null").groupBy("_host").pivot("_best", list(range(k))).agg(F.sum("n")).na.fill(0)
-    by = by.select("_host", domain(F.col("_host")).alias("_domain"), F.array(*(F.col(str(i)).cast("double") for i in range(k))).alias("_c"))
-    up = by.groupBy("_domain").agg(F.array(*(F.sum(F.col("_c")[i]) for i in range(k))).alias("_d"))
-    priors = materialize(by.join(up, "_domain").select("_host", "_c", "_d"), "priors")
+    by = by.select("_host", domain(F.col("_host")).alias("_domain"), F.array(*(F.col(str(i)).cast("double") for i in range(k))).alias("_seen"))
+    up = by.groupBy("_domain").agg(F.array(*(F.sum(F.col("_seen")[i]) for i in range(k))).alias("_above"))
+    priors = materialize(by.join(up, "_domain").select("_host", "_seen", "_above"), "priors")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     below = lambda n, over: F.zip_with(n, over, lambda c, p: (c + strength * p) / (total(n) + strength))
     others = lambda a: F.zip_with(a, F.col("_own"), lambda n, o: n - o)
     ground = F.array(*map(F.lit, root))
-    prior = F.transform(below(others(F.col("_c")), below(others(F.col("_d")), ground)), lambda x: F.log(x))
+    prior = F.transform(below(others(F.col("_seen")), below(others(F.col("_above")), ground)), lambda x: F.log(x))
     rows = alone.withColumn("_own", _votes(k))  # its own vote is no evidence beside its text
     joined = _beside(rows, priors, "_host")
     for column, given_by in (("_declared", declared_col), ("_address", address_col)):

@@ -179,4 +179,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences of all documents."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

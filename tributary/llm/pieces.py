@@ -223,4 +223,5 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, parity checked for each."""
     return encode_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -13,6 +13,7 @@ labelled rows; scoring reads whole texts of all rows and never shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tributary.llm.common import quiet
+
 PASSAGE = 512
 #: Labelled documents that the model is fitted on at most, and passages of all of them together: whole documents are taken up to there.
 SAMPLE, PASSAGES = 4000, 1_000_000
@@ -180,26 +183,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([np.frombuffer(r[2], np.float32).reshape(-1, WIDTH).astype(float) for r in bags], y)
 
 
-def score_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Every row and column of docs, plus score double in 0..1 and predicted int (1 at threshold or more).
+def score_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """Every row and column of docs, plus score_col double in 0..1 and predicted_col int (1 at threshold or more).
 
     Null text is empty; empty texts get the score of an empty passage. Input
-    columns of those names are replaced.
+    columns of those two names are replaced.
     """
     from pyspark.sql.functions import arrow_udf
 
     shared = docs.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.weights))
 
-    @arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        m, out, bags, held = Model(*shared.value), [], [], 0
+    def scores(m: Model, texts: pa.Array) -> pa.Array:
+        out, bags, held = [], [], 0
 
         def flush():
             sizes = [len(x) for x in bags]
             out.append(m.score(np.concatenate(bags), np.cumsum([0, *sizes[:-1]]))[0])
 
-        for raw in texts.to_pylist():
-            bags.append(passages(raw or b""))
+        for raw in texts:
+            bags.append(passages(raw.as_py() or b""))
             held += len(bags[-1])
             if held >= 4096:  # all passages of these texts in one go
                 flush()
@@ -208,8 +210,15 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", thresho
             flush()
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
-    scored = docs.drop("score", "predicted").withColumn("score", score(F.col(text_col).cast("binary")))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    @arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with quiet():
+            m = Model(*shared.value)
+            for texts in batches:
+                yield scores(m, texts)
+
+    scored = docs.drop(score_col, predicted_col).withColumn(score_col, score(F.col(text_col).cast("binary")))
+    return scored.withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -77,23 +77,23 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """Every input column and row, plus base_spans and linked_spans (array of start, end, rank, kind).
+def scan_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, base: str = "base_spans", links: str = "linked_spans") -> DataFrame:
+    """Every input column and row, plus the columns base and links (arrays of start, end, rank, kind).
 
     Null text counts as empty; a row without finds has empty arrays. Input
     columns of those two names are replaced. Positions are code points, end
     exclusive; arrays are ordered by start, then by kind as listed in KINDS.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn("base_spans", F.array_sort(F.concat(_spans(text, ASSIGN, "assign", 1, 6), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex"))))
+    found = docs.withColumn(base, F.array_sort(F.concat(_spans(text, ASSIGN, "assign", 1, 6), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex"))))
     # one pass over the text decides whether weak parts can matter; most texts stop here
     weak = F.array_sort(F.concat(_spans(text, IDENTIFIER, "identifier"), _spans(text, SECRET, "secret"), _spans(text, ENDPOINT, "endpoint")))
-    empty = F.slice(F.col("base_spans"), 1, 0)
-    maybe = F.regexp_like(text, F.lit(f"{IDENTIFIER}|{SECRET}")) | (F.size("base_spans") > 0)
+    empty = F.slice(F.col(base), 1, 0)
+    maybe = F.regexp_like(text, F.lit(f"{IDENTIFIER}|{SECRET}")) | (F.size(base) > 0)
     found = found.withColumn("_weak", F.when(maybe, weak).otherwise(empty))
     # every kind by itself, computed once a row and bound to a name
     one = lambda spans, kind: F.filter(spans, lambda s: s["kind"] == kind).alias(kind)
-    sides = F.struct(*(one(F.col("base_spans"), k) for k in BASE), *(one(F.col("_weak"), k) for k in KINDS[len(BASE) :]), F.col("_weak").alias("weak"))
+    sides = F.struct(*(one(F.col(base), k) for k in BASE), *(one(F.col("_weak"), k) for k in KINDS[len(BASE) :]), F.col("_weak").alias("weak"))
 
     def linked(s: Column, by: Column) -> Column:
         any_of = lambda *kinds: functools.reduce(lambda a, b: a | b, (_near(s, by[k], scope) for k in kinds))
@@ -101,8 +101,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) ->
         clear = ~functools.reduce(lambda a, b: a | b, (_covered(s, by[k]) for k in BASE))
         return clear & F.when(s["kind"] == "identifier", keys).when(s["kind"] == "secret", names).otherwise(names & keys)
 
-    links = F.transform(F.array(sides), lambda by: F.filter(by["weak"], lambda s: linked(s, by)))[0]
-    return found.withColumn("linked_spans", F.when(F.size("_weak") > 0, links).otherwise(empty)).drop("_weak")
+    near = F.transform(F.array(sides), lambda by: F.filter(by["weak"], lambda s: linked(s, by)))[0]
+    return found.withColumn(links, F.when(F.size("_weak") > 0, near).otherwise(empty)).drop("_weak")
 
 
 #: Code points of a piece of text that redaction cuts from.
@@ -116,12 +116,12 @@ def _cut(pieces: Column, begin: Column, end: Column) -> Column:
     return F.when(end > begin, F.substring(F.array_join(F.slice(pieces, first + 1, F.greatest(n, F.lit(0))), ""), (begin % PIECE + 1).cast("int"), (end - begin).cast("int"))).otherwise("")
 
 
-def redact(scanned: DataFrame, text_col: str = "text") -> DataFrame:
+def redact(scanned: DataFrame, text_col: str = "text", base: str = "base_spans", links: str = "linked_spans") -> DataFrame:
     """Replace every span of scan_secrets by [kind]; overlapping spans become one. Drops the span columns.
 
     Null text stays null; n_chars, where present, is set to the new length.
     """
-    spans = F.array_sort(F.concat("base_spans", "linked_spans"))
+    spans = F.array_sort(F.concat(base, links))
     text = F.col(text_col)
     whole = F.struct(spans.alias("spans"), F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0)).alias("pieces"), F.length(text).cast("long").alias("size"))
     reach = lambda t: _scan(F.transform(t["spans"], lambda s: s["end"]), F.greatest)
@@ -136,11 +136,12 @@ def redact(scanned: DataFrame, text_col: str = "text") -> DataFrame:
         return F.concat(F.array_join(parts, ""), _cut(t["pieces"], F.element_at(before, -1), t["size"]))
 
     clean = F.when(F.size(spans) > 0, F.transform(F.array(whole), clean_text)[0]).otherwise(text)
-    out = scanned.withColumn(text_col, clean).drop("base_spans", "linked_spans")
+    out = scanned.withColumn(text_col, clean).drop(base, links)
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in out.columns else out
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
+    """Base and linked spans of every document."""
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(

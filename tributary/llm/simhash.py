@@ -43,8 +43,12 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     grams = zip(*(words[k:] for k in range(width))) if len(words) >= width else [words]
     digest, join = xxhash.xxh64_intdigest, b" ".join
     n = max(1, len(words) - width + 1)
-    hashes = np.fromiter((digest(join(g), SEED) for g in grams), np.uint64, n)
-    counts = np.zeros(64, np.int64)
+    return fingerprint_of(np.fromiter((digest(join(g), SEED) for g in grams), np.uint64, n))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of 64-bit hashes: a bit is 1 if set in over half of them."""
+    counts, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, _SLICE):
         part = hashes[at : at + _SLICE]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
@@ -193,5 +197,6 @@ def as_hex(fp: Column) -> Column:
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components within three bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return simhash_components(docs).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
