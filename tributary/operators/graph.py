@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.session import shared_dir
 
+#: A table of up to this many counted rows is broadcast to those it is held against; a larger one is joined by shuffle.
+FEW = 100_000
+
+
+def beside(small: DataFrame) -> DataFrame:
+    """small, to be broadcast where its counted rows are few."""
+    return F.broadcast(small) if small.count() <= FEW else small
+
 
 def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, a lost executor costs one task."""
@@ -66,3 +75,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         old, before = e, sign
         e = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         discard(old)
+
+
+def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union the pairs (a, b) into labels, in place; labels[i] is the smallest index reachable so far."""
+    while len(a):
+        ra, rb = labels[a], labels[b]
+        differ = ra != rb
+        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
+        np.minimum.at(labels, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            jumped = labels[labels]
+            if np.array_equal(jumped, labels):
+                break
+            labels[:] = jumped

@@ -75,8 +75,13 @@ def _compare(s: State, name: str, op: str, value) -> tuple[Column, Column]:
         read = c if kind == "boolean" else F.when(c == "true", True).when(c == "false", False) if kind == "string" else F.lit(None).cast("boolean")
         return apply(read, F.lit(value)), read.isNull()
     if isinstance(value, (int, float)):
-        read = c if kind == "number" else F.when(c.rlike(_NUMBER), c.try_cast("double")) if kind == "string" else F.lit(None).cast("double")
-        return apply(read, F.lit(value)), read.isNull()
+        if kind == "number":
+            return apply(c, F.lit(value)), c.isNull()
+        read = F.when(c.rlike(_NUMBER), c.try_cast("double")) if kind == "string" else F.lit(None).cast("double")
+        # digits are compared exactly where both sides fit 20 of them before and 18 behind the point
+        exact, want = F.when(c.rlike(_NUMBER), c.try_cast("decimal(38,18)")), F.lit(str(value)).try_cast("decimal(38,18)")
+        same = F.lit(str(value)).try_cast("decimal(38,18)").cast("double") == F.lit(float(value))
+        return F.when(exact.isNotNull() & want.isNotNull() & same, apply(exact, want)).otherwise(apply(read, F.lit(value))), read.isNull()
     read = c if kind == "string" else F.lit(None).cast("string")
     return apply(read, F.lit(value)), read.isNull()
 
@@ -169,14 +174,17 @@ def prepare(df: DataFrame, steps: list[dict], order: list[Column | str]) -> Data
     return s.df.select(*(f"`{f}`" for f in s.fields), "__alive", "__error", "__filtered", "__repeated")
 
 
-def apply_recipe(df: DataFrame, steps: list[dict], order: list[Column | str], strict: bool = True) -> DataFrame:
-    """Rows that survive the steps. strict: one aggregate pass first, which raises on the first bad value."""
+def apply_recipe(df: DataFrame, steps: list[dict], order: list[Column | str], strict: bool = True, id_field: str | None = None) -> DataFrame:
+    """Rows that survive the steps. strict: one aggregate pass first, which raises on the first bad value. id_field: null or repeated ids of what survives raise too."""
     done = prepare(df, steps, order)
     if strict:
         bad = done.agg(F.min("__error")).first()[0]
         if bad:
             raise RecipeError(bad)
-    return done.where("__alive").drop("__alive", "__error", "__filtered", "__repeated")
+    out = done.where("__alive").drop("__alive", "__error", "__filtered", "__repeated")
+    if id_field:
+        check_unique(out, id_field)
+    return out
 
 
 def counters(df: DataFrame, steps: list[dict], order: list[Column | str]) -> DataFrame:

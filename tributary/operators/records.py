@@ -52,13 +52,22 @@ def changed(before: DataFrame, after: DataFrame, id_col: str) -> DataFrame:
 
 
 def patch(df: DataFrame, id_col: str, rid: str, field: str, before, after) -> DataFrame:
-    """Set one field of one record, where it still holds the value seen before; the id can't be changed."""
+    """Set one field of one record (None removes its value), where it still holds the value seen before; the id can't be changed."""
     if field == id_col:
         raise ValueError("the id field is fixed")
     hit = (F.col(id_col).cast("string") == rid) & F.col(field).eqNullSafe(F.lit(before))
     return df.withColumn(field, F.when(hit, F.lit(after)).otherwise(F.col(field)))
 
 
+def diff_checked(before: DataFrame, after: DataFrame, id_col: str, line_col: str | None = None) -> DataFrame:
+    """diff, where both sides have ids that are neither null nor blank nor repeated; else an error."""
+    for side, df in (("before", before), ("after", after)):
+        seen = id_health(df, id_col).first()
+        if seen["null_ids"] or seen["blank_ids"] or seen["duplicate_ids"]:
+            raise ValueError(f"{side}: ids are null, blank or repeated")
+    return diff(before, after, id_col, line_col)
+
+
 def locate(findings: DataFrame, facts: DataFrame) -> DataFrame:
     """(finding_id, rid, line) of every record that a finding names."""
     named = findings.select("finding_id", F.explode("sample_ids").alias("rid"))

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from itertools import combinations, zip_longest
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tributary.operators import graph
+from tributary.operators.graph import beside, discard, materialize, merge_labels, pair_units
+
 RADIUS, DRIFT = 6, 0.1
-DIMENSIONS = ("split", "label", "media_format", "width", "height", "channels")
+#: Rows of a bucket aimed at, tables at most, rows of a bucket above which it is split, pairs of a component that one call takes.
+BUCKET, MAX_TABLES, CAP, ALONE = 2048, 64, 4096, 500_000
+DIMENSIONS = ("split", "label", "width", "height", "aspect_ratio", "format", "channels")
+# Where sizes and aspect ratios are cut.
+SIZES, ASPECTS = (256, 512, 1024), (0.8, 1.25)
 # The severity of each code.
 SEVERITY = {
     "CROSS_SPLIT_EXACT_LEAKAGE": "error", "EXACT_DUPLICATE_GROUP": "warning", "NEAR_DUPLICATE_GROUP": "warning", "CROSS_SPLIT_NEAR_LEAKAGE": "warning",
@@ -31,43 +43,101 @@ def match_contents(before: DataFrame, after: DataFrame) -> DataFrame:
     return left.select("content_hash", "k", F.col("path").alias("before_path")).join(right.select("content_hash", "k", F.col("path").alias("after_path")), ["content_hash", "k"]).select("before_path", "after_path")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b, distance) of rows (id, bits) within radius: equi-joins on radius + 1 bands, then the true distance."""
-    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
+def key_masks(n: int, radius: int) -> list[int]:
+    """Bits of 64 that make the keys of each table: rows within radius agree under one of them at least.
 
-    def banded(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("bits", cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1).alias("key")) for k in range(radius + 1)))
-        return df.where("bits is not null").select(F.col("id").alias(name), F.col("bits").alias(f"{name}_bits"), F.explode(keys).alias("x")).select(name, f"{name}_bits", "x.band", "x.key")
+    The number of key bits follows the number of rows; where the radius leaves
+    too few bits for it, buckets are larger, and split into pairs of blocks.
+    """
+    need = max(0, math.ceil(math.log2(max(n, 1) / BUCKET)))
+    if not need or radius >= 63:
+        return [0]
+    best = radius + 1
+    for m in range(radius + 1, radius + 6):
+        if math.comb(m, radius) > MAX_TABLES:
+            break
+        best = m
+        if (m - radius) * (64 // m) >= need:
+            break
+    cuts = [64 * k // best for k in range(best + 1)]
+    masks = []
+    for chosen in combinations(range(best), best - radius):
+        bits = [b for row in zip_longest(*(range(cuts[k], cuts[k + 1]) for k in chosen)) for b in row if b is not None][:need]
+        masks.append(sum(1 << b for b in bits))
+    return masks
 
-    pairs = banded(left, "a").join(banded(right, "b"), ["band", "key"])
-    distance = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))).cast("bigint")
-    return pairs.withColumn("distance", distance).where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
 
+def _units(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """rows (id, bits, ...) dealt so that any two that agree under a mask meet in one unit of it."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.posexplode(F.array(*(F.col("bits").bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("band", "key")
+    return pair_units(rows.select("*", keys), ["band", "key"], "id", CAP)
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable, by grouped minima until nothing changes; each round is written out."""
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
-    labels, both = nodes.select(F.col("node"), F.col("node").alias("component")), _cut(both)
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), (F.coalesce("m", "component") < F.col("component")).alias("moved"))
-        step = _cut(step)
-        if not step.agg(F.count_if("moved")).first()[0]:
-            return step.select("node", "component")
-        # labels of labels: paths halve each round
-        jump = step.select(F.col("node").alias("j"), F.col("component").alias("up"))
-        labels = step.join(jump, step["component"] == jump["j"]).select("node", F.col("up").alias("component"))
 
+def _close(x: np.ndarray, y: np.ndarray, band: int, masks: np.ndarray, radius: int):
+    """(rows of x, rows of y, distances) within radius that no table before band brings together."""
+    for at in range(0, len(x), 512):
+        apart = x[at : at + 512, None] ^ y[None, :]
+        distance = np.bitwise_count(apart)
+        a, b = np.nonzero(distance <= radius)
+        first = ~((apart[a, b][:, None] & masks[None, :band]) == 0).any(axis=1)
+        yield at + a[first], b[first], distance[a[first], b[first]]
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    import tempfile
 
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tributary-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+def near_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b, distance) of rows (id, bits) within radius, each pair once, where both bits are known.
+
+    Rows that agree in the key bits of a table are compared; a pair comes from
+    the first table that has it, so nothing is written twice, and a key of many
+    rows is split into blocks.
+    """
+    side = lambda df, k: df.where("bits is not null").select("id", "bits", F.lit(k).alias("side"))
+    rows = side(left, 0).union(side(right, 1))
+    kind = rows.schema["id"].dataType.simpleString()
+    masks = key_masks(rows.count(), radius)
+    table = np.array(masks, np.uint64)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        band, i, j = (int(pdf[c].iloc[0]) for c in ("band", "unit_i", "unit_j"))
+        bits, ids = pdf["bits"].to_numpy(np.int64).view(np.uint64), pdf["id"].to_numpy()
+        block, of = pdf["block"].to_numpy(), pdf["side"].to_numpy()
+        found = []
+        for x, y in {(i, j), (j, i)}:
+            one, other = np.flatnonzero((of == 0) & (block == x)), np.flatnonzero((of == 1) & (block == y))
+            found += [(ids[one[a]], ids[other[b]], d) for a, b, d in _close(bits[one], bits[other], band, table, radius)]
+        columns = zip(*found) if found else ([ids[:0]], [ids[:0]], [np.zeros(0, np.int64)])
+        a, b, d = (np.concatenate(list(c)) for c in columns)
+        return pd.DataFrame({"a": a, "b": b, "distance": d.astype(np.int64)})
+
+    return _units(rows, masks).groupBy("band", "key", "unit_i", "unit_j").applyInPandas(compare, f"a {kind}, b {kind}, distance long")
+
+
+def near_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): edges that span the components of nodes (id, bits, content_hash) within radius and of different content; a unit gives a forest, never all pairs."""
+    rows = nodes.where("bits is not null").select("id", "bits", "content_hash")
+    kind = rows.schema["id"].dataType.simpleString()
+    masks = key_masks(rows.count(), radius)
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        bits, ids, block = pdf["bits"].to_numpy(np.int64).view(np.uint64), pdf["id"].to_numpy(), pdf["block"].to_numpy()
+        content = pd.factorize(pdf["content_hash"])[0]
+        one, other = (np.flatnonzero(block == pdf[c].iloc[0]) for c in ("unit_i", "unit_j"))
+        labels = np.arange(len(pdf))
+        for a, b, _ in _close(bits[one], bits[other], 0, np.zeros(0, np.uint64), radius):
+            a, b = one[a], other[b]
+            apart = content[a] != content[b]
+            merge_labels(labels, a[apart], b[apart])
+        linked = np.flatnonzero(labels != np.arange(len(pdf)))
+        return pd.DataFrame({"a": ids[linked], "b": ids[labels[linked]]})
+
+    return _units(rows, masks).groupBy("band", "key", "unit_i", "unit_j").applyInPandas(forest, f"a {kind}, b {kind}")
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable, itself where no edge leads on."""
+    found = graph.components(edges).withColumnRenamed("node", "_node")
+    return nodes.select("node").join(found, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def near_components(samples: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -76,83 +146,163 @@ def near_components(samples: DataFrame, radius: int = RADIUS) -> DataFrame:
     Equal contents are one node, so a whole group of copies comes in with its
     first near neighbour; groups of copies alone do not appear.
     """
-    nodes = samples.groupBy("content_hash", "bits").agg(F.min("id").alias("node"))
-    own = nodes.select(F.col("node").alias("id"), "bits", "content_hash")
-    pairs = near_pairs(own, own, radius).where("a < b")
-    hashes = own.select(F.col("id").alias("x"), F.col("content_hash").alias("h"))
-    pairs = pairs.join(hashes.withColumnRenamed("h", "ha"), F.col("a") == F.col("x")).drop("x").join(hashes.withColumnRenamed("h", "hb"), F.col("b") == F.col("x")).where("ha <> hb").select("a", "b")
-    touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    found = components(pairs, touched)
-    return samples.join(nodes, ["content_hash", "bits"]).join(found, "node").select("id", "component")
-
-
-def greedy_match(pairs: DataFrame) -> DataFrame:
-    """(a, b, distance): best pairs first by (distance, a, b), each side used once; rounds of mutual best, which give the same pairs."""
+    nodes = materialize(samples.groupBy("content_hash", "bits").agg(F.min("id").alias("node")), "nodes")
+    edges = materialize(near_edges(nodes.select(F.col("node").alias("id"), "bits", "content_hash"), radius), "near")
+    touched = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    found = nodes.join(components(edges, touched), "node")
+    return samples.join(found, ["content_hash", "bits"]).select("id", "component")
+
+
+def _by_component(pairs: DataFrame) -> DataFrame:
+    """pairs with component, the connected component of a pair's ends."""
+    ends = pairs.select(F.concat(F.lit("a:"), F.col("a").cast("string")).alias("a"), F.concat(F.lit("b:"), F.col("b").cast("string")).alias("b"))
+    found = components(ends, ends.select(F.col("a").alias("node")).distinct())
+    return pairs.withColumn("_node", F.concat(F.lit("a:"), F.col("a").cast("string"))).join(found, F.col("_node") == F.col("node")).drop("_node", "node")
+
+
+def greedy_match(pairs: DataFrame, alone: int = ALONE) -> DataFrame:
+    """(a, b, distance): best pairs first by (distance, a, b), each side used once.
+
+    Components of up to alone pairs are sorted and taken in one call each.
+    Larger ones go by rounds of mutual best, which give the same pairs; each
+    round's pairs are written, so the plan never grows.
+    """
+    pairs = materialize(_by_component(pairs.select("a", "b", "distance")), "pairs")
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    schema = f"a {kinds['a']}, b {kinds['b']}, distance {kinds['distance']}"
+    sizes = pairs.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > alone).select("component")
+    large = beside(materialize(sizes, "large"))
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        used_a, used_b, rows = set(), set(), []
+        for r in pdf.sort_values(["distance", "a", "b"], kind="stable")[["a", "b", "distance"]].itertuples(index=False):
+            if r.a not in used_a and r.b not in used_b:
+                used_a.add(r.a)
+                used_b.add(r.b)
+                rows.append(r)
+        return pd.DataFrame(rows, columns=["a", "b", "distance"])
+
+    out = pairs.join(large, "component", "left_anti").groupBy("component").applyInPandas(take, schema)
     order = F.struct("distance", "a", "b")
-    left, chosen = _cut(pairs.select("a", "b", "distance")), None
+    left = materialize(pairs.join(large, "component").select("a", "b", "distance"), "left")
     while not left.isEmpty():
         best = left.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(order))).withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(order))).where("ra = 1 and rb = 1").select("a", "b", "distance")
-        best = _cut(best)
-        chosen = best if chosen is None else chosen.union(best)
-        left = _cut(left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti"))
-    return chosen if chosen is not None else pairs.limit(0)
+        best = materialize(best, "best")
+        out = out.union(best)
+        before, left = left, materialize(left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti"), "left")
+        discard(before)
+    return out
 
 
 def assign_component(costs: dict[tuple, int]) -> list[tuple]:
-    """Pairs of most matches, then least total cost, of one small component: successive shortest paths."""
+    """Pairs of most matches, then least total cost, of one component."""
+    return assignment(costs)[0]
+
+
+def assignment(costs: dict[tuple, int]) -> tuple[list[tuple], set[tuple]]:
+    """(pairs, those of them that another matching of the same size and cost goes without).
+
+    Shortest augmenting paths with potentials give the pairs: for n of one side
+    and e costs, n searches of e log e steps. A pair is dispensable where its
+    ends lie on a cycle of the residual graph without cost, that is, in one
+    strongly connected component of its tight edges; the source and the sink
+    stand for what is left unmatched.
+    """
     lefts, rights = sorted({a for a, _ in costs}), sorted({b for _, b in costs})
-    mate: dict = {}
-    for _ in lefts:
-        # cheapest augmenting path by relaxation over the residual graph
-        dist = {("L", a): (0, None) for a in lefts if a not in mate}
-        moved = True
-        while moved:
-            moved = False
-            for (a, b), c in sorted(costs.items()):
-                if ("L", a) in dist and mate.get(a) != b and (("R", b) not in dist or dist["L", a][0] + c < dist["R", b][0]):
-                    dist["R", b] = (dist["L", a][0] + c, ("L", a))
-                    moved = True
-                if mate.get(a) == b and ("R", b) in dist and (("L", a) not in dist or dist["R", b][0] - c < dist["L", a][0]):
-                    dist["L", a] = (dist["R", b][0] - c, ("R", b))
-                    moved = True
-        used = set(mate.values())
-        ends = [(dist["R", b][0], b) for b in rights if b not in used and ("R", b) in dist]
-        if not ends:
+    source, sink = 0, len(lefts) + len(rights) + 1
+    at_a, at_b = {a: k for k, a in enumerate(lefts, 1)}, {b: k for k, b in enumerate(rights, len(lefts) + 1)}
+    open_: list[dict[int, int]] = [{} for _ in range(sink + 1)]  # residual edges and their costs
+    for a in lefts:
+        open_[source][at_a[a]] = 0
+    for b in rights:
+        open_[at_b[b]][sink] = 0
+    for (a, b), c in sorted(costs.items()):
+        open_[at_a[a]][at_b[b]] = c
+    level = [0] * (sink + 1)  # potentials: an open edge from x to y costs c + level[x] - level[y], 0 or more
+    while True:
+        reach, back, heap = {source: 0}, {}, [(0, source)]
+        done: set[int] = set()
+        while heap:
+            d, x = heapq.heappop(heap)
+            if x in done:
+                continue
+            done.add(x)
+            if x == sink:
+                break
+            for y, c in open_[x].items():
+                e = d + c + level[x] - level[y]
+                if y not in done and e < reach.get(y, e + 1):
+                    reach[y], back[y] = e, x
+                    heapq.heappush(heap, (e, y))
+        if sink not in done:
             break
-        at, steps = ("R", min(ends)[1]), []
-        while at is not None:
-            prior = dist[at][1]
-            if at[0] == "R":
-                steps.append((prior[1], at[1]))
-            at = prior
-        for a, b in reversed(steps):
-            mate[a] = b
-    return sorted(mate.items())
+        far = reach[sink]
+        for x in range(sink + 1):
+            level[x] += min(reach.get(x, far), far)
+        y = sink
+        while y != source:
+            x = back[y]
+            open_[y][x] = -open_[x].pop(y)
+            y = x
+    pairs = []
+    for b in rights:
+        for x in open_[at_b[b]]:
+            if 0 < x <= len(lefts):
+                pairs.append((lefts[x - 1], b))
+    tight = [[y for y, c in open_[x].items() if c + level[x] - level[y] == 0] for x in range(sink + 1)]
+    part = _strong(tight)
+    return sorted(pairs), {(a, b) for a, b in pairs if part[at_a[a]] == part[at_b[b]]}
+
+
+def _strong(edges: list[list[int]]) -> list[int]:
+    """The strongly connected component of each node."""
+    order, low, part, number = [-1] * len(edges), [0] * len(edges), [-1] * len(edges), 0
+    for root in range(len(edges)):
+        if order[root] >= 0:
+            continue
+        stack, work = [], [(root, iter(edges[root]))]
+        order[root] = low[root] = number
+        number += 1
+        stack.append(root)
+        while work:
+            x, rest = work[-1]
+            for y in rest:
+                if order[y] < 0:
+                    order[y] = low[y] = number
+                    number += 1
+                    stack.append(y)
+                    work.append((y, iter(edges[y])))
+                    break
+                if part[y] < 0:
+                    low[x] = min(low[x], order[y])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[x])
+                if low[x] == order[x]:
+                    while True:
+                        y = stack.pop()
+                        part[y] = x
+                        if y == x:
+                            break
+    return part
 
 
 def optimal_match(pairs: DataFrame, ambiguity: bool = True) -> DataFrame:
     """(a, b, distance, ambiguous): least-cost matching of each connected component.
 
     A pair is ambiguous where forbidding it leaves a matching of the same size
-    and cost. Components are solved apart, one grouped call each.
+    and cost, which the residual graph tells without solving again. Components
+    are solved apart, one grouped call each.
     """
-    ends = pairs.select(F.concat(F.lit("a:"), F.col("a").cast("string")).alias("a"), F.concat(F.lit("b:"), F.col("b").cast("string")).alias("b"))
-    nodes = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
-    found = components(ends, nodes)
-    grouped = pairs.withColumn("node", F.concat(F.lit("a:"), F.col("a").cast("string"))).join(found, "node")
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         costs = {(a, b): int(d) for a, b, d in zip(pdf["a"], pdf["b"], pdf["distance"])}
-        best = assign_component(costs)
-        total = sum(costs[p] for p in best)
-        rows = []
-        for p in best:
-            other = assign_component({k: v for k, v in costs.items() if k != p}) if ambiguity and len(costs) > 1 else []
-            rows.append((*p, costs[p], len(other) == len(best) and sum(costs[x] for x in other) == total))
-        return pd.DataFrame(rows, columns=["a", "b", "distance", "ambiguous"])
+        best, loose = assignment(costs)
+        return pd.DataFrame([(*p, costs[p], ambiguity and p in loose) for p in best], columns=["a", "b", "distance", "ambiguous"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    return grouped.groupBy("component").applyInPandas(solve, f"a {kinds['a']}, b {kinds['b']}, distance long, ambiguous boolean")
+    return _by_component(pairs).groupBy("component").applyInPandas(solve, f"a {kinds['a']}, b {kinds['b']}, distance long, ambiguous boolean")
 
 
 def exact_groups(samples: DataFrame) -> DataFrame:
@@ -163,16 +313,16 @@ def exact_groups(samples: DataFrame) -> DataFrame:
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(path, code) of samples matched by path, and of those only one side has."""
-    a, b = before.alias("a"), after.alias("b")
-    both = a.join(b, F.col("a.path") == F.col("b.path"), "full_outer")
+    """(before_path, after_path, code): what differs between samples matched by path, then by content, and what only one side has."""
+    found = match_paths(before, after).select("before_path", "after_path").union(match_contents(before, after)).alias("m")
+    both = found.join(before.alias("a"), F.col("m.before_path") == F.col("a.path"), "full_outer").join(after.alias("b"), F.col("m.after_path") == F.col("b.path"), "full_outer")
     here = F.col("a.path").isNotNull() & F.col("b.path").isNotNull()
     code = F.array_compact(F.array(
         F.when(F.col("a.path").isNull(), "SAMPLE_ADDED"), F.when(F.col("b.path").isNull(), "SAMPLE_REMOVED"),
         F.when(here & ~F.col("a.split").eqNullSafe(F.col("b.split")), "SPLIT_CHANGED"), F.when(here & ~F.col("a.label").eqNullSafe(F.col("b.label")), "LABEL_CHANGED"),
-        F.when(here & (F.col("a.content_hash") != F.col("b.content_hash")), "CONTENT_CHANGED"),
+        F.when(here & (F.col("a.path") != F.col("b.path")), "SAMPLE_MOVED"), F.when(here & (F.col("a.content_hash") != F.col("b.content_hash")), "CONTENT_CHANGED"),
     ))
-    return both.select(F.coalesce("a.path", "b.path").alias("path"), F.explode(code).alias("code"))
+    return both.select(F.col("a.path").alias("before_path"), F.col("b.path").alias("after_path"), F.explode(code).alias("code"))
 
 
 def match_samples(before: DataFrame, after: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -189,14 +339,13 @@ def match_samples(before: DataFrame, after: DataFrame, radius: int = RADIUS) ->
     bits = a.select(F.col("path").alias("before_path"), F.col("bits").alias("a_bits")).join(b.select(F.col("path").alias("before_path"), F.col("bits").alias("b_bits")), "before_path")
     paths = match_paths(a, b).join(bits, "before_path").select("before_path", "after_path", F.lit("path").alias("method"), distance.alias("distance"), "confidence", none.alias("members"))
     same = match_contents(a, b).select("before_path", "after_path", F.lit("content").alias("method"), F.lit(0).cast("long").alias("distance"), F.lit("exact").alias("confidence"), none.alias("members"))
-    found = _cut(paths.union(same))
+    found = materialize(paths.union(same), "matches")
     left = a.join(found.select(F.col("before_path").alias("path")), "path", "left_anti").select(F.col("path").alias("id"), "bits")
     right = b.join(found.select(F.col("after_path").alias("path")), "path", "left_anti").select(F.col("path").alias("id"), "bits")
-    pairs = _cut(near_pairs(left, right, radius))
+    pairs = materialize(near_pairs(left, right, radius), "pairs")
     if pairs.isEmpty():
         return found
-    ends = pairs.select(F.concat(F.lit("a:"), "a").alias("a"), F.concat(F.lit("b:"), "b").alias("b"))
-    grouped = pairs.withColumn("node", F.concat(F.lit("a:"), "a")).join(components(ends, ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()), "node")
+    grouped = _by_component(pairs)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         costs = {(x, y): int(d) for x, y, d in zip(pdf["a"], pdf["b"], pdf["distance"])}
@@ -209,12 +358,7 @@ def match_samples(before: DataFrame, after: DataFrame, radius: int = RADIUS) ->
             weight = (len(lefts) * len(rights) + 1) * (min(len(lefts), len(rights)) + 1)
             row, column = ({x: k for k, x in enumerate(side)} for side in (lefts, rights))
             chosen = assign_component({(x, y): d * weight + row[x] * len(rights) + column[y] for (x, y), d in costs.items()})
-            total, ambiguous = sum(costs[p] for p in chosen), False
-            for p in chosen:
-                other = assign_component({k: v for k, v in costs.items() if k != p})
-                if len(other) == len(chosen) and sum(costs[x] for x in other) == total:
-                    ambiguous = True
-                    break
+            ambiguous = bool(assignment(costs)[1])
         members = sorted([*lefts, *rights]) if ambiguous else None
         return pd.DataFrame([(*p, "perceptual", costs[p], "ambiguous" if ambiguous else "probable", members) for p in chosen], columns=["before_path", "after_path", "method", "distance", "confidence", "members"])
 
@@ -223,7 +367,7 @@ def match_samples(before: DataFrame, after: DataFrame, radius: int = RADIUS) ->
 
 def sample_findings(before: DataFrame, after: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(code, sample_ids, distance): what changed between two snapshots, by all matches of match_samples; ambiguous pairs tell no change."""
-    matches = _cut(match_samples(before, after, radius))
+    matches = materialize(match_samples(before, after, radius), "matches")
     sure = matches.where("confidence <> 'ambiguous'").alias("m").join(before.alias("a"), F.col("m.before_path") == F.col("a.path")).join(after.alias("b"), F.col("m.after_path") == F.col("b.path"))
     near = F.coalesce(F.col("m.distance") <= radius, F.lit(False))
     other = F.col("a.content_hash") != F.col("b.content_hash")
@@ -246,6 +390,31 @@ def near_groups(samples: DataFrame, radius: int = RADIUS) -> DataFrame:
     return groups.select("component", "members", "splits", F.explode(codes).alias("code"))
 
 
+def in_buckets(samples: DataFrame) -> DataFrame:
+    """Samples with the seven dimensions of a distribution: width, height and their ratio cut into buckets, unknown where not known."""
+    a, b, c = SIZES
+
+    def size(name: str):
+        v = F.col(name)
+        return F.when(v.isNull(), "unknown").when(v < a, f"<{a}").when(v < b, f"{a}-{b - 1}").when(v < c, f"{b}-{c - 1}").otherwise(f">={c}")
+
+    ratio = F.col("width") / F.nullif(F.col("height"), F.lit(0))
+    aspect = F.when(ratio.isNull(), "unknown").when(ratio < ASPECTS[0], "portrait").when(ratio <= ASPECTS[1], "square").otherwise("landscape")
+    return samples.select("split", "label", size("width").alias("width"), size("height").alias("height"), aspect.alias("aspect_ratio"), F.coalesce("media_format", F.lit("unknown")).alias("format"), F.coalesce(F.col("channels").cast("string"), F.lit("unknown")).alias("channels"))
+
+
+def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: added, removed, replaced, moved of manifests (path, size, content_hash); files gone and come with one content are moves."""
+    a, b = before.alias("a"), after.alias("b")
+    both = a.join(b, F.col("a.path") == F.col("b.path"), "full_outer")
+    same = (F.col("a.content_hash") == F.col("b.content_hash")) & (F.col("a.size") == F.col("b.size"))
+    state = F.when(F.col("a.path").isNull(), "come").when(F.col("b.path").isNull(), "gone").when(~same, "replaced")
+    rows = both.select(state.alias("state"), F.coalesce("a.content_hash", "b.content_hash").alias("h"), F.coalesce("a.size", "b.size").alias("s")).where("state is not null")
+    per = rows.groupBy("h", "s").agg(*(F.count_if(F.col("state") == x).alias(x) for x in ("come", "gone", "replaced"))).withColumn("moved", F.least("come", "gone"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return per.agg(total(F.col("come") - F.col("moved"), "added"), total(F.col("gone") - F.col("moved"), "removed"), total(F.col("replaced"), "replaced"), total(F.col("moved"), "moved"))
+
+
 def distribution(samples: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
     """(dimension, key, n, share): all histograms in one aggregation."""
     cells = F.array(*(F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias("key")) for d in dimensions))
