@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.scalars import draw_key, slot, typed_key
-from tributary.operators import export, findings, policy, recipe, records, review, views
+from tributary.operators import export, findings, inspect, policy, recipe, records, review, views
 from tributary.plans.sqlpolicy import distinct_on, transform
+from tributary.session import shared_dir
+from tributary.sources import imports, media, readers, sinks
 
 #: Bounded SQL: name -> (inputs, query); DuckDB runs the same text where no other is given below.
 SQL = {
@@ -20,7 +24,7 @@ SQL = {
     "sql_where_between": ("orders", "SELECT o_orderkey AS id FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND NOT (o_orderstatus = 'P') ORDER BY id"),
     "sql_in_list": ("orders", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey NOT IN (1, 2, 3) ORDER BY id"),
     "sql_in_subquery": ("orders customer", "SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) ORDER BY id"),
-    "sql_not_in": ("orders customer", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY id"),
+    "sql_not_in": ("orders customer", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) ORDER BY id"),
     "sql_exists": ("orders customer", "SELECT c_custkey AS id FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000) ORDER BY id"),
     "sql_correlated_scalar": ("orders customer", "SELECT c_custkey AS id, (SELECT MAX(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c ORDER BY id"),
     "sql_is_distinct": ("orders", "SELECT o_orderkey AS id, o_orderstatus IS NOT DISTINCT FROM 'F' AS f, o_orderstatus IS DISTINCT FROM NULL AS known FROM orders WHERE (o_totalprice > 1000) IS TRUE ORDER BY id"),
@@ -33,7 +37,7 @@ SQL = {
     "join_using": ("customer", "SELECT a.c_name AS id, b.c_acctbal FROM customer a JOIN customer b USING (c_custkey) ORDER BY id"),
     "join_theta": ("nation region", "SELECT n_nationkey, r_regionkey AS id FROM nation JOIN region ON n_nationkey < r_regionkey ORDER BY n_nationkey, id"),
     "join_semi": ("customer orders", "SELECT c_custkey AS id FROM customer SEMI JOIN orders ON c_custkey = o_custkey ORDER BY id"),
-    "join_anti": ("customer orders", "SELECT c_custkey AS id FROM customer ANTI JOIN orders ON c_custkey = o_custkey ORDER BY id"),
+    "join_anti": ("customer orders", "SELECT c_custkey AS id FROM customer ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 ORDER BY id"),
     "join_self": ("nation", "SELECT a.n_name AS left_name, b.n_name AS id FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey ORDER BY left_name, id"),
     "join_multi": ("customer nation region orders", "SELECT r_name AS id, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name ORDER BY id"),
     "join_derived": ("customer orders", "SELECT t.k AS id, c_name, t.n FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey) AS t JOIN customer ON c_custkey = t.k ORDER BY id"),
@@ -98,6 +102,20 @@ def sql_distinct_on(spark, d):
     return distinct_on(_read(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
+@query("SELECT event_type, count(event_id) AS n, max(value) AS top FROM events WHERE value > 1 GROUP BY event_type")
+def dsl_task(spark, d):
+    from tributary.plans.dsl import run_task
+
+    return run_task(spark, f"from '{d}/events.parquet' format parquet source-id-field event_id prepare filter value > 1 aggregate by event_type n=count(event_id), top=max(value) export").select("event_type", "n", "top")
+
+
+@query("SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') || ' +00:00' AS o_orderdate FROM orders")
+def source_parquet_text(spark, d):
+    from tributary.sources.readers import read_files
+
+    return read_files(spark, f"{d}/orders.parquet", "parquet").select("o_orderkey", "o_orderstatus", "o_orderdate")
+
+
 # ---- recipes ----
 
 
@@ -205,9 +223,10 @@ def profile_fields(spark, d):
     return records.profile_fields(_holes(spark, d))
 
 
-@query("SELECT count(*) AS records, 0 AS null_ids, 0 AS blank_ids, count(*) - count(DISTINCT l_orderkey) AS duplicate_ids FROM lineitem")
+@query("SELECT count(*) AS records, count(*) - count(k) AS null_ids, count(*) FILTER (trim(k) = '') AS blank_ids, count(*) FILTER (trim(k) <> '') - count(DISTINCT k) FILTER (trim(k) <> '') AS duplicate_ids FROM (SELECT CASE WHEN l_orderkey % 11 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN ' ' ELSE CAST(l_orderkey AS VARCHAR) END AS k FROM lineitem)")
 def id_health(spark, d):
-    return records.id_health(_read(spark, d, "lineitem"), "l_orderkey")
+    k = F.col("l_orderkey")
+    return records.id_health(_read(spark, d, "lineitem").select(F.when(k % 11 == 0, None).when(k % 13 == 0, " ").otherwise(k.cast("string")).alias("k")), "k")
 
 
 @query(_DIFF)
@@ -248,23 +267,25 @@ _BROKEN = """SELECT * FROM (
   UNION ALL SELECT CAST(event_id AS VARCHAR), 'user_id', 'UNIQUE' FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 1)
   UNION ALL SELECT CAST(event_id AS VARCHAR), 'absent', 'REQUIRED' FROM events
   UNION ALL SELECT CAST(event_id AS VARCHAR), 'ts', 'TYPE' FROM events WHERE ts IS NOT NULL)"""
-_ROLLED = "SELECT field, code, count(*) AS total, count(*) FILTER ({gate}) AS gated, array_to_string(list_slice(list_sort(list(DISTINCT rid)), 1, 20), ',') AS samples, count(*) > 20 AS truncated FROM ({rows}) GROUP BY field, code HAVING count(*) FILTER ({gate}) > 0"
+#: A violation gates where its record changed; one of uniqueness, where any member of its group of equal values did.
+_CHANGED = "CASE WHEN code = 'UNIQUE' THEN rid IN (SELECT CAST(event_id AS VARCHAR) FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_id % 50 = 3)) ELSE CAST(rid AS BIGINT) % 50 = 3 END"
+_ROLLED = "SELECT field, code, count(*) AS total, count(*) FILTER (g) AS gated, array_to_string(list_slice(list_sort(list(DISTINCT rid) FILTER (g)), 1, 20), ',') AS samples, count(*) FILTER (g) > 20 AS truncated FROM (SELECT *, {gate} AS g FROM ({rows})) GROUP BY field, code HAVING count(*) FILTER (g) > 0"
 
 
-@query(_BROKEN)
-def policy_violations(spark, d):
-    return policy.violations(_read(spark, d, "events"), "event_id", _RULES)
+def _rolled(found):
+    return found.select("field", "code", "total", "gated", F.array_join("sample_ids", ",").alias("samples"), "truncated")
 
 
 @query(_ROLLED.format(gate="true", rows=_BROKEN))
 def policy_rollup_full(spark, d):
-    return policy.roll_up(policy_violations(spark, d)).select("field", "code", "total", "gated", F.array_join("sample_ids", ",").alias("samples"), "truncated")
+    return _rolled(policy.evaluate(_read(spark, d, "events"), "event_id", _RULES))
 
 
-@query(_ROLLED.format(gate="CAST(rid AS BIGINT) % 50 = 3", rows=_BROKEN))
+@query(_ROLLED.format(gate=_CHANGED, rows=_BROKEN))
 def policy_changed_only(spark, d):
-    changed = _read(spark, d, "events").where("event_id % 50 = 3").select(F.col("event_id").cast("string").alias("rid"))
-    return policy.roll_up(policy_violations(spark, d), changed).select("field", "code", "total", "gated", F.array_join("sample_ids", ",").alias("samples"), "truncated")
+    events = _read(spark, d, "events")
+    changed = events.where("event_id % 50 = 3").select(F.col("event_id").cast("string").alias("rid"))
+    return _rolled(policy.evaluate(events, "event_id", _RULES, changed))
 
 
 # ---- views and exports ----
@@ -315,7 +336,13 @@ def shard_summary(spark, d):
     return export.summary(export.shard(_assigned(spark, d), "o_orderkey", 500))
 
 
-@query(None)
+_SIZED = f"SELECT split, o_orderkey AS id, position, 20 + o_orderkey % 30 AS bytes, sum(20 + o_orderkey % 30) OVER (PARTITION BY split ORDER BY position) AS upto FROM ({_RANKED})"
+
+
+@query(f"""WITH RECURSIVE x AS MATERIALIZED ({_SIZED}), s AS (SELECT split, CAST(0 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS begins FROM x WHERE position = 0
+  UNION ALL SELECT s.split, s.shard + 1, CAST(min(p.position) AS BIGINT) FROM s JOIN x f ON f.split = s.split AND f.position = s.begins
+    JOIN x p ON p.split = s.split AND p.position > s.begins AND (p.position - s.begins >= 400 OR p.upto - (f.upto - f.bytes) > 8000) GROUP BY s.split, s.shard)
+  SELECT x.split, x.id, x.position, s.shard FROM x ASOF JOIN s ON x.split = s.split AND x.position >= s.begins""")
 def shard_assign_bytes(spark, d):
     rows = _assigned(spark, d).withColumn("bytes", 20 + F.col("o_orderkey") % 30)
     return export.shard_by_bytes(rows, "o_orderkey", 400, 8000)
@@ -326,6 +353,13 @@ def export_verify(spark, d):
     return export.verify(export.shard(_assigned(spark, d), "o_orderkey", 500), "o_orderkey", "seed", _WEIGHTS, 500)
 
 
+@query(f"SELECT (SELECT count(*) + count(*) FILTER (o_orderkey % 97 = 0) FROM ({_SPLITS}) WHERE o_orderkey % 101 = 0 AND split <> 'val') AS wrong_split, 0 AS wrong_order, (SELECT count(*) FROM orders WHERE o_orderkey % 97 = 0) AS repeated")
+def export_verify_spoiled(spark, d):
+    rows = _assigned(spark, d).withColumn("split", F.when(F.col("o_orderkey") % 101 == 0, "val").otherwise(F.col("split")))
+    rows = export.shard(rows, "o_orderkey", 500)
+    return export.verify(rows.union(rows.where("o_orderkey % 97 = 0")), "o_orderkey", "seed", _WEIGHTS, 500)
+
+
 # ---- reviews: documents as samples, their language as label and their source as split ----
 
 _SAMPLES = "SELECT 'd/' || CAST(doc_id AS VARCHAR) AS path, sha256(text) AS content_hash, lang AS label, source AS split, length(text) AS size FROM documents"
@@ -357,9 +391,13 @@ def match_content(spark, d):
     return review.match_contents(*_samples(spark, d))
 
 
-@query(f"""SELECT coalesce(a.path, b.path) AS path, unnest(list_filter([CASE WHEN a.path IS NULL THEN 'SAMPLE_ADDED' END, CASE WHEN b.path IS NULL THEN 'SAMPLE_REMOVED' END,
-  CASE WHEN a.path = b.path AND a.label <> b.label THEN 'LABEL_CHANGED' END, CASE WHEN a.path = b.path AND a.content_hash <> b.content_hash THEN 'CONTENT_CHANGED' END], lambda x: x IS NOT NULL)) AS code
-  FROM ({_SAMPLES}) a FULL JOIN ({_LATER}) b ON a.path = b.path""")
+_MATCHED = f"SELECT a.path AS before_path, b.path AS after_path FROM ({_SAMPLES}) a JOIN ({_LATER}) b ON a.path = b.path UNION ALL SELECT a.path, b.path FROM ({_GONE}) a JOIN ({_COME}) b ON a.content_hash = b.content_hash AND a.k = b.k"
+
+
+@query(f"""SELECT a.path AS before_path, b.path AS after_path, unnest(list_filter([CASE WHEN a.path IS NULL THEN 'SAMPLE_ADDED' END, CASE WHEN b.path IS NULL THEN 'SAMPLE_REMOVED' END,
+  CASE WHEN m.after_path IS NOT NULL AND a.split IS DISTINCT FROM b.split THEN 'SPLIT_CHANGED' END, CASE WHEN m.after_path IS NOT NULL AND a.label IS DISTINCT FROM b.label THEN 'LABEL_CHANGED' END,
+  CASE WHEN a.path <> b.path THEN 'SAMPLE_MOVED' END, CASE WHEN a.content_hash <> b.content_hash THEN 'CONTENT_CHANGED' END], lambda x: x IS NOT NULL)) AS code
+  FROM ({_SAMPLES}) a FULL JOIN ({_MATCHED}) m ON a.path = m.before_path FULL JOIN ({_LATER}) b ON m.after_path = b.path""")
 def sample_changes(spark, d):
     return review.changes(*_samples(spark, d))
 
@@ -407,7 +445,27 @@ def near_duplicate_components(spark, d):
     return review.near_components(_signs(spark, d), 17)
 
 
-@query(None)
+def _pairs_of(radius: int) -> str:
+    apart = "bit_count(xor(CAST(a.bits AS BIGINT), CAST(b.bits AS BIGINT)))"
+    return f"SELECT a.id AS a, b.id AS b, CAST({apart} AS BIGINT) AS distance FROM ({_BITS}) a JOIN ({_BITS}) b ON a.id % 2 = 0 AND b.id % 2 = 1 AND {apart} <= {radius}"
+
+
+#: Codes of six bits kept of each vector, the rest filled in from its number: many are close at the default radius.
+_CLOSE = "SELECT vec_id AS id, (vec_id % 64) * 1048576 + CASE WHEN embedding[1] > 0 THEN 1099511627776 ELSE 0 END + CASE WHEN embedding[2] > 0 THEN 1125899906842624 ELSE 0 END + CASE WHEN embedding[3] > 0 THEN 63 ELSE 0 END AS bits FROM embeddings"
+
+
+@query(f"SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.bits, b.bits)) AS BIGINT) AS distance FROM ({_CLOSE}) a JOIN ({_CLOSE}) b ON a.id < b.id AND bit_count(xor(a.bits, b.bits)) <= 6")
+def near_duplicate_pairs_default(spark, d):
+    v, e = F.col("vec_id"), F.col("embedding")
+    sign = lambda k, x: F.when(e[k] > 0, F.lit(x)).otherwise(F.lit(0)).cast("long")
+    codes = _read(spark, d, "embeddings").select(v.alias("id"), (F.shiftleft(v % 64, 20).bitwiseOR(sign(0, 1 << 40)).bitwiseOR(sign(1, 1 << 50)).bitwiseOR(sign(2, 63))).alias("bits"))
+    return review.near_pairs(codes, codes).where("a < b")
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT a, b, distance, false AS chosen FROM ({_pairs_of(19)}) UNION ALL SELECT a, b, distance, c FROM (
+  SELECT *, bool_or(c) OVER (PARTITION BY a) AS ka, bool_or(c) OVER (PARTITION BY b) AS kb FROM (
+    SELECT a, b, distance, row_number() OVER (PARTITION BY a ORDER BY distance, a, b) = 1 AND row_number() OVER (PARTITION BY b ORDER BY distance, a, b) = 1 AS c FROM r WHERE NOT chosen)) WHERE c OR NOT (ka OR kb))
+  SELECT a, b, distance FROM r WHERE chosen""")
 def match_greedy(spark, d):
     signs = _signs(spark, d)
     return review.greedy_match(review.near_pairs(signs.where("id % 2 = 0"), signs.where("id % 2 = 1"), 19))
@@ -478,6 +536,201 @@ def remediation_plan(spark, d):
     return findings.remediation(_found(spark, d))
 
 
+# ---- files written and read back, raw lines, documents ----
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/tributary/query-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def sink_jsonl_round_trip(spark, d):
+    target = _folder(spark)
+    sinks.write_jsonl(_read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderkey", target)
+    return readers.read_jsonl(spark, [target], same_keys=True).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("SELECT count(*) AS rows, CAST(sum(strlen('{\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}') + 1) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS null_ids, CAST(0 AS BIGINT) AS repeated_ids, CAST(0 AS BIGINT) AS not_finite FROM orders")
+def sink_output_facts(spark, d):
+    return sinks.output_facts(_read(spark, d, "orders").select("o_orderstatus", "o_orderkey"), "o_orderkey").select("rows", "bytes", "null_ids", "repeated_ids", "not_finite")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ', \"' || chr(10) || c_mktsegment || '\"' AS text, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'x' END AS hole FROM customer")
+def source_csv_round_trip(spark, d):
+    target = _folder(spark)
+    rows = _read(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit(', "\n'), "c_mktsegment", F.lit('"')).alias("text"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise("x").alias("hole"))
+    rows.repartition(3).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(target)
+    return readers.read_csv(spark, [target])
+
+
+_SHARDS = f"SELECT split, position // 500 AS shard, position % 500 AS line_no, o_orderkey FROM ({_RANKED})"
+
+
+def _bundle(spark, d) -> str:
+    target = _folder(spark)
+    sinks.write_bundle(export.shard(_assigned(spark, d), "o_orderkey", 500), "o_orderkey", target)
+    return target
+
+
+@query(f"SELECT split, shard, count(*) AS records, CAST(sum(strlen('{{\"o_orderkey\":' || o_orderkey || '}}') + 1) AS BIGINT) AS bytes FROM ({_SHARDS}) GROUP BY split, shard")
+def bundle_manifest(spark, d):
+    return sinks.read_manifest(spark, _bundle(spark, d)).select("split", "shard", "records", "bytes")
+
+
+@query(f"SELECT split, shard, CAST(line_no AS INTEGER) AS line_no, o_orderkey FROM ({_SHARDS})")
+def bundle_records(spark, d):
+    rows = sinks.read_shards(spark, _bundle(spark, d))
+    return rows.select("split", "shard", "line_no", F.get_json_object("value", "$.o_orderkey").cast("bigint").alias("o_orderkey"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS changed_files, CAST(0 AS BIGINT) AS wrong_split, CAST(0 AS BIGINT) AS wrong_order, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS oversize, CAST(0 AS BIGINT) AS miscounted")
+def bundle_verify(spark, d):
+    return sinks.verify_bundle(spark, _bundle(spark, d), "o_orderkey", "seed", _WEIGHTS, 500)
+
+
+@query(f"SELECT split, shard FROM (SELECT DISTINCT split, shard FROM ({_SHARDS}) WHERE split = 'train') WHERE shard % 3 = 1")
+def consumer_shards(spark, d):
+    return sinks.worker_shards(sinks.read_manifest(spark, _bundle(spark, d)), "train", 1, 3).select("split", "shard")
+
+
+#: Lines of all kinds, told by the number of an order: blank, broken, no object, no id, ids of odd types, repeated ids.
+_KINDS = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 41 = 0 THEN 'blank' WHEN o_orderkey % 37 = 0 THEN 'broken' WHEN o_orderkey % 31 = 0 THEN 'list' WHEN o_orderkey % 29 = 0 THEN 'missing' WHEN o_orderkey % 23 = 0 THEN 'null' WHEN o_orderkey % 19 = 0 THEN 'odd' WHEN o_orderkey % 17 = 0 THEN 'twice' ELSE 'good' END AS kind FROM orders"
+
+
+def _lines(spark, d):
+    k = F.col("o_orderkey")
+    name, target = k.cast("string"), _folder(spark)
+    kind = F.when(k % 41 == 0, "  ").when(k % 37 == 0, F.concat(F.lit('{"id":'), name)).when(k % 31 == 0, F.concat(F.lit("["), name, F.lit("]"))).when(k % 29 == 0, F.concat(F.lit('{"other":'), name, F.lit("}")))
+    kind = kind.when(k % 23 == 0, '{"id":null}').when(k % 19 == 0, '{"id":[1]}').when(k % 17 == 0, '{"id":"same","v":1.50}').otherwise(F.concat(F.lit('{"id":'), name, F.lit(',"v":null}')))
+    _read(spark, d, "orders").select(kind.alias("value")).write.text(target)
+    return inspect.parsed_lines(spark, [target], "id")
+
+
+@query(f"""SELECT count(*) FILTER (kind NOT IN ('blank', 'broken', 'list')) AS records, count(*) FILTER (kind = 'blank') AS blank_lines, count(*) FILTER (kind IN ('broken', 'list')) AS invalid_records, count(*) FILTER (kind = 'missing') AS missing_ids,
+  count(*) FILTER (kind = 'null') AS null_ids, count(*) FILTER (kind = 'odd') AS invalid_ids, count(*) FILTER (kind = 'twice') - 1 + count(*) FILTER (kind = 'good') - count(DISTINCT k) FILTER (kind = 'good') AS duplicate_ids FROM ({_KINDS})""")
+def inspect_health(spark, d):
+    return inspect.health(_lines(spark, d)).drop("findings")
+
+
+@query(f"""SELECT 'id' AS field, count(*) FILTER (kind IN ('null', 'odd', 'twice', 'good')) AS present, count(*) FILTER (kind = 'null') AS nulls, 'array,null,number,string' AS kinds FROM ({_KINDS})
+  UNION ALL SELECT 'v', count(*) FILTER (kind IN ('twice', 'good')), count(*) FILTER (kind = 'good'), 'null,number' FROM ({_KINDS}) UNION ALL SELECT 'other', count(*) FILTER (kind = 'missing'), 0, 'number' FROM ({_KINDS})""")
+def inspect_fields(spark, d):
+    return inspect.field_profile(_lines(spark, d))
+
+
+@query(f"""SELECT 'JSONL_INVALID_RECORD' AS code, '{{"count":' || count(*) || '}}' AS evidence FROM ({_KINDS}) WHERE kind IN ('broken', 'list') UNION ALL SELECT 'JSONL_MISSING_ID', '{{"count":' || count(*) || '}}' FROM ({_KINDS}) WHERE kind = 'missing'
+  UNION ALL SELECT 'JSONL_NULL_ID', '{{"count":' || count(*) || '}}' FROM ({_KINDS}) WHERE kind = 'null' UNION ALL SELECT 'JSONL_INVALID_ID', '{{"count":' || count(*) || '}}' FROM ({_KINDS}) WHERE kind = 'odd'
+  UNION ALL SELECT 'JSONL_DUPLICATE_ID', '{{"count":' || (count(*) FILTER (kind = 'twice') - 1 + count(*) FILTER (kind = 'good') - count(DISTINCT k) FILTER (kind = 'good')) || '}}' FROM ({_KINDS})""")
+def review_structure(spark, d):
+    return inspect.structural_findings(inspect.health(_lines(spark, d))).select("code", "evidence")
+
+
+@query("SELECT count(*) AS records, CAST(0 AS BIGINT) AS missing_ids, count(*) - count(k) AS null_ids, CAST(0 AS BIGINT) AS invalid_ids, count(k) - count(DISTINCT k) AS duplicate_ids, count(*) - count(DISTINCT k) AS findings FROM (SELECT CASE WHEN l_orderkey % 11 <> 0 THEN l_orderkey END AS k FROM lineitem)")
+def inspect_table(spark, d):
+    return inspect.tabular_health(_read(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 11 != 0, F.col("l_orderkey")).alias("k")), "k")
+
+
+@query(f"SELECT CASE change WHEN 'added' THEN 'RECORD_ADDED' WHEN 'removed' THEN 'RECORD_REMOVED' ELSE 'RECORD_MODIFIED' END AS code, 'info' AS severity, '{{\"count\":' || count(*) || '}}' AS evidence FROM ({_DIFF}) WHERE change <> 'unchanged' GROUP BY change UNION ALL SELECT 'JSONL_POLICY_RANGE', 'error', '{{\"field\":\"o_totalprice\",\"rule\":\"RANGE\",\"total_violations\":' || count(*) || ',\"gated_violations\":' || count(*) FILTER (CAST(o_orderkey AS VARCHAR) IN (SELECT rid FROM ({_DIFF}) WHERE change IN ('added', 'modified'))) || ',\"samples_truncated\":' || (count(*) FILTER (CAST(o_orderkey AS VARCHAR) IN (SELECT rid FROM ({_DIFF}) WHERE change IN ('added', 'modified'))) > 20) || '}}' FROM ({_AFTER}) WHERE o_totalprice > 100000")
+def review_records(spark, d):
+    before, after = _versions(spark, d)
+    return inspect.review_records(before, after, "o_orderkey", {"o_totalprice": {"type": "number", "max": 100000}}, "changed_only").select("code", "severity", "evidence")
+
+
+@query(f"SELECT count(*) FILTER (o_orderkey % 2 = 0) AS unchanged, count(*) FILTER (o_orderkey % 2 <> 0) AS moved FROM orders")
+def record_diff_moved(spark, d):
+    rows = _read(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderkey").alias("line"))
+    later = rows.withColumn("line", F.when(F.col("o_orderkey") % 2 == 0, F.col("line")).otherwise(F.col("line") + 1))
+    return records.diff_checked(rows, later, "o_orderkey", "line").agg(F.count_if(F.col("change") == "unchanged").alias("unchanged"), F.count_if(F.col("change") == "moved").alias("moved"))
+
+
+@query(f"""SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'modified') AS replaced, count(*) FILTER (change = 'renamed') AS moved FROM ({ORACLE['manifest_changes']})""")
+def changeset_summary(spark, d):
+    keep = ("path", "size", "content_hash")
+    a, b = _samples(spark, d)
+    return review.file_changes(a.select(*keep), b.select(*keep))
+
+
+_IMAGES = "SELECT lang AS label, source AS split, CASE WHEN doc_id % 7 <> 0 THEN doc_id * 13 % 2000 END AS width, CASE WHEN doc_id % 11 <> 0 THEN doc_id * 7 % 1900 END AS height, CASE WHEN doc_id % 3 = 0 THEN 'png' END AS media_format, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 3 END AS channels FROM documents"
+_BUCKET = "CASE WHEN {c} IS NULL THEN 'unknown' WHEN {c} < 256 THEN '<256' WHEN {c} < 512 THEN '256-511' WHEN {c} < 1024 THEN '512-1023' ELSE '>=1024' END"
+_DIMENSIONS = f"SELECT unnest(['split', 'label', 'width', 'height', 'aspect_ratio', 'format', 'channels']) AS dimension, unnest([split, label, {_BUCKET.format(c='width')}, {_BUCKET.format(c='height')}, CASE WHEN width IS NULL OR height IS NULL OR height = 0 THEN 'unknown' WHEN width / height < 0.8 THEN 'portrait' WHEN width / height <= 1.25 THEN 'square' ELSE 'landscape' END, coalesce(media_format, 'unknown'), CAST(channels AS VARCHAR)]) AS key FROM ({_IMAGES})"
+
+
+@query(f"SELECT dimension, coalesce(key, 'unknown') AS key, count(*) AS n FROM ({_DIMENSIONS}) GROUP BY 1, 2")
+def distribution_buckets(spark, d):
+    k = F.col("doc_id")
+    images = _read(spark, d, "documents").select(
+        F.col("lang").alias("label"), F.col("source").alias("split"), F.when(k % 7 != 0, k * 13 % 2000).alias("width"), F.when(k % 11 != 0, k * 7 % 1900).alias("height"),
+        F.when(k % 3 == 0, "png").alias("media_format"), F.when(k % 5 == 0, 1).otherwise(3).alias("channels"),
+    )
+    return review.distribution(review.in_buckets(images), review.DIMENSIONS).select("dimension", "key", "n")
+
+
+_FILES = "SELECT CASE WHEN doc_id % 5 = 0 THEN 'train/cat/' WHEN doc_id % 5 = 1 THEN 'val/a b/' WHEN doc_id % 5 = 2 THEN 'other/cat/' WHEN doc_id % 5 = 3 THEN 'test/' ELSE 'test/dog/deep/' END || CAST(doc_id AS VARCHAR) || CASE doc_id % 3 WHEN 0 THEN '.JPG' WHEN 1 THEN '.png' ELSE '.jsonl' END AS path, n_chars * 20000 AS size, doc_id FROM documents"
+
+
+def _files(spark, d):
+    k = F.col("doc_id")
+    folder = F.when(k % 5 == 0, "train/cat/").when(k % 5 == 1, "val/a b/").when(k % 5 == 2, "other/cat/").when(k % 5 == 3, "test/").otherwise("test/dog/deep/")
+    suffix = F.when(k % 3 == 0, ".JPG").when(k % 3 == 1, ".png").otherwise(".jsonl")
+    return _read(spark, d, "documents").select(F.concat(folder, k.cast("string"), suffix).alias("path"), (F.col("n_chars") * 20000).alias("size"), F.sha2(k.cast("string"), 256).alias("content_hash"))
+
+
+@query(f"""SELECT path, CASE WHEN ok THEN split_part(path, '/', 1) END AS split, CASE WHEN ok THEN split_part(path, '/', 2) END AS label, CASE WHEN ok THEN regexp_replace(path, '^[^/]+/', '') END AS logical_path,
+  CASE WHEN NOT ok THEN 'INVALID_LAYOUT' WHEN size > 33554432 THEN 'IMAGE_DECODE_SKIPPED' END AS code FROM (SELECT *, doc_id % 5 NOT IN (2, 3) AND doc_id % 3 <> 2 AS ok FROM ({_FILES}))""")
+def image_layout(spark, d):
+    return media.layout(_files(spark, d)).select("path", "split", "label", "logical_path", "code")
+
+
+@query(f"SELECT sha256(CAST(doc_id AS VARCHAR)) AS content_hash FROM ({_FILES}) WHERE doc_id % 5 NOT IN (2, 3) AND doc_id % 3 <> 2 AND size <= 33554432 AND doc_id % 2 = 1")
+def media_uncached(spark, d):
+    cache = _read(spark, d, "documents").where("doc_id % 2 = 0").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("content_hash"))
+    return media.uncached(media.layout(_files(spark, d)), cache)
+
+
+@query(f"SELECT path FROM ({_FILES}) WHERE (doc_id % 5 IN (0, 1) AND doc_id % 3 <> 2) OR (doc_id % 5 = 4 AND doc_id % 3 = 0) OR (doc_id % 5 = 3 AND doc_id % 3 = 1)")
+def import_selection(spark, d):
+    return imports.select_files(_files(spark, d), ("*/*/*.JPG", "[tv]*/**/*.png", "t*/d?g/**"), ("test/dog/**/*.png", "**/*.jsonl", "other/**")).select("path")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice >= 50000")
+def view_document(spark, d):
+    from tributary.plans.documents import parse_view
+
+    view = parse_view('{"schema_version": 1, "predicates": [{"field": "o_orderstatus", "op": "in", "value": ["F", "O"]}, {"field": "o_totalprice", "op": "gte", "value": 50000}, {"field": "o_custkey", "op": "exists"}]}')
+    return views.subset(_read(spark, d, "orders"), view["clauses"]).select("o_orderkey")
+
+
+@query("SELECT 'value' AS field, 'RANGE' AS code, count(*) AS total FROM events WHERE value < 0.5 OR value > 100 HAVING count(*) > 0 UNION ALL SELECT 'event_type', 'ENUM', count(*) FROM events WHERE event_type NOT IN ('click', 'view')")
+def policy_document(spark, d):
+    from tributary.plans.documents import parse_policy
+
+    doc = parse_policy('{"schema_version": 1, "adapter": "jsonl", "mode": "full", "fields": {"value": {"types": ["number"], "minimum": 0.5, "maximum": 100}, "event_type": {"types": ["string"], "enum": ["click", "view"]}}}')
+    return policy.evaluate(_read(spark, d, "events"), "event_id", doc["rules"]).select("field", "code", "total")
+
+
+@query("SELECT user_id, upper(event_type) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) k FROM events WHERE value > 1) WHERE k = 1")
+def recipe_document(spark, d):
+    from tributary.plans.documents import parse_recipe
+
+    doc = parse_recipe('{"kind": "prepare", "schema_version": 1, "source": {"format": "parquet"}, "output": {"format": "jsonl"}, "id_field": "user_id", "steps": [{"op": "filter", "field": "value", "predicate": "gt", "value": 1}, {"op": "dedupe", "by": ["user_id"], "keep": "first"}, {"op": "case", "fields": ["event_type"], "mode": "upper"}, {"op": "rename", "from": "event_type", "to": "kind"}, {"op": "select", "fields": ["user_id", "kind"]}]}')
+    return recipe.apply_recipe(_read(spark, d, "events"), doc["steps"], ["event_id"], id_field=doc["id_field"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE CAST(o_orderkey AS HUGEINT) + 9007199254740992 > 9007199254741093")
+def recipe_exact_numbers(spark, d):
+    """Texts of numbers beyond 2^53, where doubles no longer tell neighbours apart."""
+    rows = _read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") + 9007199254740992).cast("string").alias("n"))
+    return recipe.apply_recipe(rows, [{"op": "filter", "field": "n", "predicate": "gt", "value": 9007199254741093}, {"op": "select", "fields": ["o_orderkey"]}], ["o_orderkey"])
+
+
+@query("SELECT user_id AS id, count(*) AS n FROM events GROUP BY user_id")
+def pipeline_document(spark, d):
+    from tributary.plans.documents import parse_pipeline
+
+    spec = parse_pipeline("schema_version: 1\npipeline: {name: users}\ntarget: {dataset: users, state: state, mode: create}\ninputs: [{alias: events, path: events.parquet, format: parquet}]\ntransform: {sql: 'SELECT user_id AS id, COUNT(*) AS n FROM events GROUP BY user_id ORDER BY id', id_field: id}\nexport: {split: [train=8, val=1, test=1]}\ndelivery: {output: out}\n")
+    return transform(spark, spec["transform"]["sql"], {x["alias"]: readers.read_parquet(spark, [f"{d}/{x['path']}"]) for x in spec["inputs"]}, spec["transform"]["id_field"])
+
+
 def queries() -> dict:
     return {name: _sql(name) for name in SQL} | QUERIES
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.sources import sinks
+
 
 class ControlError(RuntimeError):
     def __init__(self, code: str, message: str):
@@ -30,17 +34,37 @@ def table_id(df: DataFrame) -> dict:
     return {"columns": names, "rows": row["n"], "sum": row["s"], "xor": row["x"]}
 
 
-def _write_new(path: Path, body: dict) -> None:
-    """Publish a record once; the same record again is fine, another one is not."""
-    text = json.dumps(body, sort_keys=True, indent=1)
-    if path.exists():
-        if path.read_text() != text:
-            raise ControlError("EXISTS", str(path))
-        return
+def publish_text(path: str | Path, text: str) -> None:
+    """Publish a record once, whole or not at all: the same text again is fine, another one is not."""
+    path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
-    part = path.with_suffix(".part")
+    part = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
     part.write_text(text)
-    os.replace(part, path)
+    try:
+        os.link(part, path)  # fails where path exists, whoever was first
+    except FileExistsError:
+        if path.read_text() != text:
+            raise ControlError("EXISTS", str(path)) from None
+    finally:
+        part.unlink()
+
+
+def _write_new(path: Path, body: dict) -> None:
+    publish_text(path, json.dumps(body, sort_keys=True, indent=1))
+
+
+@contextmanager
+def locked(root: Path):
+    """One writer at a time below root: a lock file that only one can create."""
+    path = root / "LOCK"
+    try:
+        os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+    except FileExistsError:
+        raise ControlError("LOCKED", str(path)) from None
+    try:
+        yield
+    finally:
+        path.unlink()
 
 
 def plan(df: DataFrame, spec: dict, path: str) -> dict:
@@ -60,11 +84,23 @@ def apply(df: DataFrame, path: str, accept: str, output: str) -> dict:
         raise ControlError("RESULT_CHANGED", "the inputs are not those of the plan")
     receipt = {"plan_id": accept, "output": output, "result": body["result"]}
     receipt["receipt_id"] = artifact_id("receipt", receipt)
-    df.write.mode("errorifexists" if not Path(f"{path}.receipt").exists() else "ignore").parquet(output)
+    spark = df.sparkSession
+    if not sinks.exists(spark, output):
+        sinks.publish(spark, lambda part: df.write.parquet(part), output)
+    elif table_id(spark.read.parquet(output)) != body["result"]:
+        raise ControlError("OUTPUT_EXISTS", output)
     _write_new(Path(f"{path}.receipt"), receipt)
     return receipt
 
 
+def receipt(path: str) -> dict:
+    """The receipt of an applied plan."""
+    found = Path(f"{path}.receipt")
+    if not found.exists():
+        raise ControlError("NOT_APPLIED", path)
+    return json.loads(found.read_text())
+
+
 class Revisions:
     """Parent-linked immutable revisions; HEAD moves only from the revision that the writer saw."""
 
@@ -77,16 +113,30 @@ class Revisions:
         return path.read_text() or None if path.exists() else None
 
     def commit(self, content: dict, message: str, expected: str | None) -> str:
-        if self.head() != expected:
-            raise ControlError("HEAD_MOVED", f"{self.head()} is not {expected}")
         body = {"parent": expected, "content": content, "message": message}
         rev = artifact_id("rev", body)
-        _write_new(self.root / f"{rev}.json", body)
-        part = self.root / "HEAD.part"
-        part.write_text(rev)
-        os.replace(part, self.root / "HEAD")
+        with locked(self.root):  # comparing and moving HEAD are one step
+            if self.head() != expected:
+                raise ControlError("HEAD_MOVED", f"{self.head()} is not {expected}")
+            _write_new(self.root / f"{rev}.json", body)
+            part = self.root / "HEAD.part"
+            part.write_text(rev)
+            os.replace(part, self.root / "HEAD")
         return rev
 
+    def show(self, revision: str) -> dict:
+        path = self.root / f"{revision}.json"
+        if not path.exists():
+            raise ControlError("NO_REVISION", revision)
+        return json.loads(path.read_text())
+
+    def reachable(self) -> list[str]:
+        out, at = [], self.head()
+        while at:
+            out.append(at)
+            at = self.show(at)["parent"]
+        return out
+
     def log(self, offset: int = 0, limit: int = 50) -> list[dict]:
         out, at = [], self.head()
         while at and len(out) < offset + limit:
@@ -101,6 +151,6 @@ def lineage(paths: list[str]) -> list[dict]:
     out = []
     for p in paths:
         body = json.loads(Path(p).read_text())
-        receipt = Path(f"{p}.receipt")
-        out.append({"plan_id": body["plan_id"], "receipt_id": json.loads(receipt.read_text())["receipt_id"] if receipt.exists() else None})
+        done = Path(f"{p}.receipt")
+        out.append({"plan_id": body["plan_id"], "receipt_id": json.loads(done.read_text())["receipt_id"] if done.exists() else None})
     return out
