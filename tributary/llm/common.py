@@ -6,20 +6,15 @@ import ctypes
 import gc
 from contextlib import contextmanager
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.operators.graph import components, discard, materialize, pair_units
+from tributary.operators.graph import FEW, components, discard, materialize, merge_labels, pair_units
 from tributary.session import shared_dir
 
 __all__ = ["FEW", "components", "discard", "materialize", "merge_labels", "pair_units", "quiet", "shared_dir", "without"]
 
-#: A table of keys of up to this many counted rows is broadcast to those it is held against; a larger one is joined by shuffle.
-FEW = 100_000
-
-
 def without(df: DataFrame, gone: DataFrame, keys: list[Column], tag: str) -> DataFrame:
     """Rows of df whose keys are not a row of gone (its columns in the order of keys; nulls are equal)."""
     gone = materialize(gone.toDF(*(f"_gone{k}" for k in range(len(keys)))).distinct(), tag)
@@ -29,20 +24,6 @@ def without(df: DataFrame, gone: DataFrame, keys: list[Column], tag: str) -> Dat
     return df.join(F.broadcast(gone) if gone.count() <= FEW else gone, match, "left_anti")
 
 
-def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Union the pairs (a, b) into labels, in place; labels[i] is the smallest index reachable so far."""
-    while len(a):
-        ra, rb = labels[a], labels[b]
-        differ = ra != rb
-        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
-        np.minimum.at(labels, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:
-            jumped = labels[labels]
-            if np.array_equal(jumped, labels):
-                break
-            labels[:] = jumped
-
-
 @contextmanager
 def quiet(collect: bool = True):
     """The body of a task in a reused worker: free memory goes back to the system at its end.
