@@ -19,6 +19,30 @@ def beside(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= FEW else small
 
 
+#: Rows of one key above which a join does not shuffle them.
+HOT = 1_000_000
+
+
+def keyed(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", few: int = FEW, hot: int = HOT) -> DataFrame:
+    """rows beside table, which has one row a key and _n, the rows of rows that bear it; how: inner or left.
+
+    A table of few counted rows is broadcast. Else only keys of over hot rows
+    are, of which there are few however many rows there be, and all others meet
+    by shuffle, so no task gets a hot key's rows; null keys stay where they are.
+    """
+    facts = table.drop("_n")
+    if table.count() <= few:
+        return rows.join(F.broadcast(facts), key, how)
+    heavy = table.where(F.col("_n") > hot).drop("_n")
+    known = rows.where(F.col(key).isNotNull())
+    if heavy.isEmpty():
+        out = known.join(facts, key, how)
+    else:
+        rest = known.join(F.broadcast(heavy.select(key)), key, "left_anti")
+        out = known.join(F.broadcast(heavy), key).unionByName(rest.join(table.where(F.col("_n") <= hot).drop("_n"), key, how))
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+
+
 def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, a lost executor costs one task."""
     spark = df.sparkSession

@@ -61,6 +61,9 @@ SQL = {
     "scalar_trim": ("customer", "SELECT c_custkey AS id, TRIM('  ' || c_name || ' ') AS t, LTRIM(c_name, 'Cus') AS l, RTRIM(c_name, '0123') AS r, TRIM(c_mktsegment, 'AEB') AS b FROM customer ORDER BY id"),
     "scalar_match": ("part", "SELECT p_partkey AS id, CONTAINS(p_name, 'a') AS c, STARTS_WITH(p_type, 'S') AS s, ENDS_WITH(p_type, 'L') AS e FROM part ORDER BY id"),
     "scalar_concat": ("customer", "SELECT c_custkey AS id, CONCAT('a', NULL, c_mktsegment) AS c, CONCAT_WS('-', c_name, NULL, c_mktsegment) AS w, c_name || '!' AS p FROM customer ORDER BY id"),
+    "scalar_double_text": ("orders", "SELECT o_orderkey AS id, CAST(o_totalprice AS VARCHAR) AS plain, CAST(o_custkey * 1e17 AS VARCHAR) AS large, CAST(o_custkey / 100000000 AS VARCHAR) AS small, CAST(CAST(o_custkey AS DOUBLE) * 100000 AS TEXT) AS longer, CAST(o_custkey AS VARCHAR) AS whole, CAST(CAST(o_custkey AS DOUBLE) / 10000000 AS VARCHAR) AS near FROM orders ORDER BY id"),
+    "sql_unsigned": ("orders", "SELECT o_orderkey AS id, CAST(o_custkey AS UINTEGER) AS u, TRY_CAST(o_custkey - 100 AS UTINYINT) AS b, TRY_CAST(o_totalprice AS USMALLINT) AS s FROM orders ORDER BY id"),
+    "sql_distinct_on_text": ("orders", "SELECT DISTINCT ON (o_custkey) o_custkey, o_totalprice, o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_custkey, o_totalprice DESC, id"),
     "scalar_nulls": ("orders", "SELECT o_orderkey AS id, COALESCE(NULLIF(o_orderstatus, 'F'), 'was F') AS s, IFNULL(NULLIF(o_custkey, 1), -1) AS k FROM orders ORDER BY id"),
     "scalar_extremes": ("orders", "SELECT o_orderkey AS id, GREATEST(o_totalprice, 150000, NULL) AS g, LEAST(o_custkey, 40) AS l FROM orders ORDER BY id"),
 }
@@ -229,6 +232,12 @@ def id_health(spark, d):
     return records.id_health(_read(spark, d, "lineitem").select(F.when(k % 11 == 0, None).when(k % 13 == 0, " ").otherwise(k.cast("string")).alias("k")), "k")
 
 
+@query("SELECT o_orderkey, row_number() OVER () - 1 AS row FROM orders")
+def source_row_numbers(spark, d):
+    """Numbers of rows in their file, from which generated ids are made."""
+    return readers.with_ordinals(_read(spark, d, "orders").select("o_orderkey")).select("o_orderkey", F.col("_row").alias("row"))
+
+
 @query(_DIFF)
 def record_diff_rows(spark, d):
     return records.diff(*_versions(spark, d), "o_orderkey")
@@ -288,6 +297,13 @@ def policy_changed_only(spark, d):
     return _rolled(policy.evaluate(events, "event_id", _RULES, changed))
 
 
+@query(f"SELECT 'JSONL_POLICY_' || code AS code, rid, CAST(rid AS BIGINT) * 2 AS line FROM (SELECT code, unnest(list_slice(list_sort(list(DISTINCT rid)), 1, 20)) AS rid FROM ({_BROKEN}) GROUP BY field, code)")
+def locate(spark, d):
+    events = _read(spark, d, "events")
+    found = inspect.quality_findings(policy.evaluate(events, "event_id", _RULES)).withColumn("finding_id", F.col("code"))
+    return records.locate(found, records.index(events.withColumn("line", F.col("event_id") * 2), "event_id", "line")).select(F.col("finding_id").alias("code"), "rid", "line")
+
+
 # ---- views and exports ----
 
 
