@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.operators.graph import FEW, components, discard, materialize, merge_labels, pair_units
+from tributary.operators.graph import FEW, components, discard, keyed, materialize, merge_labels, pair_units
 from tributary.session import shared_dir
 
-__all__ = ["FEW", "components", "discard", "materialize", "merge_labels", "pair_units", "quiet", "shared_dir", "without"]
+__all__ = ["FEW", "components", "discard", "keyed", "materialize", "merge_labels", "pair_units", "quiet", "shared_dir", "without"]
 
 def without(df: DataFrame, gone: DataFrame, keys: list[Column], tag: str) -> DataFrame:
     """Rows of df whose keys are not a row of gone (its columns in the order of keys; nulls are equal)."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import materialize, quiet
+from tributary.llm.common import keyed, materialize, quiet
 
 #: Labelled rows that the text model is fitted on at most, and buckets of its trigram table.
 SAMPLE, BUCKETS = 4000, 1 << 15
@@ -165,12 +165,8 @@ def _claims(counts: DataFrame, k: int, key: str, name: str) -> DataFrame:
     by = materialize(by.select(key, *(F.col(str(i)).cast("double").alias(f"n{i}") for i in range(k))), "claims")
     whole = by.agg(F.count(F.lit(1)).alias("keys"), *(F.coalesce(F.sum(f"n{i}"), F.lit(0.0)).alias(f"n{i}") for i in range(k))).first()
     logs = (F.log((F.col(f"n{i}") + 0.5) / F.lit(whole[f"n{i}"] + 0.5 * (whole["keys"] + 1))) for i in range(k))
-    return materialize(by.select(key, F.array(*logs).alias(name)), "claims")
-
-
-def _beside(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Left join a table of one row a key: broadcast where its counted rows are few, else by shuffle."""
-    return rows.join(F.broadcast(table) if table.count() <= BROADCAST else table, key, "left")
+    n = sum((F.col(f"n{i}") for i in range(1, k)), F.col("n0")).cast("long")
+    return materialize(by.select(key, F.array(*logs).alias(name), n.alias("_n")), "claims")
 
 
 def identify(docs: DataFrame, model: TextModel, text_col: str = "text", host_col: str | None = None, declared_col: str | None = None, address_col: str | None = None, strength: float = STRENGTH, scored: bool = False) -> DataFrame:
@@ -200,17 +196,17 @@ def identify(docs: DataFrame, model: TextModel, text_col: str = "text", host_col
     by = counts.where("_host is not null").groupBy("_host").pivot("_best", list(range(k))).agg(F.sum("n")).na.fill(0)
     by = by.select("_host", domain(F.col("_host")).alias("_domain"), F.array(*(F.col(str(i)).cast("double") for i in range(k))).alias("_seen"))
     up = by.groupBy("_domain").agg(F.array(*(F.sum(F.col("_seen")[i]) for i in range(k))).alias("_above"))
-    priors = materialize(by.join(up, "_domain").select("_host", "_seen", "_above"), "priors")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    priors = materialize(by.join(up, "_domain").select("_host", "_seen", "_above", total(F.col("_seen")).cast("long").alias("_n")), "priors")
     below = lambda n, over: F.zip_with(n, over, lambda c, p: (c + strength * p) / (total(n) + strength))
     others = lambda a: F.zip_with(a, F.col("_own"), lambda n, o: n - o)
     ground = F.array(*map(F.lit, root))
     prior = F.transform(below(others(F.col("_seen")), below(others(F.col("_above")), ground)), lambda x: F.log(x))
     rows = alone.withColumn("_own", _votes(k))  # its own vote is no evidence beside its text
-    joined = _beside(rows, priors, "_host")
+    joined = keyed(rows, priors, "_host", "left", BROADCAST)
     for column, given_by in (("_declared", declared_col), ("_address", address_col)):
         if given_by:
-            joined = _beside(joined, _claims(counts, k, column, f"{column}_log"), column)
+            joined = keyed(joined, _claims(counts, k, column, f"{column}_log"), column, "left", BROADCAST)
         else:
             joined = joined.withColumn(f"{column}_log", flat)
     fused = _fused(model.languages, F.col("_text"), F.coalesce("_declared_log", flat), F.coalesce("_address_log", flat), F.coalesce(prior, F.array(*(F.lit(math.log(p)) for p in root))))

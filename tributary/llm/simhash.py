@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import components, materialize, merge_labels, pair_units
+from tributary.llm.common import components, keyed, materialize, merge_labels, pair_units
 
 SEED = 42
 SHINGLE = 3
@@ -185,10 +185,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an empty table gives an empty result. Other columns are not read.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("node")), "classes")
-    labels = components(fingerprint_links(classes.where("node is not null"), radius))
-    known = materialize(classes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "known")
-    return fps.join(known, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("_n")), "classes")
+    labels = components(fingerprint_links(classes.where("node is not null").drop("_n"), radius))
+    known = materialize(classes.join(labels, "node", "left").select("fp", "_n", F.coalesce("component", "node").alias("component_id")), "known")
+    return keyed(fps, known, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def as_hex(fp: Column) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import components, materialize, merge_labels, pair_units
+from tributary.llm.common import components, keyed, materialize, merge_labels, pair_units
 
 #: Least cosine of a link; trees; directions of a tree; vectors of a leaf aimed at.
 COSINE, TREES, POOL, LEAF = 0.95, 8, 64, 1024
@@ -212,8 +212,8 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     labels = components(found.where("b is not null"))
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     known = classes.join(counts, "node", "left").join(labels, "node", "left")
-    known = materialize(known.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "known")
-    hit = rows.where(fits).join(known, "v").select("id", "n_links", "component_id")
+    known = materialize(known.select("v", F.col("n").alias("_n"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "known")
+    hit = keyed(rows.where(fits), known, "v", few=0).select("id", "n_links", "component_id")
     rest = rows.where(~fits).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return hit.union(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
