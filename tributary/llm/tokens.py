@@ -84,7 +84,10 @@ class ChunkEncoder:
         self.tokenizer, self.model, self.borders, self.room = tokenizer, tokenizer.model, borders, room
         added = tokenizer.get_added_tokens_decoder().values()
         self.specials = [a.content for a in added]
+        self.probe = re.match("[^A-Za-z]*", os.path.commonprefix(self.specials))[0]  # no case changes it
         self.unsure = any(a.normalized for a in added)  # such a token may stand for strings that look otherwise
+        if borders.blank:
+            self.specials = [s.lower() for s in self.specials]
         self.held = [0, 0]  # bytes in first, rest
         self.first: dict[str, bytes | bool] = {}  # chunks with nothing before them
         self.rest: dict[str, bytes | bool] = {}  # chunks with glue before them
@@ -185,7 +188,11 @@ class ChunkEncoder:
         return _Over(cache, long) if long else cache
 
     def _marked(self, text: str) -> bool:
-        return self.unsure or any(s in text for s in self.specials)
+        """May the text hold a special string, or something that lower-casing makes one?"""
+        if self.unsure or not self.specials or self.probe not in text:
+            return self.unsure
+        text = text.lower() if self.borders.blank else text
+        return any(s in text for s in self.specials)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         marked = [k for k, t in enumerate(texts) if self._marked(t)]
