@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.operators import export, findings, inspect, policy, records, review
-from tributary.plans import control, documents, pipeline, run, schemas, sqlpolicy
+from tributary.plans import control, documents, pipeline, prepare, run, schemas, sqlpolicy
 from tributary.plans.consumption import Consumption, plan_consumption
 from tributary.plans.workspace import Workspace
 from tributary.sources import imports, media, readers, sinks
@@ -185,6 +185,25 @@ def test_runs_and_pipelines(spark, tmp_path):
         pipeline.Application(spark, path, "pipeline_other")
 
 
+def test_prepare_and_transform_plans(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("k,v\n1,x\n2,\n")
+    (tmp_path / "in" / "b.csv").write_text("k,v\n1,y\n3,z\n")
+    text = json.dumps({"kind": "prepare", "schema_version": 1, "source": {"format": "csv"}, "output": {"format": "jsonl"}, "id_field": "k", "generated_source_id": "row", "steps": [{"op": "dedupe", "by": ["k"], "keep": "first"}, {"op": "drop_missing", "fields": ["v"]}, {"op": "select", "fields": ["k", "v"]}]})
+    plan = prepare.plan_prepare(spark, text, str(tmp_path / "in"), str(tmp_path / "p.json"))
+    assert plan["spec"]["counters"] == {"source_rows": 4, "output_rows": 2, "filtered_rows": 1, "duplicate_rows": 1}
+    receipt = prepare.apply(spark, str(tmp_path / "p.json"), plan["plan_id"], str(tmp_path / "out"))
+    assert receipt["rows"] == 2 and prepare.apply(spark, str(tmp_path / "p.json"), plan["plan_id"], str(tmp_path / "out")) == receipt
+    assert rows(spark.read.json(str(tmp_path / "out"))) == [("1", "x"), ("3", "z")]
+    second = prepare.plan_transform(spark, "SELECT k AS id, COUNT(*) AS n FROM a GROUP BY k ORDER BY id", {"a": str(tmp_path / "in")}, "id", str(tmp_path / "t.json"))
+    (tmp_path / "in" / "b.csv").write_text("k,v\n1,y\n4,z\n")
+    for path, plan_id, code in (("p.json", plan["plan_id"], "RESULT_CHANGED"), ("t.json", second["plan_id"], "RESULT_CHANGED"), ("t.json", "plan_x", "PLAN_NOT_ACCEPTED")):
+        with pytest.raises(control.ControlError) as e:
+            prepare.apply(spark, str(tmp_path / path), plan_id, str(tmp_path / "other"))
+        assert e.value.code == code
+    assert prepare.info(str(tmp_path / "t.json"))["receipt"] is None
+
+
 def test_imports(spark, tmp_path):
     root = tmp_path / "hub"
     (root / "data" / "deep").mkdir(parents=True)
@@ -340,6 +359,8 @@ def test_command_line(capsys, spark, tmp_path):
     capsys.readouterr()
     assert main(["status", str(tmp_path / "nowhere")]) == 1 and json.loads(capsys.readouterr().out)["error"]["code"] == "NO_WORKSPACE"
     assert main(["capabilities"]) == 0 and "record-diff" in json.loads(capsys.readouterr().out)["commands"]
+    assert main(["repository-check", str(tmp_path)]) == 0 and json.loads(capsys.readouterr().out)["state"] == "missing"
+    assert main(["repository-install", str(tmp_path)]) == 0 and main(["repository-check", str(tmp_path)]) == 0 and '"current"' in capsys.readouterr().out
     assert set(schemas.artifact_schemas()) >= {"prepare-recipe", "quality-policy", "subset-view", "pipeline-config"}
     with pytest.raises(ValueError):
         records.diff_checked(spark.range(2).union(spark.range(1)), spark.range(2), "id")

@@ -80,19 +80,45 @@ def snapshot_diff(a) -> dict:
     return {"change_id": artifact_id("change", table_id(found)), "summary": review.file_changes(before, after).first().asDict(), "changes": _rows(found.where("change <> 'unchanged'").orderBy("path"))}
 
 
-@command("recipe", "source", "output")
-def prepare(a) -> dict:
-    from tributary.operators import recipe
-    from tributary.plans.documents import parse_recipe
-    from tributary.sources import readers, sinks
+@command("recipe", "source", "plan")
+def prepare_plan(a) -> dict:
+    from tributary.plans import prepare
 
-    spark, doc = _spark(), parse_recipe(Path(a.recipe).read_text())
-    s = doc["source"]
-    rows = readers.with_ordinals(readers.read_files(spark, a.source, s["format"], tuple(s.get("include", ())), tuple(s.get("ignore", ())), s.get("delimiter", ",")), a.source)
-    if doc["generated_source_id"]:
-        rows = readers.with_row_id(rows, doc["generated_source_id"])
-    out = recipe.apply_recipe(rows, doc["steps"], ["_path", "_row"]).drop("_path", "_row")
-    return {"counters": recipe.counters(rows, doc["steps"], ["_path", "_row"]).first().asDict(), "output": sinks.write_jsonl(out, doc["id_field"], a.output)}
+    return prepare.plan_prepare(_spark(), Path(a.recipe).read_text(), a.source, a.plan)
+
+
+@command("sql", "id_field", "plan", input=None)
+def transform_plan(a) -> dict:
+    from tributary.plans import prepare
+
+    return prepare.plan_transform(_spark(), a.sql, _inputs(a), a.id_field, a.plan)
+
+
+def _inputs(a) -> dict[str, str]:
+    return dict(x.split("=", 1) for x in (a.input or "").split(",") if x)
+
+
+def _apply(a) -> dict:
+    from tributary.plans import prepare
+
+    return prepare.apply(_spark(), a.plan, a.plan_id, a.output)
+
+
+@command("plan", "plan_id", "output")
+def prepare_apply(a) -> dict:
+    return _apply(a)
+
+
+@command("plan", "plan_id", "output")
+def transform_apply(a) -> dict:
+    return _apply(a)
+
+
+@command("plan")
+def transform_info(a) -> dict:
+    from tributary.plans import prepare
+
+    return prepare.info(a.plan)
 
 
 @command("sql", "id_field", "output", input=None)
@@ -101,8 +127,7 @@ def transform(a) -> dict:
     from tributary.sources import sinks
 
     spark = _spark()
-    inputs = dict(x.split("=", 1) for x in (a.input or "").split(",") if x)
-    out = run(spark, a.sql, {k: _table(spark, v) for k, v in inputs.items()}, a.id_field)
+    out = run(spark, a.sql, {k: _table(spark, v) for k, v in _inputs(a).items()}, a.id_field)
     return sinks.write_jsonl(out, a.id_field, a.output)
 
 
@@ -304,6 +329,30 @@ def capabilities(a) -> dict:
     return c()
 
 
+@command()
+def agent_skill(a) -> dict:
+    from tributary.plans.schemas import guide
+
+    return {"text": guide()}
+
+
+@command("root")
+def repository_install(a) -> dict:
+    from tributary.plans.control import publish_text
+    from tributary.plans.schemas import GUIDE, guide
+
+    publish_text(Path(a.root) / GUIDE, guide())
+    return {"installed": GUIDE}
+
+
+@command("root")
+def repository_check(a) -> dict:
+    from tributary.plans.schemas import GUIDE, guide
+
+    path = Path(a.root) / GUIDE
+    return {"state": "missing" if not path.exists() else "current" if path.read_text() == guide() else "outdated"}
+
+
 @command("name")
 def artifact_schema(a) -> dict:
     from tributary.plans.schemas import artifact_schemas

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tributary.functions.scalars import json_kind, number_key  # noqa: F401
 from tributary.operators import policy, records
 from tributary.sources.readers import with_ordinals
 
@@ -26,24 +27,6 @@ CHANGES = (
 )
 
 
-def json_kind(shape: Column) -> Column:
-    """null, boolean, number, string, array or object, of what schema_of_variant says."""
-    return (
-        F.when(shape == "VOID", "null").when(shape == "BOOLEAN", "boolean").when(shape == "STRING", "string").when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").otherwise("number")
-    )
-
-
-def number_key(text: Column) -> Column:
-    """Equal for numbers of one value however they are spelled, at any size: digits without outer zeros, and the power of ten."""
-    unsigned = F.regexp_replace(text, "^-", "")
-    mantissa, power = F.regexp_extract(unsigned, "^([0-9.]+)", 1), F.regexp_extract(unsigned, "[eE]([+-]?[0-9]+)$", 1)
-    fraction = F.length(F.regexp_extract(mantissa, r"\.([0-9]*)$", 1))
-    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "^0+", "")
-    short = F.regexp_replace(digits, "0+$", "")
-    exponent = F.when(power == "", F.lit(0)).otherwise(power.try_cast("bigint")) + F.length(digits) - F.length(short) - fraction
-    return F.when(short == "", "0e0").otherwise(F.concat(F.when(text.startswith("-"), "-").otherwise(""), short, F.lit("e"), exponent.cast("string")))
-
-
 def parsed_lines(spark: SparkSession, paths: list[str], id_field: str, root: str | None = None) -> DataFrame:
     """One row a physical line: path, line (from 1), text, value (variant), state, key.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.functions.scalars import UNITS, draw_key, slot
+from tributary.functions.scalars import UNITS, draw_key, json_kind, number_key, slot
 
 MAX_CLAUSES, MAX_VALUES = 64, 256
 
@@ -44,6 +46,52 @@ def clause(df: DataFrame, field: str, op: str, value=None) -> Column:
     return F.coalesce(tests[op](F.lit(value)), F.lit(False)) if number else F.lit(False)
 
 
+def record_clause(field: str, op: str, value=None, text: str = "text", record: str = "value") -> Column:
+    """The same tests on JSON records (their text, and the parsed variant): a field is there where the record has it, null or not, and counts by the type it has in that record."""
+    place = "$['%s']" % field.replace("'", "\\'")
+    there = F.coalesce(F.array_contains(F.json_object_keys(text), field), F.lit(False))
+    kind = json_kind(F.schema_of_variant(F.try_variant_get(record, place, "variant")))
+    if op in ("exists", "missing"):
+        return there if op == "exists" else ~there
+    no = F.lit(False)
+    if op == "is_null":
+        return there & F.coalesce(kind == "null", no)
+    shown = F.try_variant_get(record, place, "string")
+
+    def same(v) -> Column:
+        if v is None:
+            return there & F.coalesce(kind == "null", no)
+        if isinstance(v, bool):
+            return F.coalesce((kind == "boolean") & (shown == str(v).lower()), no)
+        if isinstance(v, (int, float)):
+            return F.coalesce((kind == "number") & (number_key(shown) == number_key(F.lit(repr(v)))), no)
+        return F.coalesce((kind == "string") & (shown == v), no)
+
+    if op == "eq":
+        return same(value)
+    if op == "in":
+        if len(value) > MAX_VALUES:
+            raise ValueError(f"at most {MAX_VALUES} values")
+        return functools.reduce(lambda a, v: a | same(v), value, no)
+    number = F.when(kind == "number", F.try_variant_get(record, place, "decimal(38,18)"))
+    wide = F.when(kind == "number", F.try_variant_get(record, place, "double"))
+    tests = {"lt": "__lt__", "lte": "__le__", "gt": "__gt__", "gte": "__ge__"}
+    if op not in tests:
+        raise ValueError(f"no test {op}")
+    exact = F.lit(repr(value)).try_cast("decimal(38,18)")
+    return F.coalesce(getattr(number, tests[op])(exact), getattr(wide, tests[op])(F.lit(float(value))), no)
+
+
+def subset_records(lines: DataFrame, clauses: list[tuple]) -> DataFrame:
+    """Lines of inspection that are records and meet all clauses."""
+    if len(clauses) > MAX_CLAUSES:
+        raise ValueError(f"at most {MAX_CLAUSES} clauses")
+    lines = lines.where("kind = 'object'")
+    for c in clauses:
+        lines = lines.where(record_clause(*c))
+    return lines
+
+
 def subset(df: DataFrame, clauses: list[tuple]) -> DataFrame:
     """Rows that meet all clauses (field, op[, value])."""
     if len(clauses) > MAX_CLAUSES:

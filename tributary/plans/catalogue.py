@@ -61,6 +61,7 @@ SQL = {
     "scalar_trim": ("customer", "SELECT c_custkey AS id, TRIM('  ' || c_name || ' ') AS t, LTRIM(c_name, 'Cus') AS l, RTRIM(c_name, '0123') AS r, TRIM(c_mktsegment, 'AEB') AS b FROM customer ORDER BY id"),
     "scalar_match": ("part", "SELECT p_partkey AS id, CONTAINS(p_name, 'a') AS c, STARTS_WITH(p_type, 'S') AS s, ENDS_WITH(p_type, 'L') AS e FROM part ORDER BY id"),
     "scalar_concat": ("customer", "SELECT c_custkey AS id, CONCAT('a', NULL, c_mktsegment) AS c, CONCAT_WS('-', c_name, NULL, c_mktsegment) AS w, c_name || '!' AS p FROM customer ORDER BY id"),
+    "scalar_sharp_s": ("customer", "SELECT c_custkey AS id, UPPER(c_name || 'straße é') AS u, LOWER(c_name || 'STRAẞE É') AS l FROM customer ORDER BY id"),
     "scalar_double_text": ("orders", "SELECT o_orderkey AS id, CAST(o_totalprice AS VARCHAR) AS plain, CAST(o_custkey * 1e17 AS VARCHAR) AS large, CAST(o_custkey / 100000000 AS VARCHAR) AS small, CAST(CAST(o_custkey AS DOUBLE) * 100000 AS TEXT) AS longer, CAST(o_custkey AS VARCHAR) AS whole, CAST(CAST(o_custkey AS DOUBLE) / 10000000 AS VARCHAR) AS near FROM orders ORDER BY id"),
     "sql_unsigned": ("orders", "SELECT o_orderkey AS id, CAST(o_custkey AS UINTEGER) AS u, TRY_CAST(o_custkey - 100 AS UTINYINT) AS b, TRY_CAST(o_totalprice AS USMALLINT) AS s FROM orders ORDER BY id"),
     "sql_distinct_on_text": ("orders", "SELECT DISTINCT ON (o_custkey) o_custkey, o_totalprice, o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_custkey, o_totalprice DESC, id"),
@@ -641,6 +642,13 @@ def review_structure(spark, d):
     return inspect.structural_findings(inspect.health(_lines(spark, d))).select("code", "evidence")
 
 
+@query(f"SELECT k AS id FROM ({_KINDS}) WHERE kind = 'good' AND k >= 100 AND k < 4000 AND k NOT IN (200, 300)")
+def view_records(spark, d):
+    found = views.subset_records(_lines(spark, d), [("id", "gte", 100), ("id", "lt", 4000), ("v", "exists"), ("v", "is_null"), ("other", "missing")])
+    gone = views.subset_records(_lines(spark, d), [("id", "in", [200.0, 300, "400", None])])
+    return found.join(gone.select("key"), "key", "left_anti").select(F.variant_get("value", "$.id", "long").alias("id"))
+
+
 @query("SELECT count(*) AS records, CAST(0 AS BIGINT) AS missing_ids, count(*) - count(k) AS null_ids, CAST(0 AS BIGINT) AS invalid_ids, count(k) - count(DISTINCT k) AS duplicate_ids, count(*) - count(DISTINCT k) AS findings FROM (SELECT CASE WHEN l_orderkey % 11 <> 0 THEN l_orderkey END AS k FROM lineitem)")
 def inspect_table(spark, d):
     return inspect.tabular_health(_read(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 11 != 0, F.col("l_orderkey")).alias("k")), "k")

@@ -38,3 +38,15 @@ def capabilities() -> dict:
         "limits": {"sql_bytes": sqlpolicy.MAX_BYTES, "sql_depth": sqlpolicy.MAX_DEPTH, "sql_parameters": sqlpolicy.MAX_PARAMS, "sql_inputs": sqlpolicy.MAX_INPUTS, "recipe_steps": MAX_STEPS, "recipe_fields": MAX_FIELDS},
         "schemas": sorted(artifact_schemas()),
     }
+
+
+#: Where the guide is put in a repository.
+GUIDE = "TRIBUTARY.md"
+
+
+def guide() -> str:
+    """How to drive the commands, for people and programs."""
+    from tributary.__main__ import COMMANDS
+
+    lines = [f"* `python -m tributary {name} {' '.join(a.upper() for a in arguments)}{''.join(f' [--{k.replace(chr(95), chr(45))}]' for k in flags)}`".rstrip() for name, (_, arguments, flags) in sorted(COMMANDS.items())]
+    return "\n".join(["# Driving the engine", "", "Every command prints one JSON object; `error` with a code means that nothing was done.", "Plan first, show the plan, apply it by its id; a broken application is applied again.", "", *lines, ""])
