@@ -78,6 +78,27 @@ def test_components_of_a_chain(spark):
     assert {r["component"] for r in out.collect()} == {0}
 
 
+def test_components_in_one_task_and_by_rounds(spark):
+    import random
+
+    from tributary.operators import graph
+
+    rng = random.Random(6)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(k, k + 1) for k in range(500, 560)] + [(700, 700), (None, 3)]
+    label = {x: x for p in pairs for x in p if x is not None}
+    for _ in label:
+        for a, b in pairs:
+            if a is not None and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+    want = {k: v for k, v in label.items() if k != v}
+    e = spark.createDataFrame(pairs, "a long, b long")
+    for small in (0, graph.SMALL):
+        assert {r["node"]: r["component"] for r in graph.components(e, small=small).collect()} == want
+    named = e.select(F.concat(F.lit("é"), F.lpad(F.col("a").cast("string"), 4, "0")).alias("a"), F.concat(F.lit("é"), F.lpad(F.col("b").cast("string"), 4, "0")).alias("b"))
+    assert {r["node"]: r["component"] for r in graph.components(named).collect()} == {f"é{k:04d}": f"é{v:04d}" for k, v in want.items()}
+    assert graph.components(e.limit(0)).count() == 0
+
+
 def test_task_language(spark):
     task = dsl.compile_task("from events format parquet source-id-field event_id prepare filter value > 1, dedupe by user_id aggregate by event_type n=count(), top=max(value) export train 70 val 20 test 10")
     assert [s["op"] for s in task.steps] == ["filter", "dedupe"] and task.splits["val"] == 20

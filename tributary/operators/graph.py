@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,10 +77,34 @@ def pair_units(rows: DataFrame, keys: list[str], salt: str, cap: int, shared_onl
     return dealt.withColumn("unit_i", F.least("block", "_other")).withColumn("unit_j", F.greatest("block", "_other")).drop("_blocks", "_other")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges, counted, that one task unites in memory: two columns of as many rows.
+SMALL = 1_000_000
+
+
+def _united(e: DataFrame) -> DataFrame:
+    """(node, component) of few edges (u, v), in one task."""
+    kind = e.schema["u"].dataType.simpleString()
+
+    def run(batches):
+        parts = list(batches)
+        if not parts:
+            return
+        u, v = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in parts]) for k in (0, 1))
+        nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)  # sorted, so a label's least index is its least node
+        labels = np.arange(len(nodes))
+        merge_labels(labels, place[: len(u)], place[len(u) :])
+        linked = np.flatnonzero(labels != np.arange(len(nodes)))
+        for k in range(0, len(linked), 1 << 16):
+            some = linked[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[labels[some]])], ["node", "component"])
+
+    return materialize(e.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}"), "united")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL) -> DataFrame:
     """Connected components of an edge list: (node, component), component the smallest node reachable.
 
-    Alternates large-star and small-star contraction: each round is two grouped
+    Up to small counted edges are united by one task. More alternate large-star and small-star contraction: each round is two grouped
     minima and two equi-joins, every node ends up hanging off the least node of
     its component, and no adjacency list is ever gathered. Rounds grow with the
     logarithm of the longest path. Null ends are left out; a component's least
@@ -89,6 +114,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e, before = materialize(e, "edges"), None
     while True:
         sign = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("v", "u").cast("long"))).first())
+        if before is None and 0 < sign[0] <= small:
+            return _united(e)
         if sign == before or not sign[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
