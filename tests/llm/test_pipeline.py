@@ -95,3 +95,37 @@ def test_stages_on_odd_rows(spark, name, stage):
         assert {r["doc_id"] for r in rows} >= {1, None, 5, 6, 7} and not {r["doc_id"] for r in rows} & {2, 3, 4}
     if name == "near_duplicates":
         assert sorted((r["doc_id"] or 0) for r in rows) == [0, 1, 1, 2, 5, 6]
+
+
+def test_near_duplicates_of_a_hot_cluster(spark, monkeypatch):
+    """One large group of near copies, split into blocks, whose members are often below the similarity with each other."""
+    import random
+
+    from tributary.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "CAP", 16)
+    monkeypatch.setattr(jaccard, "ROWS", 40)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = []
+    for _ in range(140):
+        words = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    below = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = label[i], label[j]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+            else:
+                below += 1
+    got = {}
+    for r in jaccard.jaccard_components(docs).collect():
+        got.setdefault(r["component"], []).append(r["id"])
+    assert below > 1000 and sorted(min(v) for v in got.values()) == sorted(set(label))
+    assert {i: min(v) for v in got.values() for i in v} == dict(enumerate(label))
