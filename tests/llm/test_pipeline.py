@@ -129,3 +129,33 @@ def test_near_duplicates_of_a_hot_cluster(spark, monkeypatch):
         got.setdefault(r["component"], []).append(r["id"])
     assert below > 1000 and sorted(min(v) for v in got.values()) == sorted(set(label))
     assert {i: min(v) for v in got.values() for i in v} == dict(enumerate(label))
+
+
+def _sharing(rng, many):
+    """Texts of which every three share a passage and are strangers otherwise, and a near copy of every tenth."""
+    texts = []
+    for k in range(many):
+        words = [f"p{k // 3}x{j}" for j in range(40)] + [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts.append(" ".join(words))
+        if k % 10 == 0:
+            texts.append(" ".join([*words[:-1], "other"]))
+    return texts
+
+
+def test_only_texts_of_candidates_travel(spark, monkeypatch):
+    """Texts that meet under a key but have no candidate in another component are not dealt to units."""
+    import random
+
+    from tributary.llm import jaccard
+
+    given, seen, texts_of = _sharing(random.Random(3), 200), [], jaccard._texts
+
+    def counted(nodes, *rest):
+        seen.append(nodes.distinct().count())
+        return texts_of(nodes, *rest)
+
+    monkeypatch.setattr(jaccard, "_texts", counted)
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(4)
+    found = jaccard.jaccard_components(docs)
+    assert found.select("component").distinct().count() == 200
+    assert max(seen) <= 60  # of 220; the 20 pairs, and what else fingerprints name

@@ -4,13 +4,15 @@ Two shingle sets of similarity 4/5 or more share a shingle among the first
 n - ceil(4n/5) + 1 of each in any order common to all sets, so keys made of these
 prefixes bring every pair together. Shingles that are frequent in a sample come
 last in the order, which only keeps the units small. Within a unit the SimHash
-fingerprints of the same sets are compared bit-sliced, as in simhash.py, at a
-radius that a pair of that similarity fails with probability 1e-7 at most (its
-bits differ by 12 of 64 at most on average, deviation 3.1); what is left is
-verified on whole sets. Pairs with the ends of each key are checked first. Keys
-that then still hold several components are drawn together into clusters, whose
-units compare and verify only across components and give back no more than the
-links that join some, never pairs.
+fingerprints of the same sets are compared bit-sliced at a radius of 28 in the
+first 64 bits, then at 81 in all 256: each of them a pair of that similarity
+fails with probability 1e-7 at most (12 and 48 bits differ at most on average,
+deviations 3.1 and 6.2), and of strangers next to none passes both. What is left
+is verified on whole sets. Of the pairs with the ends of a key the closest of
+each text is checked first. Keys that then still hold several components are
+drawn together into clusters, whose units first tell which texts are candidates
+across components, so that only these travel, then verify them and give back no
+more than the links that join some, never pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +34,11 @@ NUM, DEN = 4, 5
 SAMPLE, OFTEN, KNOWN = 20_000, 4, 100_000
 #: Rows of a cluster above which it is split into blocks, and rows that go to one call, about: units are small.
 CAP, ROWS = 1024, 2000
-#: Bits of 64 in which candidates may differ.
-RADIUS = 28
+#: Bits of the first 64 and of all 256 in which candidates may differ.
+RADIUS, WIDE = 28, 81
+#: Words of a fingerprint: SimHash of the hashes, and of what each factor makes of them.
+PRINT = ["fp", "fp1", "fp2", "fp3"]
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
 def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
@@ -44,6 +49,15 @@ def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(join(g), SEED) for g in grams), np.uint64))
 
 
+def words_of(found: np.ndarray) -> list[int]:
+    """The words of a set's fingerprint."""
+    mixed = []
+    for f in _FACTORS:
+        x = (found ^ (found >> np.uint64(31))) * f
+        mixed.append((x ^ (x >> np.uint64(29))) * f)
+    return [fingerprint_of(x) for x in (found, *(x ^ (x >> np.uint64(32)) for x in mixed))]
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Jaccard similarity of two sets of shingles is NUM / DEN or more."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -80,7 +94,7 @@ def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, text_hash, node, n, fp, prefix) of every row; node stands for the set of shingles, fp is its SimHash."""
+    """(id, text_hash, node, n, *PRINT, prefix) of every row; node stands for the set of shingles, PRINT is its SimHash."""
     frequent = _frequent(docs, text_col, width)
     text = F.col(text_col).cast("binary")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), text.alias("text"))
@@ -97,12 +111,12 @@ def _described(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
             s = shingles(t.as_py(), width)
             nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
             sizes.append(len(s))
-            prints.append(fingerprint_of(s))
+            prints.append(words_of(s))
             firsts.append(prefix(s, frequent).view(np.int64))
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(nodes), pa.array(sizes, pa.int32()), signed(prints), pa.array(firsts, pa.list_(pa.int64()))], ["id", "text_hash", "node", "n", "fp", "prefix"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(nodes), pa.array(sizes, pa.int32()), *map(signed, zip(*prints)), pa.array(firsts, pa.list_(pa.int64()))], ["id", "text_hash", "node", "n", *PRINT, "prefix"])
 
-    return source.mapInArrow(run, "id long, text_hash long, node long, n int, fp long, prefix array<long>")
+    return source.mapInArrow(run, f"id long, text_hash long, node long, n int, {', '.join(f'{p} long' for p in PRINT)}, prefix array<long>")
 
 
 def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
@@ -138,23 +152,62 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: s
     return links
 
 
+def _apart(a: str, b: str, words: list[str] = PRINT):
+    """Bits in which the fingerprints of two structs differ."""
+    return sum(F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in words)
+
+
 def _possible(a: str, b: str):
-    """Can two sets that first meet at this key, at their places in the order, still be similar? And are their fingerprints close?"""
-    rest = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
-    return ((DEN + NUM) * rest >= NUM * (F.col(f"{a}.n") + F.col(f"{b}.n"))) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RADIUS)
+    """Can two sets of these sizes be similar? And are their fingerprints close?"""
+    sizes = DEN * F.least(f"{a}.n", f"{b}.n") >= NUM * F.greatest(f"{a}.n", f"{b}.n")
+    return sizes & (_apart(a, b, PRINT[:1]) <= RADIUS) & (_apart(a, b) <= WIDE)
+
+
+def _split(units: pd.DataFrame):
+    """units (cluster, unit_i, unit_j, ...) in order, and for each unit its rows and those of its two blocks."""
+    units = units.sort_values(["cluster", "unit_i", "unit_j", "node"], kind="stable").reset_index(drop=True)
+    unit, block = units[["cluster", "unit_i", "unit_j"]].to_numpy(), units["block"].to_numpy()
+    begins = np.flatnonzero(np.r_[len(unit) > 0, (unit[1:] != unit[:-1]).any(axis=1)])
+
+    def parts():
+        for begin, end in zip(begins, np.r_[begins[1:], len(unit)]):
+            rows = np.arange(begin, end)
+            yield rows, rows[block[rows] == unit[begin][1]], rows[block[rows] == unit[begin][2]]
+
+    return units, parts()
+
+
+def _candidates(prints: np.ndarray, n: np.ndarray, one: np.ndarray, other: np.ndarray):
+    """Yield rows (a of one, b of other) whose fingerprints are close and whose sizes allow similarity."""
+    for q, w in close_pairs(prints[one, 0], prints[other, 0], RADIUS):
+        a, b = one[q], other[w]
+        ok = DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b])
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= WIDE
+        yield a[ok], b[ok]
+
+
+def crossing(units: pd.DataFrame) -> pd.DataFrame:
+    """Those rows of each unit that are candidates with one of another component."""
+    units, parts = _split(units)
+    prints, n, component = np.ascontiguousarray(units[PRINT].to_numpy(np.int64)).view(np.uint64), units["n"].to_numpy(), units["component"].to_numpy()
+    hit = np.zeros(len(units), bool)
+    for rows, one, other in parts:
+        if (component[rows] != component[rows[0]]).any():
+            for a, b in _candidates(prints, n, one, other):
+                apart = component[a] != component[b]
+                hit[a[apart]] = hit[b[apart]] = True
+    return units.loc[hit, units.columns != "call"]
 
 
 def joining_links(units: pd.DataFrame, width: int = SHINGLE) -> pd.DataFrame:
     """Links (a, b) that join components within each unit (cluster, unit_i, unit_j): a forest over its components, found by comparing fingerprints, then the whole sets of the texts."""
-    units = units.sort_values(["cluster", "unit_i", "unit_j"], kind="stable").reset_index(drop=True)
-    node, n, block = (units[c].to_numpy() for c in ("node", "n", "block"))
-    fps = units["fp"].to_numpy(np.int64).view(np.uint64)
-    unit = units[["cluster", "unit_i", "unit_j"]].to_numpy()
-    begins = np.flatnonzero(np.r_[len(unit) > 0, (unit[1:] != unit[:-1]).any(axis=1)])
+    units, parts = _split(units)
+    node, n = (units[c].to_numpy() for c in ("node", "n"))
+    prints = np.ascontiguousarray(units[PRINT].to_numpy(np.int64)).view(np.uint64)
     links = []
-    for begin, end in zip(begins, np.r_[begins[1:], len(unit)]):
-        rows, (_, i, j) = np.arange(begin, end), unit[begin]
-        one, other = rows[block[rows] == i], rows[block[rows] == j]
+    for rows, one, other in parts:
+        begin = rows[0]
         part = pd.factorize(units["component"].to_numpy()[rows])[0]
         labels = np.arange(part.max() + 1)
         sets: dict[int, np.ndarray] = {}
@@ -165,11 +218,10 @@ def joining_links(units: pd.DataFrame, width: int = SHINGLE) -> pd.DataFrame:
                 sets[k] = shingles(texts[k], width)
             return sets[k]
 
-        for q, w in close_pairs(fps[one], fps[other], RADIUS):
-            a, b = one[q] - begin, other[w] - begin
-            large, least = np.maximum(n[rows[a]], n[rows[b]]), np.minimum(n[rows[a]], n[rows[b]])
-            ok = (labels[part[a]] != labels[part[b]]) & (DEN * least >= NUM * large)
-            for x, y in zip(a[ok], b[ok]) if i != j else zip(a[ok & (a < b)], b[ok & (a < b)]):
+        for a, b in _candidates(prints, n, one, other):
+            a, b = a - begin, b - begin
+            ok = labels[part[a]] != labels[part[b]]
+            for x, y in zip(a[ok], b[ok]):
                 c, d = labels[part[x]], labels[part[y]]
                 if c != d and similar(shingled(x), shingled(y)):
                     labels[labels == max(c, d)] = min(c, d)
@@ -182,35 +234,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: id, text_hash, component (equal for rows joined by links of similarity NUM / DEN or more).
 
     No pair below that similarity links; a pair of it is missed with probability
-    1e-7 at most, where its fingerprints differ by over RADIUS bits. Null and
+    2e-7 at most, where its fingerprints differ by over RADIUS or WIDE bits. Null and
     word-less texts are copies of each other; words are split at ASCII
     whitespace and compared without ASCII case. Other columns are not read.
     """
-    rows = materialize(_described(docs, id_col, text_col, width), "described")
-    classes = materialize(rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "classes")
-    keyed = classes.select("node", "n", "fp", F.posexplode("prefix").alias("pos", "key"))
-    place = F.struct("node", "n", "pos", "fp")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("low"), F.max(place).alias("high")).where("_n > 1").drop("_n")
-    shared = materialize(keyed.join(shared, "key"), "shared")
-
-    ends = None
-    for end in ("low", "high"):
-        here = shared.select(F.struct("node", "n", "pos", "fp").alias("x"), F.col(end).alias("y")).where("x.node <> y.node").where(_possible("x", "y"))
-        here = here.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        ends = here if ends is None else ends.union(here)
+    described = materialize(_described(docs, id_col, text_col, width), "described")
+    classes = materialize(described.groupBy("node").agg(F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in ("n", *PRINT, "prefix"))), "classes")
+    rows = materialize(described.select("id", "text_hash", "node"), "rows")
+    discard(described)
+    # of the keys most stand alone: these are told by their number only, before more than a node travels with a key
+    keyed = classes.select("node", F.explode("prefix").alias("key"))
+    repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    shared = materialize(keyed.join(repeated, "key", "left_semi"), "shared")
+    facts = materialize(classes.select("node", "text_hash", "n", *PRINT), "facts")
+    discard(classes)
+
+    place = F.struct("node", "n", *PRINT)
+    held = materialize(shared.join(facts.drop("text_hash"), "node").select("key", place.alias("x")), "held")
+    ends = held.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    ends = held.join(ends, "key").select("x", F.explode(F.array("low", "high")).alias("y")).where("x.node <> y.node").where(_possible("x", "y"))
+    ends = ends.groupBy(F.col("x.node").alias("x")).agg(F.min(F.struct(_apart("x", "y").alias("bits"), F.col("y.node").alias("y"))).alias("best"))
+    ends = ends.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b"))
     ends = materialize(ends.distinct(), "ends")
-    links = _verified(ends, classes, docs, text_col, width)
+    discard(held)
+    links = _verified(ends, facts, docs, text_col, width)
     known = components(links)
 
-    across = shared.select("key", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    across = shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     across = materialize(across, "across")
     discard(shared)
     mixed = across.groupBy("key").agg(F.min("component").alias("cluster"), F.max("component").alias("_most")).where("cluster <> _most").select("key", "cluster")
-    members = materialize(across.join(mixed, "key").select("cluster", "node", "component").distinct().join(classes.select("node", "n", "fp"), "node"), "members")
+    members = materialize(across.join(mixed, "key").select("cluster", "node", "component").distinct().join(facts.drop("text_hash"), "node"), "members")
     discard(across)
-    calls = max(16, members.count() // ROWS)
-    units = pair_units(members, ["cluster"], "node", CAP).join(_texts(members.select("node"), classes, docs, text_col), "node").withColumn("call", F.pmod(F.xxhash64("cluster", "unit_i", "unit_j"), F.lit(calls)))
-    more = materialize(units.groupBy("call").applyInPandas(lambda pdf: joining_links(pdf, width), "a long, b long"), "links")
+
+    def dealt(units: DataFrame) -> DataFrame:
+        calls = max(16, units.count() // ROWS)
+        return units.withColumn("call", F.pmod(F.xxhash64("cluster", "unit_i", "unit_j"), F.lit(calls))).groupBy("call")
+
+    units = materialize(pair_units(members, ["cluster"], "node", CAP), "units")
+    units = materialize(dealt(units).applyInPandas(crossing, units.schema), "crossing")
+    units = units.join(_texts(units.select("node"), facts, docs, text_col), "node")
+    more = materialize(dealt(units).applyInPandas(lambda pdf: joining_links(pdf, width), "a long, b long"), "links")
     links = links.union(more)
     known = materialize(components(links), "known")
     return rows.join(known, "node", "left").select("id", "text_hash", F.coalesce("component", "node").alias("component"))
