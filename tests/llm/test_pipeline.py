@@ -159,3 +159,19 @@ def test_only_texts_of_candidates_travel(spark, monkeypatch):
     found = jaccard.jaccard_components(docs)
     assert found.select("component").distinct().count() == 200
     assert max(seen) <= 60  # of 220; the 20 pairs, and what else fingerprints name
+
+
+def test_simhash_bands_name_candidates(spark, monkeypatch):
+    """Near copies whose fingerprints differ in few bits are found by the operator's bands, whatever the keys of prefixes bring together."""
+    import numpy as np
+
+    from tributary.llm import jaccard
+
+    words = [f"w{k}" for k in range(900)]
+    given = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(["some", *words]), " ".join(words[::-1])]
+    monkeypatch.setattr(jaccard, "prefix", lambda found, frequent: np.empty(0, np.uint64))
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {}
+    for r in jaccard.jaccard_components(docs).collect():
+        got.setdefault(r["component"], []).append(r["id"])
+    assert sorted(map(sorted, got.values())) == [[0, 1, 2], [3]]

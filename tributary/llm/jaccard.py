@@ -1,6 +1,9 @@
 """Near-duplicates of word shingles: SimHash candidates, verified by exact Jaccard similarity.
 
-Two shingle sets of similarity 4/5 or more share a shingle among the first
+The SimHash operator's banded tables name the first candidates: fingerprints of
+few differing bits, as in simhash.py; whole sets decide. Similar texts whose
+fingerprints differ in more bits than bands can bring together meet otherwise:
+two shingle sets of similarity 4/5 or more share a shingle among the first
 n - ceil(4n/5) + 1 of each in any order common to all sets, so keys made of these
 prefixes bring every pair together. Shingles that are frequent in a sample come
 last in the order, which only keeps the units small. Within a unit the SimHash
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import FEW, components, discard, materialize, pair_units, quiet
-from tributary.llm.simhash import SEED, close_pairs, fingerprint_of
+from tributary.llm.simhash import SEED, close_pairs, fingerprint_links, fingerprint_of
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
@@ -163,6 +166,13 @@ def _possible(a: str, b: str):
     return sizes & (_apart(a, b, PRINT[:1]) <= RADIUS) & (_apart(a, b) <= WIDE)
 
 
+def banded(classes: DataFrame) -> DataFrame:
+    """Candidates (a, b) of the SimHash operator: forests of fingerprints of few differing bits, and of those that are equal."""
+    prints = materialize(classes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    same = classes.join(prints.withColumnRenamed("node", "least"), "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return fingerprint_links(prints.select("node", "fp")).union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _split(units: pd.DataFrame):
     """units (cluster, unit_i, unit_j, ...) in order, and for each unit its rows and those of its two blocks."""
     units = units.sort_values(["cluster", "unit_i", "unit_j", "node"], kind="stable").reset_index(drop=True)
@@ -255,7 +265,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ends = held.join(ends, "key").select("x", F.explode(F.array("low", "high")).alias("y")).where("x.node <> y.node").where(_possible("x", "y"))
     ends = ends.groupBy(F.col("x.node").alias("x")).agg(F.min(F.struct(_apart("x", "y").alias("bits"), F.col("y.node").alias("y"))).alias("best"))
     ends = ends.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b"))
-    ends = materialize(ends.distinct(), "ends")
+    ends = materialize(ends.union(banded(facts)).distinct(), "ends")
     discard(held)
     links = _verified(ends, facts, docs, text_col, width)
     known = components(links)
