@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.operators import export, policy, recipe, records, review, views
+from tributary.operators.matching import Matching
 from tributary.plans import control, dsl
 from tributary.sources import readers
 
@@ -62,6 +63,57 @@ def test_matching(spark):
     assert [r["ambiguous"] for r in review.optimal_match(even).collect()] == [True]
 
 
+def _sparse(seed, lefts, rights, edges, cost):
+    """(a, b, distance) of up to edges random pairs, sorted."""
+    import random
+
+    rng = random.Random(seed)
+    return sorted((a, b, rng.randint(0, cost)) for a, b in {(rng.randrange(lefts), rng.randrange(rights)) for _ in range(edges)})
+
+
+def test_matching_in_arrays_against_all_matchings():
+    import numpy as np
+
+    def every(pairs):
+        if not pairs:
+            yield ()
+            return
+        (a, b, d), rest = pairs[0], pairs[1:]
+        yield from every(rest)
+        for m in every([p for p in rest if p[0] != a and p[1] != b]):
+            yield ((a, b, d), *m)
+
+    for seed in range(150):
+        pairs = _sparse(seed, 1 + seed % 5, 1 + seed % 4, 9, (0, 1, 3, 20)[seed % 4])
+        found = Matching(np.unique([p[0] for p in pairs], return_inverse=True)[1], np.unique([p[1] for p in pairs], return_inverse=True)[1], np.array([p[2] for p in pairs]))
+        got, loose = [pairs[k] for k in found.chosen()], found.loose()
+        rank = lambda m: (-len(m), sum(d for *_, d in m))
+        best = min(map(rank, every(pairs)))
+        assert len({a for a, *_ in got}) == len({b for _, b, _ in got}) == len(got) and rank(got) == best
+        assert [any(p not in m for m in every(pairs) if rank(m) == best) for p in got] == loose.tolist()
+
+
+def test_optimal_match_of_one_large_component_and_any_company(spark):
+    # 8,000 nodes a side in one component: a search for each node does not end in time
+    import time
+
+    import pandas as pd
+
+    pairs = _sparse(5, 8000, 8000, 80_000, 17)
+    t = spark.createDataFrame(pd.DataFrame(pairs, columns=["a", "b", "distance"]))
+    began = time.time()
+    got = rows(review.optimal_match(t))
+    assert time.time() - began < 60
+    assert len(got) == len({a for a, *_ in got}) == len({b for _, b, *_ in got}) and {g[:3] for g in got} <= set(pairs)
+    small = pd.DataFrame([(100 * k + a, 100 * k + b, d) for k in range(60) for a, b, d in _sparse(k % 7, 4, 4, 8, 2)], columns=["a", "b", "distance"])
+    small = spark.createDataFrame(small)
+    want = rows(review.optimal_match(small, together=1))
+    assert want == rows(review.optimal_match(small.repartition(5), together=1 << 20)) and {g[0] // 100 for g in want} == set(range(60))
+    twice = spark.createDataFrame([("x", "y", 2), ("x", "y", 5), ("z", "y", 3)], "a string, b string, distance int")
+    assert rows(review.optimal_match(twice)) == [("x", "y", 2, False)]
+    assert review.optimal_match(twice.limit(0)).count() == 0
+
+
 def test_near_pairs_against_brute_force(spark):
     import random
 

@@ -14,10 +14,12 @@ from pyspark.sql.window import Window
 
 from tributary.operators import graph
 from tributary.operators.graph import beside, discard, materialize, merge_labels, pair_units
+from tributary.operators.matching import Matching, strong
 
 RADIUS, DRIFT = 6, 0.1
-#: Rows of a bucket aimed at, tables at most, rows of a bucket above which it is split, pairs of a component that one call takes.
-BUCKET, MAX_TABLES, CAP, ALONE = 2048, 64, 4096, 500_000
+#: Rows of a bucket aimed at, tables at most, rows of a bucket above which it is split, pairs of a component that one call takes,
+#: pairs of small components aimed at in one call.
+BUCKET, MAX_TABLES, CAP, ALONE, TOGETHER = 2048, 64, 4096, 500_000, 20_000
 DIMENSIONS = ("split", "label", "width", "height", "aspect_ratio", "format", "channels")
 # Where sizes and aspect ratios are cut.
 SIZES, ASPECTS = (256, 512, 1024), (0.8, 1.25)
@@ -250,59 +252,33 @@ def assignment(costs: dict[tuple, int]) -> tuple[list[tuple], set[tuple]]:
             if 0 < x <= len(lefts):
                 pairs.append((lefts[x - 1], b))
     tight = [[y for y, c in open_[x].items() if c + level[x] - level[y] == 0] for x in range(sink + 1)]
-    part = _strong(tight)
+    part = strong(tight)
     return sorted(pairs), {(a, b) for a, b in pairs if part[at_a[a]] == part[at_b[b]]}
 
 
-def _strong(edges: list[list[int]]) -> list[int]:
-    """The strongly connected component of each node."""
-    order, low, part, number = [-1] * len(edges), [0] * len(edges), [-1] * len(edges), 0
-    for root in range(len(edges)):
-        if order[root] >= 0:
-            continue
-        stack, work = [], [(root, iter(edges[root]))]
-        order[root] = low[root] = number
-        number += 1
-        stack.append(root)
-        while work:
-            x, rest = work[-1]
-            for y in rest:
-                if order[y] < 0:
-                    order[y] = low[y] = number
-                    number += 1
-                    stack.append(y)
-                    work.append((y, iter(edges[y])))
-                    break
-                if part[y] < 0:
-                    low[x] = min(low[x], order[y])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[x])
-                if low[x] == order[x]:
-                    while True:
-                        y = stack.pop()
-                        part[y] = x
-                        if y == x:
-                            break
-    return part
-
-
-def optimal_match(pairs: DataFrame, ambiguity: bool = True) -> DataFrame:
-    """(a, b, distance, ambiguous): least-cost matching of each connected component.
+def optimal_match(pairs: DataFrame, ambiguity: bool = True, together: int = TOGETHER) -> DataFrame:
+    """(a, b, distance, ambiguous): matching of most pairs, then of least distance in all, of each connected component.
 
     A pair is ambiguous where forbidding it leaves a matching of the same size
-    and cost, which the residual graph tells without solving again. Components
-    are solved apart, one grouped call each.
+    and cost, which the residual graph tells without solving again. A pair given
+    several times counts with its least distance. A component is solved in one
+    call, small ones by the many: calls follow the pairs, not the components,
+    and what is chosen in one never depends on its company.
     """
+    pairs = materialize(pairs.select("a", "b", F.col("distance").cast("long").alias("distance")), "pairs")
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    calls = math.ceil(pairs.count() / together) or 1
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        costs = {(a, b): int(d) for a, b, d in zip(pdf["a"], pdf["b"], pdf["distance"])}
-        best, loose = assignment(costs)
-        return pd.DataFrame([(*p, costs[p], ambiguity and p in loose) for p in best], columns=["a", "b", "distance", "ambiguous"])
-
-    return _by_component(pairs).groupBy("component").applyInPandas(solve, f"a {kinds['a']}, b {kinds['b']}, distance long, ambiguous boolean")
+        pdf = pdf.sort_values(["a", "b", "distance"], kind="stable").drop_duplicates(["a", "b"])
+        distance = pdf["distance"].to_numpy(np.int64)
+        found = Matching(pd.factorize(pdf["a"])[0], pd.factorize(pdf["b"], sort=True)[0], distance)
+        best = found.chosen()
+        loose = found.loose() if ambiguity else np.zeros(len(best), bool)
+        return pd.DataFrame({"a": pdf["a"].to_numpy()[best], "b": pdf["b"].to_numpy()[best], "distance": distance[best], "ambiguous": loose})
+
+    dealt = _by_component(pairs).withColumn("call", F.pmod(F.xxhash64("component"), F.lit(calls)))
+    return dealt.groupBy("call").applyInPandas(solve, f"a {kinds['a']}, b {kinds['b']}, distance long, ambiguous boolean")
 
 
 def exact_groups(samples: DataFrame) -> DataFrame:
